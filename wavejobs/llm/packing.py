@@ -64,13 +64,21 @@ class WordTokenizer:
                 self.words, self.older = {}, self.words
             missing = [i for i, known in enumerate(found) if known is None]
             new = [p for p in dict.fromkeys(pieces[i] for i in missing) if p not in self.older]
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else ()):
-                self.words[p] = e.ids
+            if new:
+                self._learn(new)
             for i in missing:
                 p = pieces[i]
                 found[i] = self.words[p] = self.words.get(p) or self.older[p]
         return list(chain.from_iterable(found))
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words by one call: between blanks, each is one word to the tokenizer too."""
+        joined = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        known: list[list[int]] = [[] for _ in new]
+        for i, word in zip(joined.ids, joined.word_ids):
+            known[word].append(i)
+        self.words.update(zip(new, known))
+
 
 COLUMNS = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
