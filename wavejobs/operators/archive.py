@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .trajectories import ID, TIME, filter_box, offsets, ranked
@@ -58,8 +58,6 @@ def to_observations(ragged: DataFrame, trajectories: DataFrame, chunk: int = 50_
 
 
 def offsets_of(sizes: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     before = Window.orderBy(ID).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("start", F.coalesce(F.sum("rowsize").over(before), F.lit(0)))
 
@@ -77,8 +75,12 @@ def aligned(df: DataFrame, grid: list[float], columns: tuple[str, ...] = ("varia
     """Arrays on the union grid, null where a row has no such frequency."""
     axis = F.array(*map(F.lit, grid))
     place = F.transform("frequency", lambda f: F.round(f, digits))
-    new = {c: F.transform(axis, lambda f, c=c: F.get(F.col(c), (F.array_position(place, f) - 1).cast("int"))) for c in columns if c in df.columns}
-    new = {c: F.when(F.col("frequency").isNotNull() & F.col(c).isNotNull(), F.transform(axis, lambda f, c=c: F.when(F.array_contains(place, f), F.get(F.col(c), (F.array_position(place, f) - 1).cast("int"))))) for c in new}
+
+    def on_axis(c: str) -> Column:
+        at = lambda f: F.get(F.col(c), (F.array_position(place, f) - 1).cast("int"))
+        return F.transform(axis, lambda f: F.when(F.array_contains(place, f), at(f)))
+
+    new = {c: F.when(F.col("frequency").isNotNull() & F.col(c).isNotNull(), on_axis(c)) for c in columns if c in df.columns}
     return df.withColumns({**new, "frequency": F.when(F.col("frequency").isNotNull(), axis)})
 
 
