@@ -50,38 +50,62 @@ class Block:
         self.axes = rng.standard_normal((vectors.shape[1], projections))
         extra = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
         along = vectors @ self.axes + extra[:, None] * rng.standard_normal(projections)
-        self.order = np.ascontiguousarray(np.argsort(along, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.ascontiguousarray(np.sort(along, axis=0).T)
+        order = np.argsort(along, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(along, order, axis=0).T)
+        kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        ranks = np.empty(along.shape, kind)
+        np.put_along_axis(ranks, order, np.arange(len(ids), dtype=kind)[:, None], axis=0)
+        self.ranks = np.ascontiguousarray(ranks.T)  # a vector's place in each sorted array
         self.spread = float(along.std(axis=0).mean()) * math.sqrt(2) or 1.0
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float, growth: float, collisions: float, budget: float):
-        """For each query the row numbers and scores of its k best verified vectors."""
+        """For each query the row numbers and scores of its k best verified vectors.
+
+        More vectors pass the threshold with every radius, so the first radius that lets
+        enough of them pass is looked for from where the query before it ended.
+        """
         n, m = len(self.ids), len(self.sorted)
         need, enough = math.ceil(collisions * m), min(n, k + 1 + math.ceil(budget * n))
         # A query's own length does not change its order of vectors.
-        centres = (queries * (self.longest / np.sqrt((queries**2).sum(axis=1)))[:, None]) @ self.axes
-        counts = np.zeros((len(queries), n), np.int16)
-        low = np.stack([np.searchsorted(self.sorted[j], centres[:, j]) for j in range(m)], axis=1)
-        high, r = low.copy(), radius * self.spread
-        active, chosen = np.arange(len(queries)), [None] * len(queries)
-        while len(active):
-            lows = np.stack([np.searchsorted(self.sorted[j], centres[active, j] - r, "left") for j in range(m)], axis=1)
-            highs = np.stack([np.searchsorted(self.sorted[j], centres[active, j] + r, "right") for j in range(m)], axis=1)
-            still = []
-            for q, lo, hi in zip(active, lows, highs):
-                new = [self.order[j, a:b] for j, (a, b) in enumerate(zip(lo.tolist(), low[q].tolist())) if a < b]
-                new += [self.order[j, a:b] for j, (a, b) in enumerate(zip(high[q].tolist(), hi.tolist())) if a < b]
-                if new:
-                    counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
-                found = np.flatnonzero(counts[q] >= need)
-                if len(found) >= enough:
-                    chosen[q] = found
-                else:
-                    still.append(q)
-            low[active], high[active] = np.minimum(lows, low[active]), np.maximum(highs, high[active])
-            active, r = np.array(still, int), r * growth
-        for q, found in enumerate(chosen):
+        lengths = np.sqrt((queries**2).sum(axis=1))
+        centres = (queries * (self.longest / lengths)[:, None]) @ self.axes
+        kind = self.ranks.dtype
+        shifted, inside = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool)
+        windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def window(step: int) -> tuple[np.ndarray, np.ndarray]:
+            """First place and number of places in each sorted array, for all queries."""
+            if step not in windows:
+                r = radius * self.spread * growth**step
+                low = np.stack([np.searchsorted(row, centres[:, j] - r, "left") for j, row in enumerate(self.sorted)], axis=1)
+                high = np.stack([np.searchsorted(row, centres[:, j] + r, "right") for j, row in enumerate(self.sorted)], axis=1)
+                windows[step] = low.astype(kind), (high - low).astype(kind)
+            return windows[step]
+
+        def colliding(q: int, step: int) -> np.ndarray:
+            low, width = window(step)
+            # Unsigned: places before the window wrap round to large numbers.
+            np.subtract(self.ranks, low[q][:, None], out=shifted)
+            np.less(shifted, width[q][:, None], out=inside)
+            return np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8 if m < 256 else np.uint16) >= need)
+
+        step = 0
+        for q in range(len(queries)):
+            found = colliding(q, step)
+            if len(found) >= enough:
+                while step and len(fewer := colliding(q, step - 1)) >= enough:
+                    found, step = fewer, step - 1
+            else:
+                while len(found) < enough:
+                    step += 1
+                    found = colliding(q, step)
             found = found[self.ids[found] != query_ids[q]]
+            # One product ranks the verified ones; the best, and all that rounding could
+            # confuse with them, are summed again in a fixed order.
+            rough = (self.vectors @ queries[q])[found]
+            if len(found) > k:
+                margin = 1e-12 * self.longest * lengths[q] * len(queries[q])
+                found = found[rough >= np.partition(rough, -k)[-k] - margin]
             scores = (self.vectors[found] * queries[q]).sum(axis=1)
             best = np.lexsort((self.ids[found], -scores))[:k]
             yield found[best], scores[best]
