@@ -19,13 +19,13 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +35,11 @@ from .common import in_slices, saved
 
 # Texts of these characters alone are unchanged by NFC and lower-cased one by one alike
 # everywhere; within them words can be looked up. Others go to the tokenizer whole.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-įı-ɏ‐-‧]*")
-# Fixed value: the pattern by which the vocabulary's own file splits words.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-įı-ɏ‐-‧]*")
+# What the vocabulary's own file takes for words, for the characters of PLAIN
+# in lower case: endings after an apostrophe, runs of letters, single digits, other runs.
+LETTERS, DIGITS = "a-zA-Zªµº\xC0-\xD6\xD8-\xF6\xF8-\u024F", "0-9²³¹¼-¾"
+WORDS = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 
 
 class WordTokenizer:
@@ -47,7 +49,7 @@ class WordTokenizer:
     to blanks and lower case, and whose words are split by ``WORDS``.
     """
 
-    def __init__(self, path: str, plain_lower_words: bool = True, cached_words: int = 250_000):
+    def __init__(self, path: str, plain_lower_words: bool = True, cached_words: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.by_words, self.cached_words = plain_lower_words, cached_words
