@@ -80,12 +80,13 @@ def hits(docs: DataFrame) -> DataFrame:
     return found.where(same).select("id", "text_hash", "template", "label", "base", "n_pairs", "t", F.col("p").cast("long").alias("p"))
 
 
-def spans(docs: DataFrame, *, shift: int = 3, least: float = 0.8) -> DataFrame:
+def spans(docs: DataFrame, *, shift: int = 3, least: float = 0.8, short: int = 8) -> DataFrame:
     """(id, text_hash, template, label, base, start, matched): verified places.
 
     ``matched`` is the share of the template's pairs in the span. Base phrases are whole
     diagonals; notices may spread over neighbouring diagonals, each at most ``shift``
-    from the one before, and need a share of ``least``.
+    from the one before, and need a share of ``least``; those of up to ``short`` pairs,
+    where one word makes another licence, need all.
     """
     key = ["id", "text_hash", "template", "label", "base", "n_pairs"]
     # Votes are counted first, so a diagonal is one row however long it is; rows that repeat vote once.
@@ -103,7 +104,8 @@ def spans(docs: DataFrame, *, shift: int = 3, least: float = 0.8) -> DataFrame:
     merged = votes.where(~F.col("base")).withColumn("g", group).groupBy(*key, "g")
     merged = merged.agg(F.min("diagonal").alias("start"), F.bit_or("seen").alias("seen"))
     share = F.bit_count("seen") / F.col("n_pairs")
-    merged = merged.select(*key[:5], "start", share.alias("matched")).where(F.col("matched") >= least)
+    merged = merged.select(*key, "start", share.alias("matched"))
+    merged = merged.where(F.col("matched") >= F.when(F.col("n_pairs") <= short, 1.0).otherwise(least)).drop("n_pairs")
     return whole.unionByName(merged)
 
 
@@ -131,7 +133,7 @@ def scan(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def oracle(shift: int = 3, least: float = 0.8) -> str:
+def oracle(shift: int = 3, least: float = 0.8, short: int = 8) -> str:
     """The same rows in DuckDB: places by comparing words at every position."""
     phrases = ", ".join(f"('{p}', '{label}', {base})" for base, table in (("true", BASE_PHRASES), ("false", NOTICES)) for p, label in table.items())
     return f"""
@@ -143,7 +145,7 @@ def oracle(shift: int = 3, least: float = 0.8) -> str:
     m as (select *, sum(far) over (partition by doc_id, phrase, base order by g) as c from
         (select *, case when g - lag(g) over (partition by doc_id, phrase, base order by g) <= {shift} then 0 else 1 end as far from v where not base)),
     s as (select doc_id, label, base, g as start, 1.0::double as matched from v where base and bit_count(seen) = n
-        union all select * from (select doc_id, label, base, min(g) as start, bit_count(bit_or(seen))::double / n as matched from m group by doc_id, phrase, label, base, n, c) where matched >= {least}),
+        union all select * exclude (n) from (select doc_id, label, base, min(g) as start, bit_count(bit_or(seen))::double / n as matched, n from m group by doc_id, phrase, label, base, n, c) where matched >= case when n <= {short} then 1 else {least} end),
     f as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
         coalesce(array_to_string(list_sort(list_distinct(list(label) filter (base))), ','), '') as base_labels,
         array_to_string(list_sort(list_distinct(list(label))), ',') as labels, max(matched) as score from s group by doc_id)
