@@ -58,12 +58,12 @@ def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_dis
     x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
     cube = lambda v, d=0: (F.floor(v / side) + d).cast("long")
     p = points.select("point_id", x.alias("px"), y.alias("py"), z.alias("pz"))
-    around = F.array(*(F.struct(cube(F.col("px"), a).alias("i"), cube(F.col("py"), b).alias("j"), cube(F.col("pz"), c).alias("k")) for a, b, c in product((-1, 0, 1), repeat=3)))
+    around = F.array(*(F.struct(cube(F.col("px"), a).alias("cube_i"), cube(F.col("py"), b).alias("cube_j"), cube(F.col("pz"), c).alias("cube_k")) for a, b, c in product((-1, 0, 1), repeat=3)))
     p = p.select("*", F.explode(around).alias("q")).select("point_id", "px", "py", "pz", "q.*")
     o = places.where("latitude is not null and longitude is not null").select(*keys, x.alias("x"), y.alias("y"), z.alias("z"))
-    o = o.select("*", cube(F.col("x")).alias("i"), cube(F.col("y")).alias("j"), cube(F.col("z")).alias("k"))
+    o = o.select("*", cube(F.col("x")).alias("cube_i"), cube(F.col("y")).alias("cube_j"), cube(F.col("z")).alias("cube_k"))
     chord = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
-    found = o.join(p, ["i", "j", "k"]).withColumn("distance_m", chord_to_metres(chord)).where(F.col("distance_m") <= max_distance_m)
+    found = o.join(p, ["cube_i", "cube_j", "cube_k"]).withColumn("distance_m", chord_to_metres(chord)).where(F.col("distance_m") <= max_distance_m)
     best = found.groupBy(*keys).agg(F.min(F.struct("distance_m", "point_id")).alias("b"))
     return best.select(*keys, "b.point_id", "b.distance_m")
 
