@@ -148,9 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
     starts = starts.groupBy("s").agg(F.count("*").alias("n"), *count).orderBy(F.desc("n"), "s").limit(max_words).toPandas()
     if not (len(words) and all(words[[f"c{c}0", f"c{c}1"]].to_numpy().sum() for c in (0, 1))):
         return ToxicityModel(None, None)
-    zipped = F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))
-    paired = rows.where("size(w) > 1").select("label", "half", F.explode(F.array_distinct(zipped)).alias("p"))
-    pairs = paired.groupBy("p.a", "p.b").agg(F.count("*").alias("n"), *count).where(F.col("n") >= min_pair_docs).orderBy(F.desc("n"), "a", "b").limit(max_pairs).toPandas()
+    # Pairs as strings: the distinct ones of an array are found by hashing, of structs one by one.
+    joined = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))
+    paired = rows.where("size(w) > 1").select("label", "half", F.explode(F.array_distinct(joined)).alias("p"))
+    pairs = paired.groupBy("p").agg(F.count("*").alias("n"), *count).where(F.col("n") >= min_pair_docs)
+    pairs = pairs.select(F.split("p", " ")[0].alias("a"), F.split("p", " ")[1].alias("b"), "n", *[f"c{c}{h}" for c in (0, 1) for h in (0, 1)])
+    pairs = pairs.orderBy(F.desc("n"), "a", "b").limit(max_pairs).toPandas()
     names = ["", *words["w"]]
     index = {w: i for i, w in enumerate(names)}
     ends = np.array([[index.get(a, 0), index.get(b, 0)] for a, b in zip(pairs["a"], pairs["b"])], np.int64).reshape(-1, 2)
