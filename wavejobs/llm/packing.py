@@ -42,44 +42,48 @@ LETTERS, DIGITS = "a-zA-Zªµº\xC0-\xD6\xD8-\xF6\xF8-\u024F", "0-9²³¹¼-¾"
 WORDS = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 
 
+# The byte-level alphabet: visible bytes stand for themselves, the others for 256 and on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+
+
+class _KnownWords(dict):
+    """Ids of words; an unknown one is split by the model and remembered."""
+
+    def __init__(self, model, older: dict):
+        super().__init__()
+        self.tokenize, self.older = model.tokenize, older
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.older.get(word)
+        if ids is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+            ids = tuple(t.id for t in self.tokenize(letters))
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids as the tokenizer gives them without special tokens, remembering known words.
 
     ``plain_lower_words`` may only be set for files whose normaliser is NFC, white space
-    to blanks and lower case, and whose words are split by ``WORDS``.
+    to blanks and lower case, whose words are split by ``WORDS``, and whose model takes
+    words in the byte-level alphabet. At most twice ``cached_words`` words are held, and
+    what a text adds.
     """
 
     def __init__(self, path: str, plain_lower_words: bool = True, cached_words: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.by_words, self.cached_words = plain_lower_words, cached_words
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words = _KnownWords(self.tokenizer.model, {})
 
     def encode(self, text: str) -> list[int]:
         if not self.by_words or not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pieces = WORDS.findall(text.lower())
-        found = list(map(self.words.get, pieces))
-        if None in found:
-            if len(self.words) >= self.cached_words:
-                self.words, self.older = {}, self.words
-            missing = [i for i, known in enumerate(found) if known is None]
-            new = [p for p in dict.fromkeys(pieces[i] for i in missing) if p not in self.older]
-            if new:
-                self._learn(new)
-            for i in missing:
-                p = pieces[i]
-                found[i] = self.words[p] = self.words.get(p) or self.older[p]
-        return list(chain.from_iterable(found))
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new words by one call: between blanks, each is one word to the tokenizer too."""
-        joined = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        known: list[list[int]] = [[] for _ in new]
-        for i, word in zip(joined.ids, joined.word_ids):
-            known[word].append(i)
-        self.words.update(zip(new, known))
+        if len(self.words) >= self.cached_words:
+            self.words = _KnownWords(self.tokenizer.model, dict(self.words))
+        return list(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(text.lower()))))
 
 
 COLUMNS = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
