@@ -50,6 +50,20 @@ def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, hot_rows: int = 256) -> DataFrame:
+    """``rows`` inner joined to ``groups`` (one row for each key) on columns without nulls.
+
+    ``size`` is the column of ``groups`` with the number of rows of each key, ``total`` the
+    number of all rows. Keys with more than ``hot_rows`` rows, and more than a 4096th of all,
+    are hot. There can be no more than 4096 of them, so they are broadcast and their rows
+    stay where they are, however many one key has; all others are dealt by the key.
+    """
+    bound = max(hot_rows, total // 4096)
+    hot = groups.where(F.col(size) > bound)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(cold.join(groups.where(F.col(size) <= bound), on))
+
+
 def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Column, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` labelled rows of each class 0 and 1.
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, saved
+from .common import fold, fresh, join_groups, saved
 
 SPACES = " \t\n\x0b\x0c\r"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -143,8 +143,8 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, schema)
 
 
-def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_keys: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sha, keep struct<…, id>, group_size) of every row.
+def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_keys: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, n_chars, sha, n_bytes), groups (sha, n_bytes, keep struct<…, id>, group_size), number of rows.
 
     ``in_snapshot`` says which rows are the snapshot; by default half of the ids. The
     result does not depend on it, only which rows are screened does.
@@ -153,7 +153,8 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     if in_snapshot is None:
         in_snapshot = fold("id", 2) == 0
     rows = saved(rows.withColumn("old", in_snapshot), "digests")
-    buckets = max(1, math.ceil(rows.count() / bucket_keys))
+    total = rows.count()
+    buckets = max(1, math.ceil(total / bucket_keys))
     best = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"))
     one = rows.groupBy("old", "key", "sha", "n_bytes").agg(F.min(best).alias("keep"), F.count("*").alias("n"))
     one = saved(one.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("long")), "digest-groups")
@@ -167,34 +168,41 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     of_batch = known.select(*same, F.least("keep", "old_keep").alias("keep"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"), F.col("old_n").isNotNull().alias("merged"))
     merged = of_batch.where("merged").select(*same)
     of_snapshot = snapshot.join(merged, same, "left_anti").select(*same, "keep", F.col("n").alias("group_size"))
-    groups = of_batch.drop("merged").unionByName(of_snapshot)
-    return rows.join(groups, same).select(F.col("id").alias(id_col), "n_chars", "sha", "keep", "group_size")
+    groups = saved(of_batch.drop("merged").unionByName(of_snapshot), "exact-groups")
+    return rows.select("id", "n_chars", *same), groups, total
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: the row that stays for it, its group's size and its digest."""
-    found = exact_groups(docs, **options)
+    rows, groups, total = exact_groups(docs, **options)
+    found = join_groups(rows, groups, ["sha", "n_bytes"], "group_size", total)
     return found.select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         F.col("keep.id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("keep.id").eqNullSafe(F.col("doc_id")) & (F.col("keep.less") == -F.col("n_chars"))).alias("kept"),
+        (F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.less") == -F.col("n_chars"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def unique(docs: DataFrame, **options) -> DataFrame:
-    """The rows that stay, with all their columns; of rows with one id and text, any one."""
-    found = exact_groups(docs, **options).where(F.col("group_size") > 1)
-    gone = found.where(~(F.col("keep.id").eqNullSafe(F.col("doc_id")) & (F.col("keep.less") == -F.col("n_chars"))))
+    """The rows that stay, with all their columns; of rows with one id and text, any one.
+
+    Documents meet the rows that stay by id, digest and length together, so the copies of
+    one text are dealt over all tasks.
+    """
+    _, groups, _ = exact_groups(docs, **options)
     keys = fresh(docs, "id_key", "sha_key", "n_key")
     nth = fresh(docs, "nth")[0]
-    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(keys[0])
-    gone = gone.select(id_key, F.col("sha").alias(keys[1]), F.col("n_chars").alias(keys[2])).distinct()
+
+    def key_of(doc_id: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).alias(keys[0])
+
+    stay = groups.select(key_of(F.col("keep.id")), F.col("sha").alias(keys[1]), (-F.col("keep.less")).alias(keys[2]))
     text = F.coalesce(docs["text"], F.lit(""))
     sha = F.unhex(F.sha2(F.encode(F.translate(text, SPACES, ""), "utf-8"), 256))
-    keyed = docs.select(*(docs[c] for c in docs.columns), id_key, sha.alias(keys[1]), F.length(text).alias(keys[2]))
-    left = keyed.join(gone, keys, "left_anti")
+    keyed = docs.select(*(docs[c] for c in docs.columns), key_of(docs["doc_id"]), sha.alias(keys[1]), F.length(text).alias(keys[2]))
+    left = keyed.join(stay, keys, "left_semi")
     # The join has dealt the rows by these keys, so the ranking needs no shuffle of its own.
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[2]))
     return left.withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
