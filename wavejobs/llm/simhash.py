@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, saved
+from .common import fresh, join_groups, saved
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -147,13 +147,16 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 4, list_rows: int = 4096
     rep = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), fingerprint(text_col).alias("fp"))
     rows = saved(rows, "fingerprints")
-    prints = saved(rows.groupBy("fp").agg(F.min(rep).alias("rep")), "prints")
+    prints = saved(rows.groupBy("fp").agg(F.min(rep).alias("rep"), F.count("*").alias("copies")), "prints")
     roots = components(links(prints.select("fp"), max_bits=max_bits, list_rows=list_rows))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    named = saved(named.select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
-    best = named.groupBy("root").agg(F.min("rep").alias("representative"))
-    of_print = named.select("fp", "root").join(best, "root").select("fp", "representative")
-    return rows.join(of_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "representative")
+    named = saved(named.select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")), "roots")
+    best = saved(named.groupBy("root").agg(F.min("rep").alias("representative"), F.count("*").alias("prints")), "components")
+    of_print = join_groups(named.select("fp", "copies", "root"), best, ["root"], "prints", named.count())
+    of_print = of_print.select("fp", "copies", "representative")
+    of_print = saved(of_print, "representatives")
+    found = join_groups(rows, of_print, ["fp"], "copies", rows.count())
+    return found.select(F.col("id").alias(id_col), "text_hash", "fp", "representative")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
