@@ -2,17 +2,20 @@
 
 Method: two bigram models, one of toxic and one of ordinary texts, are smoothed by
 interpolated Kneser-Ney with discounts estimated per class. Pairs back off to words,
-words to their first ``stem`` letters, and these to counts that both classes share, so
-what is rare in either class is hardly evidence. A document counts once for each of its
+words to their first ``stem`` letters, and these to counts that both classes share: in how
+many of all documents, labelled or not, each stands. So what is rare in either class is
+hardly evidence. A document counts once for each of its
 expressions, however often it repeats them. A text's evidence is the difference of the
 two log-likelihoods per word, normalised by length in three ways: the mean over all
 words, the mean of the strongest ``strongest`` words, and the logarithm of what exceeds ``margin`` over
 the root of the length, as a few toxic words in a long text are toxic too. A logistic
 curve turns these into a score.
 
-The models are fitted on at most ``per_class`` labelled rows of each class. Words and
+The class counts are of at most ``per_class`` labelled rows of each class. Words and
 pairs are counted by Spark; the driver gets the ``max_words`` commonest words and
-``max_pairs`` commonest pairs with their counts, a bounded table. The curve is fitted on
+``max_pairs`` commonest pairs with their counts, a bounded table. The shared counts are
+taken from every whole text of the corpus; those of the model's own words and stems come
+to the driver, and one number for all other words. The curve is fitted on
 texts that the models it is fitted with have not seen (two folds).
 
 Cases: a text that is null, empty or without words has evidence zero and gets the score
@@ -66,15 +69,19 @@ class KneserNey:
     pair_llr: np.ndarray
 
     @classmethod
-    def fit(cls, stem: int, words: list[str], pairs: np.ndarray, stem_counts: dict[str, np.ndarray], word_counts: np.ndarray, pair_counts: np.ndarray) -> KneserNey:
-        """words[0] stands for all others; pairs (m, 2); counts (2, ·) of ordinary and toxic."""
+    def fit(cls, stem: int, words: list[str], pairs: np.ndarray, stem_counts: dict[str, np.ndarray], word_counts: np.ndarray, pair_counts: np.ndarray, shared_stems: np.ndarray, shared_words: np.ndarray, rest: int) -> KneserNey:
+        """words[0] stands for all others; pairs (m, 2); counts (2, ·) of ordinary and toxic.
+
+        The shared counts are the corpus's, of the same stems and words; ``rest`` is that of
+        the stems that the model does not have.
+        """
         n, starts = len(words), list(stem_counts)
         place = {s: i for i, s in enumerate(starts)}
         of_stem = np.array([place.get(w[:stem], 0) for w in words])
         by_stem = np.stack([stem_counts[s] for s in starts], axis=1)
-        shared = by_stem.sum(axis=0) + 1.0
-        shared = shared / shared.sum()
-        seen = word_counts.sum(axis=0) + 1.0
+        shared = shared_stems + 1.0
+        shared = shared / (shared.sum() + rest)
+        seen = shared_words + 1.0
         given_stem = seen / np.bincount(of_stem, weights=seen, minlength=len(starts))[of_stem]
         of_stems, logs, offs, of_pairs = [], [], [], []
         for c in (0, 1):
@@ -134,6 +141,21 @@ class ToxicityModel:
         return F.pandas_udf(lambda texts: run(texts), T.DoubleType())(F.col(text_col))
 
 
+def corpus_counts(docs: DataFrame, words: DataFrame, stems: DataFrame, stem: int, text_col: str = "text") -> tuple[dict[str, int], dict[str, int], int]:
+    """In how many documents each of ``words(w)`` stands; the sum of that over the words of each of ``stems(s)``, and over all other words.
+
+    All words of all texts are counted; only the given words and stems, whose number is
+    bounded by the model, leave Spark.
+    """
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    counts = saved(found.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+    own = {r.w: r.n for r in counts.join(F.broadcast(words), "w").collect()}
+    of_stem = counts.groupBy(F.substring("w", 1, stem).alias("s")).agg(F.sum("n").alias("n"))
+    kept = {r.s: r.n for r in of_stem.join(F.broadcast(stems), "s").collect()}
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return own, kept, total - sum(kept.values())
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 3000, max_words: int = 50_000, max_pairs: int = 200_000, min_pair_docs: int = 5, stem: int = 4) -> ToxicityModel:
     """A model of ``labels.toxic``; ``held_out`` is a condition on doc_id that is not learned from."""
     sample = labelled_sample(labels, docs, "toxic", held_out, per_class)
@@ -154,6 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
     pairs = paired.groupBy("p").agg(F.count("*").alias("n"), *count).where(F.col("n") >= min_pair_docs)
     pairs = pairs.select(F.split("p", " ")[0].alias("a"), F.split("p", " ")[1].alias("b"), "n", *[f"c{c}{h}" for c in (0, 1) for h in (0, 1)])
     pairs = pairs.orderBy(F.desc("n"), "a", "b").limit(max_pairs).toPandas()
+    corpus_words, corpus_stems, rest = corpus_counts(docs, sample.sparkSession.createDataFrame(words[["w"]], "w string"), sample.sparkSession.createDataFrame(starts[["s"]], "s string"), stem)
+    shared_words = np.array([0, *(corpus_words.get(w, 0) for w in words["w"])], np.int64)
+    shared_stems = np.array([corpus_stems.get(s, 0) for s in starts["s"]], np.int64)
     names = ["", *words["w"]]
     index = {w: i for i, w in enumerate(names)}
     ends = np.array([[index.get(a, 0), index.get(b, 0)] for a, b in zip(pairs["a"], pairs["b"])], np.int64).reshape(-1, 2)
@@ -165,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
             return np.stack([df[[f"c{c}{h}" for h in halves]].to_numpy().sum(axis=1) for c in (0, 1)]).astype(np.int64)
 
         first = np.zeros((2, 1), np.int64)
-        return KneserNey.fit(stem, names, ends, dict(zip(starts["s"], of(starts).T)), np.concatenate([first, of(words)], axis=1), of(pairs))
+        return KneserNey.fit(stem, names, ends, dict(zip(starts["s"], of(starts).T)), np.concatenate([first, of(words)], axis=1), of(pairs), shared_stems, shared_words, rest)
 
     other = {h: model([1 - h]) for h in (0, 1)}
 
