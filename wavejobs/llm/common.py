@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +66,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(F.broadcast(hot), on).unionByName(cold.join(groups.where(F.col(size) <= bound), on))
 
 
+def text_function(run: Callable[[pd.Series], pa.Array], kind: T.DataType, text_col: str, rows: int = 128) -> Column:
+    """``run`` over a text column; a task makes Python strings of ``rows`` texts at a time only."""
+
+    @F.arrow_udf(kind)
+    def sliced(texts: pa.Array) -> pa.Array:
+        made = [run(texts.slice(at, rows).to_pandas()) for at in range(0, max(1, len(texts)), rows)]
+        return pa.concat_arrays(made)
+
+    return sliced(F.col(text_col))
+
+
 def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Column, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` labelled rows of each class 0 and 1.
 

@@ -23,11 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_function
+
 LETTER = regex.compile(r"\p{L}").search
 UNDEFINED = "und"
 
@@ -80,8 +83,13 @@ class LanguageModel:
     def column(self, text_col: str = "text") -> Column:
         """struct<lang, score> of a text column."""
         kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-        run = self.predict
-        return F.pandas_udf(lambda texts: run(texts), kind)(F.col(text_col))
+        predict = self.predict
+
+        def run(texts: pd.Series) -> pa.Array:
+            found = predict(texts)
+            return pa.StructArray.from_arrays([pa.array(found["lang"], pa.string()), pa.array(found["score"], pa.float64())], ["lang", "score"])
+
+        return text_function(run, kind, text_col)
 
 
 def fit(docs: DataFrame, held_out: Column, *, max_sample: int = 2000, landmarks: int = 200, max_n: int = 4, cell_bits: int = 15, ridge: float = 1e-2) -> LanguageModel:
@@ -113,22 +121,27 @@ def fit(docs: DataFrame, held_out: Column, *, max_sample: int = 2000, landmarks:
     got = got.sort_values(["doc_id", "lang"], kind="stable")
     if not len(got):
         return LanguageModel([], np.zeros((1 << cell_bits, 0), np.float32), np.zeros(0), max_n, cell_bits)
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["bits"]]).astype(np.float32)
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+
+    def unpacked(rows: np.ndarray) -> np.ndarray:
+        """Presence rows of length 1; they are unpacked in blocks, so that not all are held at once."""
+        x = np.stack([np.unpackbits(np.frombuffer(got["bits"].iloc[i], np.uint8)) for i in rows]).astype(np.float32)
+        return x / np.sqrt(x.sum(axis=1, keepdims=True))
+
     languages = [lang for lang in languages if (got["lang"] == lang).any()]
     target = np.stack([(got["lang"] == lang).to_numpy() for lang in languages], axis=1).astype(np.float64)
     rng = np.random.default_rng(0)
-    at = np.sort(rng.permutation(len(x))[:landmarks])
-    marks = x[at]
+    at = np.sort(rng.permutation(len(got))[:landmarks])
+    marks = unpacked(at)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (x @ marks.T) @ root
+    kernel = [unpacked(rows) @ marks.T for rows in np.array_split(np.arange(len(got)), len(got) // 128 + 1)]
+    features = np.concatenate(kernel) @ root
     centre, aim = features.mean(axis=0), target.mean(axis=0)
     # Each language weighs the same, however many rows it has.
-    weight = (target / target.sum(axis=0)).sum(axis=1) * len(x) / len(languages)
+    weight = (target / target.sum(axis=0)).sum(axis=1) * len(got) / len(languages)
     z = (features - centre) * np.sqrt(weight)[:, None]
-    w = np.linalg.solve(z.T @ z + ridge * len(x) * np.eye(z.shape[1]) * (z**2).mean(), z.T @ ((target - aim) * np.sqrt(weight)[:, None]))
+    w = np.linalg.solve(z.T @ z + ridge * len(got) * np.eye(z.shape[1]) * (z**2).mean(), z.T @ ((target - aim) * np.sqrt(weight)[:, None]))
     folded = (marks.T @ (root @ w)).astype(np.float32)
     return LanguageModel(languages, folded, aim - centre @ w, max_n, cell_bits)
 

@@ -24,11 +24,12 @@ from math import exp
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample
+from .common import labelled_sample, text_function
 from .logistic import Logistic
 
 N_FEATURES = 13
@@ -204,8 +205,8 @@ class QualityModel:
 
     def column(self, text_col: str = "text") -> Column:
         """The quality of a text column, 0 to 1."""
-        run = self.score
-        return F.pandas_udf(lambda texts: run(texts), T.DoubleType())(F.col(text_col))
+        score = self.score
+        return text_function(lambda texts: pa.array(score(texts), pa.float64()), T.DoubleType(), text_col)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 1000, rounds: int = 3) -> QualityModel:

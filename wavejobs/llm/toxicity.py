@@ -25,17 +25,17 @@ and values other than 0 and 1 are ignored; texts are scored whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, saved
+from .common import labelled_sample, saved, text_function
 from .logistic import Logistic
 
 WORD = regex.compile(r"\p{L}+").findall
@@ -137,8 +137,8 @@ class ToxicityModel:
 
     def column(self, text_col: str = "text") -> Column:
         """The score of a text column, 0 to 1."""
-        run: Callable = self.score
-        return F.pandas_udf(lambda texts: run(texts), T.DoubleType())(F.col(text_col))
+        score = self.score
+        return text_function(lambda texts: pa.array(score(texts), pa.float64()), T.DoubleType(), text_col)
 
 
 def corpus_counts(docs: DataFrame, words: DataFrame, stems: DataFrame, stem: int, text_col: str = "text") -> tuple[dict[str, int], dict[str, int], int]:
