@@ -66,8 +66,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(F.broadcast(hot), on).unionByName(cold.join(groups.where(F.col(size) <= bound), on))
 
 
+def small_batches(spark: SparkSession, rows: int = 500, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch") -> None:
+    """Arrow batches of at most ``rows`` rows in this session, unless it was set otherwise.
+
+    Spark's 10,000 is meant for short rows; so many whole texts fill an executor's memory
+    outside its heap.
+    """
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def text_function(run: Callable[[pd.Series], pa.Array], kind: T.DataType, text_col: str, rows: int = 128) -> Column:
     """``run`` over a text column; a task makes Python strings of ``rows`` texts at a time only."""
+    small_batches(SparkSession.active())
 
     @F.arrow_udf(kind)
     def sliced(texts: pa.Array) -> pa.Array:
