@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavejobs.llm import exact_dedup, language_id, packing, simhash, toxicity
-from wavejobs.llm.common import fold, saved, table
+from wavejobs.llm.common import fold, fresh, saved, table
 
 TOXIC_FROM = 0.3
 
@@ -22,7 +23,8 @@ TOXIC_FROM = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC_FROM`` stay; learned from labels outside fold 2 of 4."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
-    return docs.where(model.column() < TOXIC_FROM)
+    (score,) = fresh(docs, "score")
+    return model.with_score(docs, score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,15 @@ def test_nearest_awkward_vectors(spark):
     assert [g[1:] for g in got if g[0] == 0] == [(1, 2, 2.0), (2, 1, 1.0), (3, 20, 1.0), (4, 60, -1.0)]
     assert [g[2] for g in got if g[0] == 20] == [2, 0, 1, 60] and {g[0] for g in got} == {0, 20, 60}
     assert nearest.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    """An expression in two toxic rows keeps its class counts, whatever the sample of the curve holds."""
+    plain = [(i, f"calm words here {i % 3 * 'very '}plain day", 0) for i in range(40)]
+    toxic = [(100 + i, "calm zorg plim day", 1) for i in range(2)] + [(200 + i, f"calm awful {'x' * (i + 1)} day", 1) for i in range(20)]
+    docs = spark.createDataFrame(plain + toxic, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(False), per_class=4)
+    row = model.language.pairs.where("p = 'zorg plim'").first()
+    assert row.n == 2 and row.l2 > 0
+    assert model.language.total == sum(len(set(zip(t.split(), t.split()[1:]))) for _, t, _ in plain + toxic)
+    assert {r.w for r in model.language.words.collect()} == {w for _, t, _ in plain + toxic for w in t.split()}

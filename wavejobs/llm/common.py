@@ -88,16 +88,23 @@ def text_function(run: Callable[[pd.Series], pa.Array], kind: T.DataType, text_c
     return sliced(F.col(text_col))
 
 
+def known_labels(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
+    """(doc_id, label) of all ids outside ``held_out`` with a label 0 or 1.
+
+    Rows with null ids or labels take no part; of contradicting labels of one id the larger holds.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out)
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Column, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` labelled rows of each class 0 and 1.
 
     The ids are chosen in the order of a hash of doc_id, so the choice does not depend
     on partitioning. The chosen ids are few (2 * per_class), so their join to the
-    documents is a broadcast of proven size and no text is shuffled. Rows with null
-    ids or labels take no part; of contradicting labels of one id the larger holds.
+    documents is a broadcast of proven size and no text is shuffled.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out)
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = known_labels(labels, label, held_out)
     ids = [
         known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         for c in (0, 1)

@@ -3,20 +3,21 @@
 Method: two bigram models, one of toxic and one of ordinary texts, are smoothed by
 interpolated Kneser-Ney with discounts estimated per class. Pairs back off to words,
 words to their first ``stem`` letters, and these to counts that both classes share: in how
-many of all documents, labelled or not, each stands. So what is rare in either class is
-hardly evidence. A document counts once for each of its
+many of all documents, labelled or not, each stands. A pair that a class backs off from is its second word as
+often as the class has it, times how much oftener both classes together have it after the
+first. So what is rare in either class is hardly evidence. A document counts once for each of its
 expressions, however often it repeats them. A text's evidence is the difference of the
 two log-likelihoods per word, normalised by length in three ways: the mean over all
 words, the mean of the strongest ``strongest`` words, and the logarithm of what exceeds ``margin`` over
 the root of the length, as a few toxic words in a long text are toxic too. A logistic
 curve turns these into a score.
 
-The class counts are of at most ``per_class`` labelled rows of each class. Words and
-pairs are counted by Spark; the driver gets the ``max_words`` commonest words and
-``max_pairs`` commonest pairs with their counts, a bounded table. The shared counts are
-taken from every whole text of the corpus; those of the model's own words and stems come
-to the driver, and one number for all other words. The curve is fitted on
-texts that the models it is fitted with have not seen (two folds).
+The class counts are of all labelled rows that are not held out. Words, stems and pairs
+stay in written Spark tables, whole, with what they say; the driver gets the totals and
+counts of counts only. Texts are scored by joining: distinct texts are dealt into
+buckets of about ``BUCKET``, and each bucket gets the table rows of its own words and
+pairs. The curve is fitted on at most ``per_class`` rows of each class, by models that
+have not seen them (two folds).
 
 Cases: a text that is null, empty or without words has evidence zero and gets the score
 of that; without labels of both classes every score is 0; labels of unknown ids, nulls
@@ -25,103 +26,135 @@ and values other than 0 and 1 are ignored; texts are scored whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, saved, text_function
+from .common import fresh, join_groups, known_labels, labelled_sample, saved
 from .logistic import Logistic
 
 WORD = regex.compile(r"\p{L}+").findall
+CLASSES, MODELS = (0, 1), (0, 1, 2)
+#: Distinct texts that are scored together.
+BUCKET = 500
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [max(1, int((counts == k).sum())) for k in (1, 2, 3, 4)]
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4."""
+    n = np.maximum(n, 1)
     y = n[0] / (n[0] + 2 * n[1])
     d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
     return np.array([0.0, *(float(np.clip(x, 0.1, k + 0.9)) for k, x in enumerate(d))])
 
 
-def smoothed(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities: discounted counts, and what that frees spread as ``below``."""
-    cut = discounts(counts)[np.minimum(counts, 3)]
-    total = max(1.0, counts.sum())
-    return (counts - cut) / total + max(cut.sum(), 1.0) / total * below
+class Counts:
+    """Discounts, totals and freed mass of a table's counts, for each class and model.
+
+    Columns ``c<class><half>`` hold the counts. Models 0 and 1 are of one half of the rows,
+    model 2 is of both.
+    """
+
+    def __init__(self, df: DataFrame):
+        keys = [(c, m) for c in CLASSES for m in MODELS]
+        asked = []
+        for c, m in keys:
+            n = count(c, m)
+            asked += [F.sum(F.when(n == k, 1).otherwise(0)) for k in (1, 2, 3, 4)] + [F.sum(F.when(n > 2, 1).otherwise(0)), F.sum(n)]
+        got = np.array([v or 0 for v in df.agg(*[x.alias(f"x{i}") for i, x in enumerate(asked)]).first()], float).reshape(-1, 6)
+        self.cuts = {k: discounts(row[:4]) for k, row in zip(keys, got)}
+        self.total = {k: max(1.0, row[5]) for k, row in zip(keys, got)}
+        self.freed = {k: max(1.0, float(self.cuts[k][1:] @ row[[0, 1, 4]])) for k, row in zip(keys, got)}
+
+    def cut(self, c: int, m: int) -> Column:
+        n, d = count(c, m), self.cuts[c, m].tolist()
+        return F.when(n == 0, 0.0).when(n == 1, d[1]).when(n == 2, d[2]).otherwise(d[3])
+
+    def smoothed(self, c: int, m: int, below: Column) -> Column:
+        """Interpolated probability: the discounted count, and what that frees spread as ``below``."""
+        return (count(c, m) - self.cut(c, m)) / self.total[c, m] + self.freed[c, m] / self.total[c, m] * below
+
+
+def count(c: int, m: int) -> Column:
+    return F.col(f"c{c}{m}") if m < 2 else F.col(f"c{c}0") + F.col(f"c{c}1")
+
+
+def seen(m: int) -> Column:
+    return count(0, m) + count(1, m) > 0
+
+
+def each(make: Callable[[int, int], Column], name: str) -> list[Column]:
+    return [make(c, m).alias(f"{name}{c}{m}") for c in CLASSES for m in MODELS]
+
+
+def words_of(text: str | Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def pairs_of(words: str) -> Column:
+    """Distinct neighbours as strings: those of an array are found by hashing, of structs one by one."""
+    firsts, seconds = F.expr(f"slice({words}, 1, greatest(size({words}) - 1, 0))"), F.expr(f"slice({words}, 2, greatest(size({words}) - 1, 0))")
+    return F.array_distinct(F.zip_with(firsts, seconds, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def evidence(text: str | None, words: dict[str, tuple[float, float]], pairs: dict[str, float], strongest: int = 3, margin: float = 3.0) -> list[float]:
+    """Length-normalised log-likelihood differences; ``words`` has those of words and of backing off from them."""
+    found = WORD((text or "").lower())
+    if not found:
+        return [0.0, 0.0, 0.0]
+    own = [words.get(w, (0.0, 0.0)) for w in found]
+    llr = [own[0][0]]
+    for i in range(1, len(found)):
+        pair = pairs.get(f"{found[i - 1]} {found[i]}")
+        llr.append(own[i][0] + own[i - 1][1] if pair is None else pair)
+    llr = np.array(llr)
+    top = np.partition(llr, -strongest)[-strongest:] if len(llr) > strongest else llr
+    return [float(llr.mean()), float(top.sum() / strongest), float(np.log1p(20 * np.maximum(llr - margin, 0).sum() / len(llr) ** 0.5))]
 
 
 @dataclass
 class KneserNey:
-    """Log-likelihood differences: of words, stems and pairs, and of backing off from a word."""
+    """Written tables of log-likelihood differences, with one column for each model.
+
+    words (w, u, b): of a word and of backing off from it; stems (s, l); pairs (p, l, n),
+    ``n`` the labelled rows with the pair and ``total`` the sum of that.
+    """
 
-    words: dict[str, int]
-    stems: dict[str, float]
+    words: DataFrame
+    stems: DataFrame
+    pairs: DataFrame
+    total: int
     stem: int
-    unigram: np.ndarray
-    backoff: np.ndarray
-    pairs: np.ndarray  # sorted first * n + second
-    pair_llr: np.ndarray
-
-    @classmethod
-    def fit(cls, stem: int, words: list[str], pairs: np.ndarray, stem_counts: dict[str, np.ndarray], word_counts: np.ndarray, pair_counts: np.ndarray, shared_stems: np.ndarray, shared_words: np.ndarray, rest: int) -> KneserNey:
-        """words[0] stands for all others; pairs (m, 2); counts (2, ·) of ordinary and toxic.
-
-        The shared counts are the corpus's, of the same stems and words; ``rest`` is that of
-        the stems that the model does not have.
-        """
-        n, starts = len(words), list(stem_counts)
-        place = {s: i for i, s in enumerate(starts)}
-        of_stem = np.array([place.get(w[:stem], 0) for w in words])
-        by_stem = np.stack([stem_counts[s] for s in starts], axis=1)
-        shared = shared_stems + 1.0
-        shared = shared / (shared.sum() + rest)
-        seen = shared_words + 1.0
-        given_stem = seen / np.bincount(of_stem, weights=seen, minlength=len(starts))[of_stem]
-        of_stems, logs, offs, of_pairs = [], [], [], []
-        for c in (0, 1):
-            q = smoothed(by_stem[c], shared)
-            w, b = word_counts[c], pair_counts[c]
-            p = smoothed(w, q[of_stem] * given_stem)
-            cut = discounts(b)[np.minimum(b, 3)]
-            after = np.bincount(pairs[:, 0], weights=b, minlength=n)
-            held = np.bincount(pairs[:, 0], weights=cut, minlength=n)
-            # A word's uncounted pairs (rare ones that were not sent) count as held back.
-            of_word = np.maximum(np.maximum(w, after), 1e-9)
-            weight = np.where(w > 0, np.clip((held + np.maximum(w - after, 0)) / of_word, 1e-6, 1.0), 1.0)
-            of_stems.append(np.log(q))
-            logs.append(np.log(p))
-            offs.append(np.log(weight))
-            of_pairs.append(np.log((b - cut) / of_word[pairs[:, 0]] + weight[pairs[:, 0]] * p[pairs[:, 1]]))
-        # What neither class has seen says nothing, whatever mass each keeps for it.
-        stem_llr = np.where(by_stem.sum(axis=0) > 0, of_stems[1] - of_stems[0], 0.0)
-        unigram, backoff = logs[1] - logs[0], np.minimum(offs[1] - offs[0], 0.0)
-        unigram = np.where(word_counts.sum(axis=0) > 0, unigram, stem_llr[of_stem])
-        unigram[0] = backoff[0] = 0.0
-        key = pairs[:, 0].astype(np.int64) * n + pairs[:, 1]
-        order = np.argsort(key)
-        return cls({w: i for i, w in enumerate(words) if i}, dict(zip(starts, stem_llr.tolist())), stem, unigram, backoff, key[order], (of_pairs[1] - of_pairs[0])[order])
-
-    def evidence(self, text: str | None, strongest: int = 3, margin: float = 3.0) -> list[float]:
-        """Length-normalised log-likelihood differences."""
-        words = WORD((text or "").lower())
-        if not words:
-            return [0.0, 0.0, 0.0]
-        ids = np.array([self.words.get(w, 0) for w in words], np.int64)
-        llr = self.unigram[ids]
-        for i in np.flatnonzero(ids == 0):
-            llr[i] = self.stems.get(words[i][: self.stem], 0.0)
-        if len(ids) > 1 and len(self.pairs):
-            key = ids[:-1] * len(self.unigram) + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            llr[1:] = np.where(self.pairs[at] == key, self.pair_llr[at], llr[1:] + self.backoff[ids[:-1]])
-        top = np.partition(llr, -strongest)[-strongest:] if len(llr) > strongest else llr
-        return [float(llr.mean()), float(top.sum() / strongest), float(np.log1p(20 * np.maximum(llr - margin, 0).sum() / len(llr) ** 0.5))]
+
+    def evidence(self, texts: DataFrame, m: int) -> DataFrame:
+        """``texts(h1, h2, text)`` of distinct texts to (h1, h2, x), by model ``m``."""
+        buckets = texts.count() // BUCKET + 1
+        texts = texts.withColumn("bucket", F.pmod("h1", F.lit(buckets)))
+        tokens = texts.select("bucket", words_of("text").alias("ws"))
+        words = tokens.select("bucket", F.explode(F.array_distinct("ws")).alias("w")).distinct()
+        words = words.join(self.words.select("w", f"u{m}", f"b{m}"), "w", "left").withColumn("s", F.substring("w", 1, self.stem))
+        words = words.join(self.stems.select("s", f"l{m}"), "s", "left")
+        words = words.select("bucket", F.col("w").alias("e"), F.coalesce(f"u{m}", f"l{m}", F.lit(0.0)).alias("x"), F.coalesce(f"b{m}", F.lit(0.0)).alias("y"))
+        pairs = tokens.select("bucket", F.explode(pairs_of("ws")).alias("p"))
+        pairs = join_groups(pairs, self.pairs.where(F.col(f"l{m}").isNotNull()).select("p", "n", F.col(f"l{m}").alias("x")), ["p"], "n", self.total)
+        held = words.where("x != 0 or y != 0").unionByName(pairs.select("bucket", F.col("p").alias("e"), "x", F.lit(0.0).alias("y")))
+        held = held.select(F.col("bucket").alias("held_by"), "e", "x", "y")
+
+        def run(texts: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            words, pairs = {}, {}
+            for e, x, y in zip(held["e"], held["x"], held["y"]):
+                if " " in e:
+                    pairs[e] = x
+                else:
+                    words[e] = (x, y)
+            return pd.DataFrame({"h1": texts["h1"], "h2": texts["h2"], "x": [evidence(t, words, pairs) for t in texts["text"]]})
+
+        return texts.groupBy("bucket").cogroup(held.groupBy("held_by")).applyInPandas(run, "h1 long, h2 long, x array<double>")
 
 
 @dataclass
@@ -129,80 +162,124 @@ class ToxicityModel:
     language: KneserNey | None
     curve: Logistic | None
 
-    def score(self, texts: pd.Series) -> pd.Series:
+    def with_score(self, docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+        """``docs`` and the score, 0 to 1, of their text as column ``name``; equal texts are scored once."""
         if self.language is None:
-            return pd.Series(np.zeros(len(texts)))
-        x = np.array([self.language.evidence(t) for t in texts]).reshape(-1, 3)
-        return pd.Series(self.curve.probability(x))
-
-    def column(self, text_col: str = "text") -> Column:
-        """The score of a text column, 0 to 1."""
-        score = self.score
-        return text_function(lambda texts: pa.array(score(texts), pa.float64()), T.DoubleType(), text_col)
-
-
-def corpus_counts(docs: DataFrame, words: DataFrame, stems: DataFrame, stem: int, text_col: str = "text") -> tuple[dict[str, int], dict[str, int], int]:
-    """In how many documents each of ``words(w)`` stands; the sum of that over the words of each of ``stems(s)``, and over all other words.
-
-    All words of all texts are counted; only the given words and stems, whose number is
-    bounded by the model, leave Spark.
-    """
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    counts = saved(found.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
-    own = {r.w: r.n for r in counts.join(F.broadcast(words), "w").collect()}
-    of_stem = counts.groupBy(F.substring("w", 1, stem).alias("s")).agg(F.sum("n").alias("n"))
-    kept = {r.s: r.n for r in of_stem.join(F.broadcast(stems), "s").collect()}
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return own, kept, total - sum(kept.values())
-
-
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 3000, max_words: int = 50_000, max_pairs: int = 200_000, min_pair_docs: int = 5, stem: int = 4) -> ToxicityModel:
+            return docs.withColumn(name, F.lit(0.0))
+        h1, h2, size = fresh(docs.withColumn(name, F.lit(0.0)), "h1", "h2", "size")
+        keyed = docs.withColumns(dict(zip((h1, h2), hashes(text_col))))
+        texts = keyed.groupBy(F.col(h1).alias("h1"), F.col(h2).alias("h2")).agg(F.first(F.coalesce(text_col, F.lit(""))).alias("text"), F.count("*").alias("size"))
+        texts = saved(texts, "toxicity-texts")
+        curve = self.curve
+
+        @F.pandas_udf(T.DoubleType())
+        def probability(x: pd.Series) -> pd.Series:
+            return pd.Series(curve.probability(np.array(x.tolist()).reshape(-1, 3)))
+
+        found = self.language.evidence(texts.select("h1", "h2", "text"), 2)
+        found = found.join(texts.select("h1", "h2", "size"), ["h1", "h2"])
+        found = saved(found.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("size").alias(size), probability("x").alias(name)), "toxicity-scores")
+        total = found.agg(F.sum(size)).first()[0] or 0
+        return join_groups(keyed, found, [h1, h2], size, total).select(*docs.columns, name)
+
+
+def hashes(text_col: str) -> tuple[Column, Column]:
+    """128 bits of a text; null counts as empty."""
+    text = F.coalesce(text_col, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def learned(docs: DataFrame, known: DataFrame, stem: int) -> KneserNey | None:
+    """Models of all rows of ``docs`` with a label in ``known(doc_id, label)``."""
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = saved(rows.select("label", half().alias("half"), words_of("text").alias("ws")), "toxicity-rows")
+    if rows.where("size(ws) > 0").select("label").distinct().count() < 2:
+        return None
+    counts = [F.sum(F.when((F.col("label") == c) & (F.col("half") == h), 1).otherwise(0)).alias(f"c{c}{h}") for c in CLASSES for h in (0, 1)]
+    names = [f"c{c}{h}" for c in CLASSES for h in (0, 1)]
+
+    def counted(expressions: Column, key: str) -> DataFrame:
+        one = rows.select("label", "half", F.explode(expressions).alias(key))
+        return saved(one.groupBy(key).agg(*counts), f"toxicity-{key}")
+
+    words, pairs = counted(F.array_distinct("ws"), "w"), counted(pairs_of("ws"), "p")
+    stems = counted(F.array_distinct(F.transform("ws", lambda w: F.substring(w, 1, stem))), "s")
+    of_words, of_stems, of_pairs = Counts(words), Counts(stems), Counts(pairs)
+    corpus = docs.select(F.explode(F.array_distinct(words_of("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    corpus = saved(corpus, "toxicity-corpus")
+    shared = (corpus.agg(F.sum("n")).first()[0] or 0) + stems.count()
+    of_stem = corpus.groupBy(F.substring("w", 1, stem).alias("s")).agg(F.sum("n").alias("n"))
+    below = (F.coalesce("n", F.lit(0)) + 1.0) / shared
+    stems = stems.join(of_stem, "s", "left").select("*", *each(lambda c, m: of_stems.smoothed(c, m, below), "q"))
+    # What neither class has seen says nothing, whatever mass each keeps for it.
+    stems = saved(stems.select("*", *[F.when(seen(m), F.log(f"q1{m}") - F.log(f"q0{m}")).otherwise(0.0).alias(f"l{m}") for m in MODELS]), "toxicity-stems")
+
+    words = words.join(corpus, "w", "left").select("w", *names, F.substring("w", 1, stem).alias("s"), (F.coalesce("n", F.lit(0)) + 1.0).alias("n"))
+    sums = words.groupBy("s").agg(F.sum("n").alias("stem_n"))
+    words = words.join(stems.drop(*names, "n").join(sums, "s"), "s")
+    words = words.select("*", *each(lambda c, m: of_words.smoothed(c, m, F.col(f"q{c}{m}") * F.col("n") / F.col("stem_n")), "p"))
+    ends = F.split("p", " ")
+    pairs = pairs.select("*", ends[0].alias("a"), ends[1].alias("b"))
+    after = [F.sum(count(c, m)).alias(f"after{c}{m}") for c in CLASSES for m in MODELS]
+    held = [F.sum(of_pairs.cut(c, m)).alias(f"held{c}{m}") for c in CLASSES for m in MODELS]
+    firsts = pairs.groupBy(F.col("a").alias("w")).agg(F.count("*").alias("as_first"), *after, *held)
+    seconds = pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("as_second"))
+    words = words.join(firsts, "w", "left").join(seconds, "w", "left").na.fill(0)
+    # Where a row ends with the word, nothing follows: that counts as held back.
+    words = words.select("*", *each(lambda c, m: F.greatest(count(c, m), F.col(f"after{c}{m}"), F.lit(1e-9)), "of"))
+
+    def weight(c: int, m: int) -> Column:
+        kept = (F.col(f"held{c}{m}") + F.greatest(count(c, m) - F.col(f"after{c}{m}"), F.lit(0))) / F.col(f"of{c}{m}")
+        return F.when(count(c, m) > 0, F.least(F.greatest(kept, F.lit(1e-6)), F.lit(1.0))).otherwise(1.0)
+
+    words = words.select("*", *each(weight, "g"))
+    said = [F.when(seen(m), F.log(f"p1{m}") - F.log(f"p0{m}")).otherwise(F.col(f"l{m}")).alias(f"u{m}") for m in MODELS]
+    back = [F.least(F.log(f"g1{m}") - F.log(f"g0{m}"), F.lit(0.0)).alias(f"b{m}") for m in MODELS]
+    words = saved(words.select("w", "as_first", "as_second", *[f"{k}{c}{m}" for k in ("p", "of", "g") for c in CLASSES for m in MODELS], *said, *back), "toxicity-words")
+
+    number = pairs.count()
+    first = words.select(F.col("w").alias("a"), "as_first", *[f"{k}{c}{m}" for k in ("of", "g") for c in CLASSES for m in MODELS])
+    second = words.select(F.col("w").alias("b"), "as_second", *[F.col(f"p{c}{m}") for c in CLASSES for m in MODELS])
+    pairs = pairs.withColumnRenamed("p", "pair")
+    pairs = join_groups(join_groups(pairs, first, ["a"], "as_first", number), second, ["b"], "as_second", number)
+
+    def shared_share(m: int) -> Column:
+        """How much oftener both classes together have the second word after the first than anywhere."""
+        t = [of_words.total[c, m] for c in CLASSES]
+        anywhere = (F.col(f"p0{m}") * t[0] + F.col(f"p1{m}") * t[1]) / sum(t)
+        return (count(0, m) + count(1, m)) / (F.col(f"of0{m}") + F.col(f"of1{m}")) / anywhere
+
+    def joint(c: int, m: int) -> Column:
+        below = F.least(F.col(f"p{c}{m}") * shared_share(m), F.lit(1.0))
+        return F.log((count(c, m) - of_pairs.cut(c, m)) / F.col(f"of{c}{m}") + F.col(f"g{c}{m}") * below)
+
+    said = [F.when(seen(m), joint(1, m) - joint(0, m)).alias(f"l{m}") for m in MODELS]
+    pairs = saved(pairs.select(F.col("pair").alias("p"), sum(F.col(c) for c in names).alias("n"), *said), "toxicity-pairs")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    return KneserNey(words, stems.select("s", *[f"l{m}" for m in MODELS]), pairs, total, stem)
+
+
+def half() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 3000, stem: int = 4) -> ToxicityModel:
     """A model of ``labels.toxic``; ``held_out`` is a condition on doc_id that is not learned from."""
-    sample = labelled_sample(labels, docs, "toxic", held_out, per_class)
-    half = (F.pmod(F.xxhash64("doc_id"), F.lit(2))).cast("int")
-    sample = saved(sample.select("text", "label", half.alias("half")), "toxicity-sample")
-    words_of = F.udf(lambda t: WORD((t or "").lower()), T.ArrayType(T.StringType()))
-    rows = sample.select("label", "half", words_of("text").alias("w"))
-    count = [F.sum(F.when((F.col("label") == c) & (F.col("half") == h), 1).otherwise(0)).alias(f"c{c}{h}") for c in (0, 1) for h in (0, 1)]
-    single = rows.select("label", "half", F.explode(F.array_distinct("w")).alias("w"))
-    words = single.groupBy("w").agg(F.count("*").alias("n"), *count).orderBy(F.desc("n"), "w").limit(max_words).toPandas()
-    starts = rows.select("label", "half", F.explode(F.array_distinct(F.transform("w", lambda w: F.substring(w, 1, stem)))).alias("s"))
-    starts = starts.groupBy("s").agg(F.count("*").alias("n"), *count).orderBy(F.desc("n"), "s").limit(max_words).toPandas()
-    if not (len(words) and all(words[[f"c{c}0", f"c{c}1"]].to_numpy().sum() for c in (0, 1))):
+    language = learned(docs, known_labels(labels, "toxic", held_out), stem)
+    if language is None:
         return ToxicityModel(None, None)
-    # Pairs as strings: the distinct ones of an array are found by hashing, of structs one by one.
-    joined = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))
-    paired = rows.where("size(w) > 1").select("label", "half", F.explode(F.array_distinct(joined)).alias("p"))
-    pairs = paired.groupBy("p").agg(F.count("*").alias("n"), *count).where(F.col("n") >= min_pair_docs)
-    pairs = pairs.select(F.split("p", " ")[0].alias("a"), F.split("p", " ")[1].alias("b"), "n", *[f"c{c}{h}" for c in (0, 1) for h in (0, 1)])
-    pairs = pairs.orderBy(F.desc("n"), "a", "b").limit(max_pairs).toPandas()
-    corpus_words, corpus_stems, rest = corpus_counts(docs, sample.sparkSession.createDataFrame(words[["w"]], "w string"), sample.sparkSession.createDataFrame(starts[["s"]], "s string"), stem)
-    shared_words = np.array([0, *(corpus_words.get(w, 0) for w in words["w"])], np.int64)
-    shared_stems = np.array([corpus_stems.get(s, 0) for s in starts["s"]], np.int64)
-    names = ["", *words["w"]]
-    index = {w: i for i, w in enumerate(names)}
-    ends = np.array([[index.get(a, 0), index.get(b, 0)] for a, b in zip(pairs["a"], pairs["b"])], np.int64).reshape(-1, 2)
-    ends_known = (ends > 0).all(axis=1)
-    ends, pairs = ends[ends_known], pairs[ends_known]
-
-    def model(halves: list[int]) -> KneserNey:
-        def of(df: pd.DataFrame) -> np.ndarray:
-            return np.stack([df[[f"c{c}{h}" for h in halves]].to_numpy().sum(axis=1) for c in (0, 1)]).astype(np.int64)
-
-        first = np.zeros((2, 1), np.int64)
-        return KneserNey.fit(stem, names, ends, dict(zip(starts["s"], of(starts).T)), np.concatenate([first, of(words)], axis=1), of(pairs), shared_stems, shared_words, rest)
-
-    other = {h: model([1 - h]) for h in (0, 1)}
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def unseen(texts: pd.Series, halves: pd.Series) -> pd.Series:
-        return pd.Series([other[h].evidence(t) for t, h in zip(texts, halves)])
-
-    known = sample.select("label", unseen("text", "half").alias("x")).toPandas()
-    x = np.array(known["x"].tolist()).reshape(-1, 3)
-    return ToxicityModel(model([0, 1]), Logistic.fit(x, known["label"].to_numpy()))
+    sample = labelled_sample(labels, docs, "toxic", held_out, per_class)
+    sample = saved(sample.select("label", half().alias("half"), "text", *[h.alias(f"h{i}") for i, h in enumerate(hashes("text"), 1)]), "toxicity-sample")
+    x, y = [], []
+    for h in (0, 1):
+        rows = sample.where(F.col("half") == h)
+        one = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        known = rows.select("h1", "h2", "label").join(language.evidence(one, 1 - h), ["h1", "h2"]).select("label", "x").toPandas()
+        x += known["x"].tolist()
+        y += known["label"].tolist()
+    return ToxicityModel(language, Logistic.fit(np.array(x).reshape(-1, 3), np.array(y)))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, held_out: Column, threshold: float = 0.3) -> DataFrame:
-    rows = docs.select("doc_id", held_out.alias("held_out"), model.column().alias("score"))
+    rows = model.with_score(docs.select("doc_id", "text", held_out.alias("held_out")), "score")
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
