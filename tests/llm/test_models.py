@@ -139,3 +139,18 @@ def test_toxicity_counts_all_labelled_rows(spark):
     assert row.n == 2 and row.l2 > 0
     assert model.language.total == sum(len(set(zip(t.split(), t.split()[1:]))) for _, t, _ in plain + toxic)
     assert {r.w for r in model.language.words.collect()} == {w for _, t, _ in plain + toxic for w in t.split()}
+
+
+def test_capped_samples_keep_the_rate_of_classes(spark):
+    """A curve fitted on as many rows of each class still scores at the rate of all labelled rows."""
+    import numpy as np
+
+    from wavejobs.llm.common import labelled_sample
+    from wavejobs.llm.logistic import Logistic
+
+    docs = spark.range(1000).selectExpr("id as doc_id", "'' as text", "cast(id % 10 = 0 as int) as toxic")
+    labels = docs.select("doc_id", "toxic").union(spark.range(5000, 5400).selectExpr("id", "1"))
+    got = labelled_sample(labels, docs, "toxic", F.lit(False), 50).toPandas()
+    assert got.groupby("label")["weight"].agg(["count", "sum"]).values.tolist() == [[50, 900], [50, 100]]
+    curve = Logistic.fit(np.zeros((100, 1)), got["label"].to_numpy(), got["weight"].to_numpy())
+    assert abs(curve.probability(np.zeros((1, 1)))[0] - 0.1) < 1e-6

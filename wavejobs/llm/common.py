@@ -98,15 +98,19 @@ def known_labels(labels: DataFrame, label: str, held_out: Column) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``per_class`` labelled rows of each class 0 and 1.
+    """(doc_id, text, label, weight) of at most ``per_class`` labelled ids of each class 0 and 1.
 
     The ids are chosen in the order of a hash of doc_id, so the choice does not depend
     on partitioning. The chosen ids are few (2 * per_class), so their join to the
-    documents is a broadcast of proven size and no text is shuffled.
+    documents is a broadcast of proven size and no text is shuffled. ``weight`` is the
+    number of all labelled ids of the class that have a document, for each chosen one.
     """
-    known = known_labels(labels, label, held_out)
+    known = known_labels(labels, label, held_out).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = saved(known, f"{label}-labels")
+    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     ids = [
         known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        .withColumn("weight", F.lit(max(1.0, sizes.get(c, 0) / per_class)))
         for c in (0, 1)
     ]
     chosen = ids[0].unionByName(ids[1])

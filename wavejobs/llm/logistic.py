@@ -14,15 +14,18 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 30) -> Logistic:
+        """``weight`` says how many rows each stands for."""
+        weight = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
+        mean = np.average(x, axis=0, weights=weight)
+        scale = np.average((x - mean) ** 2, axis=0, weights=weight) ** 0.5 + 1e-9
         z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
         w = np.zeros(z.shape[1])
         penalty = np.diag([ridge * len(x) ** 0.5] * x.shape[1] + [1e-9])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) + penalty @ w
-            hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty
+            grad = z.T @ (weight * (p - y)) + penalty @ w
+            hess = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + penalty
             step = np.linalg.solve(hess, grad)
             w -= np.clip(step, -3, 3)
             if np.abs(step).max() < 1e-8:

@@ -10,7 +10,8 @@ maximum and the number of lines.
 Only documents are labelled, so lines start with their document's label; then lines of
 bad documents that the field finds good are taken as good (but for the worst one of each)
 and the field is fitted again, ``rounds`` times. It is fitted on at most ``per_class``
-labelled rows of each class, whose line features, not texts, come to the driver.
+labelled rows of each class, whose line features, not texts, come to the driver; in the
+curve each weighs as many rows as it stands for, so that the cap does not move the score.
 
 Cases: blank lines are left out; a text that is null, empty or blank has no line and gets
 the score of a document without bad lines; without labels of both classes every score is
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
         both = [line_features(t) for t in texts]
         return pd.DataFrame({"x": [x.tobytes() for x, _ in both], "length": [n.tobytes() for _, n in both]})
 
-    got = sample.select("doc_id", "label", measured("text").alias("f")).select("doc_id", "label", "f.x", "f.length").toPandas()
+    got = sample.select("doc_id", "label", "weight", measured("text").alias("f")).select("doc_id", "label", "weight", "f.x", "f.length").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     good = got["label"].to_numpy()
     if not len(got) or good.min() == good.max():
@@ -235,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
                     bad = field.marginals(x @ field.weights)
                     states[i] = ((bad > 0.5) | (bad == bad.max())).astype(int)
     model = QualityModel(field, None)
-    model.curve = Logistic.fit(np.array([model.summary(x, n) for x, n in zip(lines, lengths)]), good)
+    model.curve = Logistic.fit(np.array([model.summary(x, n) for x, n in zip(lines, lengths)]), good, got["weight"].to_numpy())
     return model
 
 

@@ -17,7 +17,7 @@ stay in written Spark tables, whole, with what they say; the driver gets the tot
 counts of counts only. Texts are scored by joining: distinct texts are dealt into
 buckets of about ``BUCKET``, and each bucket gets the table rows of its own words and
 pairs. The curve is fitted on at most ``per_class`` rows of each class, by models that
-have not seen them (two folds).
+have not seen them (two folds), and each row weighs as many as it stands for.
 
 Cases: a text that is null, empty or without words has evidence zero and gets the score
 of that; without labels of both classes every score is 0; labels of unknown ids, nulls
@@ -269,15 +269,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
     if language is None:
         return ToxicityModel(None, None)
     sample = labelled_sample(labels, docs, "toxic", held_out, per_class)
-    sample = saved(sample.select("label", half().alias("half"), "text", *[h.alias(f"h{i}") for i, h in enumerate(hashes("text"), 1)]), "toxicity-sample")
-    x, y = [], []
+    sample = saved(sample.select("label", "weight", half().alias("half"), "text", *[h.alias(f"h{i}") for i, h in enumerate(hashes("text"), 1)]), "toxicity-sample")
+    x, y, weight = [], [], []
     for h in (0, 1):
         rows = sample.where(F.col("half") == h)
         one = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-        known = rows.select("h1", "h2", "label").join(language.evidence(one, 1 - h), ["h1", "h2"]).select("label", "x").toPandas()
+        known = rows.select("h1", "h2", "label", "weight").join(language.evidence(one, 1 - h), ["h1", "h2"]).select("label", "weight", "x").toPandas()
         x += known["x"].tolist()
         y += known["label"].tolist()
-    return ToxicityModel(language, Logistic.fit(np.array(x).reshape(-1, 3), np.array(y)))
+        weight += known["weight"].tolist()
+    return ToxicityModel(language, Logistic.fit(np.array(x).reshape(-1, 3), np.array(y), np.array(weight)))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, held_out: Column, threshold: float = 0.3) -> DataFrame:
