@@ -131,17 +131,25 @@ class KneserNey:
     total: int
     stem: int
 
-    def evidence(self, texts: DataFrame, m: int) -> DataFrame:
-        """``texts(h1, h2, text)`` of distinct texts to (h1, h2, x), by model ``m``."""
+    def evidence(self, texts: DataFrame, models: tuple[int, ...]) -> DataFrame:
+        """``texts(h1, h2, m, text)`` of distinct texts to (h1, h2, m, x), each by its model ``m`` of ``models``."""
+
+        def own(name: str) -> Column:
+            return F.coalesce(*[F.when(F.col("m") == m, F.col(f"{name}{m}")) for m in models])
+
+        def of(name: str) -> list[str]:
+            return [f"{name}{m}" for m in models]
+
         buckets = texts.count() // BUCKET + 1
-        texts = texts.withColumn("bucket", F.pmod("h1", F.lit(buckets)))
-        tokens = texts.select("bucket", words_of("text").alias("ws"))
-        words = tokens.select("bucket", F.explode(F.array_distinct("ws")).alias("w")).distinct()
-        words = words.join(self.words.select("w", f"u{m}", f"b{m}"), "w", "left").withColumn("s", F.substring("w", 1, self.stem))
-        words = words.join(self.stems.select("s", f"l{m}"), "s", "left")
-        words = words.select("bucket", F.col("w").alias("e"), F.coalesce(f"u{m}", f"l{m}", F.lit(0.0)).alias("x"), F.coalesce(f"b{m}", F.lit(0.0)).alias("y"))
-        pairs = tokens.select("bucket", F.explode(pairs_of("ws")).alias("p"))
-        pairs = join_groups(pairs, self.pairs.where(F.col(f"l{m}").isNotNull()).select("p", "n", F.col(f"l{m}").alias("x")), ["p"], "n", self.total)
+        texts = texts.withColumn("bucket", F.pmod("h1", F.lit(buckets)) * len(MODELS) + F.col("m"))
+        tokens = texts.select("bucket", "m", words_of("text").alias("ws"))
+        words = tokens.select("bucket", "m", F.explode(F.array_distinct("ws")).alias("w")).distinct()
+        words = words.join(self.words.select("w", *of("u"), *of("b")), "w", "left").withColumn("s", F.substring("w", 1, self.stem))
+        words = words.join(self.stems.select("s", *of("l")), "s", "left")
+        words = words.select("bucket", F.col("w").alias("e"), F.coalesce(own("u"), own("l"), F.lit(0.0)).alias("x"), F.coalesce(own("b"), F.lit(0.0)).alias("y"))
+        pairs = tokens.select("bucket", "m", F.explode(pairs_of("ws")).alias("p"))
+        pairs = join_groups(pairs, self.pairs.where(F.coalesce(*of("l")).isNotNull()).select("p", "n", *of("l")), ["p"], "n", self.total)
+        pairs = pairs.select("bucket", "p", own("l").alias("x")).where("x is not null")
         held = words.where("x != 0 or y != 0").unionByName(pairs.select("bucket", F.col("p").alias("e"), "x", F.lit(0.0).alias("y")))
         held = held.select(F.col("bucket").alias("held_by"), "e", "x", "y")
 
@@ -152,9 +160,9 @@ class KneserNey:
                     pairs[e] = x
                 else:
                     words[e] = (x, y)
-            return pd.DataFrame({"h1": texts["h1"], "h2": texts["h2"], "x": [evidence(t, words, pairs) for t in texts["text"]]})
+            return pd.DataFrame({"h1": texts["h1"], "h2": texts["h2"], "m": texts["m"], "x": [evidence(t, words, pairs) for t in texts["text"]]})
 
-        return texts.groupBy("bucket").cogroup(held.groupBy("held_by")).applyInPandas(run, "h1 long, h2 long, x array<double>")
+        return texts.groupBy("bucket").cogroup(held.groupBy("held_by")).applyInPandas(run, "h1 long, h2 long, m int, x array<double>")
 
 
 @dataclass
@@ -176,7 +184,7 @@ class ToxicityModel:
         def probability(x: pd.Series) -> pd.Series:
             return pd.Series(curve.probability(np.array(x.tolist()).reshape(-1, 3)))
 
-        found = self.language.evidence(texts.select("h1", "h2", "text"), 2)
+        found = self.language.evidence(texts.select("h1", "h2", F.lit(2).alias("m"), "text"), (2,))
         found = found.join(texts.select("h1", "h2", "size"), ["h1", "h2"])
         found = saved(found.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("size").alias(size), probability("x").alias(name)), "toxicity-scores")
         total = found.agg(F.sum(size)).first()[0] or 0
@@ -240,8 +248,8 @@ def learned(docs: DataFrame, known: DataFrame, stem: int) -> KneserNey | None:
     number = pairs.count()
     first = words.select(F.col("w").alias("a"), "as_first", *[f"{k}{c}{m}" for k in ("of", "g") for c in CLASSES for m in MODELS])
     second = words.select(F.col("w").alias("b"), "as_second", *[F.col(f"p{c}{m}") for c in CLASSES for m in MODELS])
-    pairs = pairs.withColumnRenamed("p", "pair")
-    pairs = join_groups(join_groups(pairs, first, ["a"], "as_first", number), second, ["b"], "as_second", number)
+    pairs = join_groups(pairs.drop("p"), second, ["b"], "as_second", number).drop("as_second")
+    pairs = join_groups(pairs, first, ["a"], "as_first", number)
 
     def shared_share(m: int) -> Column:
         """How much oftener both classes together have the second word after the first than anywhere."""
@@ -254,7 +262,7 @@ def learned(docs: DataFrame, known: DataFrame, stem: int) -> KneserNey | None:
         return F.log((count(c, m) - of_pairs.cut(c, m)) / F.col(f"of{c}{m}") + F.col(f"g{c}{m}") * below)
 
     said = [F.when(seen(m), joint(1, m) - joint(0, m)).alias(f"l{m}") for m in MODELS]
-    pairs = saved(pairs.select(F.col("pair").alias("p"), sum(F.col(c) for c in names).alias("n"), *said), "toxicity-pairs")
+    pairs = saved(pairs.select(F.concat("a", F.lit(" "), "b").alias("p"), sum(F.col(c) for c in names).alias("n"), *said), "toxicity-pairs")
     total = pairs.agg(F.sum("n")).first()[0] or 0
     return KneserNey(words, stems.select("s", *[f"l{m}" for m in MODELS]), pairs, total, stem)
 
@@ -270,15 +278,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
         return ToxicityModel(None, None)
     sample = labelled_sample(labels, docs, "toxic", held_out, per_class)
     sample = saved(sample.select("label", "weight", half().alias("half"), "text", *[h.alias(f"h{i}") for i, h in enumerate(hashes("text"), 1)]), "toxicity-sample")
-    x, y, weight = [], [], []
-    for h in (0, 1):
-        rows = sample.where(F.col("half") == h)
-        one = rows.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-        known = rows.select("h1", "h2", "label", "weight").join(language.evidence(one, 1 - h), ["h1", "h2"]).select("label", "weight", "x").toPandas()
-        x += known["x"].tolist()
-        y += known["label"].tolist()
-        weight += known["weight"].tolist()
-    return ToxicityModel(language, Logistic.fit(np.array(x).reshape(-1, 3), np.array(y), np.array(weight)))
+    # Each half is scored by the model of the other.
+    sample = sample.withColumn("m", 1 - F.col("half"))
+    texts = sample.groupBy("h1", "h2", "m").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    known = sample.select("h1", "h2", "m", "label", "weight").join(language.evidence(texts, (0, 1)), ["h1", "h2", "m"])
+    known = known.select("label", "weight", "x").toPandas()
+    return ToxicityModel(language, Logistic.fit(np.array(known["x"].tolist()).reshape(-1, 3), known["label"].to_numpy(), known["weight"].to_numpy()))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, held_out: Column, threshold: float = 0.3) -> DataFrame:
