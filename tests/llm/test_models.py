@@ -154,3 +154,14 @@ def test_capped_samples_keep_the_rate_of_classes(spark):
     assert got.groupby("label")["weight"].agg(["count", "sum"]).values.tolist() == [[50, 900], [50, 100]]
     curve = Logistic.fit(np.zeros((100, 1)), got["label"].to_numpy(), got["weight"].to_numpy())
     assert abs(curve.probability(np.zeros((1, 1)))[0] - 0.1) < 1e-6
+
+
+def test_sample_has_one_row_of_an_id(spark):
+    from wavejobs.llm.common import labelled_sample
+
+    docs = spark.range(500).selectExpr("if(id < 300, 7, id) as doc_id", "concat('text ', id) as text")
+    labels = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = labelled_sample(labels, docs, "toxic", F.lit(False), 1000).toPandas()
+    assert got["doc_id"].is_unique and set(got["doc_id"]) == {7, *range(300, 500)}
+    again = labelled_sample(labels, docs.repartition(7, "text"), "toxic", F.lit(False), 1000).toPandas()
+    assert dict(zip(got["doc_id"], got["text"])) == dict(zip(again["doc_id"], again["text"]))

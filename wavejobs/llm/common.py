@@ -104,6 +104,7 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Co
     on partitioning. The chosen ids are few (2 * per_class), so their join to the
     documents is a broadcast of proven size and no text is shuffled. ``weight`` is the
     number of all labelled ids of the class that have a document, for each chosen one.
+    Of several rows of one id the sample has one, that with the smallest hash of its text.
     """
     known = known_labels(labels, label, held_out).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     known = saved(known, f"{label}-labels")
@@ -114,7 +115,9 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, held_out: Co
         for c in (0, 1)
     ]
     chosen = ids[0].unionByName(ids[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "label", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("doc_id", "text", "label", "weight")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
