@@ -1,7 +1,8 @@
 """Toxicity scores from class-conditional Kneser-Ney models (operator 2).
 
 Method: two bigram models, one of toxic and one of ordinary texts, are smoothed by
-interpolated Kneser-Ney with discounts estimated per class. Pairs back off to words,
+interpolated Kneser-Ney with discounts estimated per class, but the lower orders are document
+frequencies, not continuation counts (README says why). Pairs back off to words,
 words to their first ``stem`` letters, and these to counts that both classes share: in how
 many of all documents, labelled or not, each stands. A pair that a class backs off from is its second word as
 often as the class has it, times how much oftener both classes together have it after the
