@@ -165,3 +165,10 @@ def test_sample_has_one_row_of_an_id(spark):
     assert got["doc_id"].is_unique and set(got["doc_id"]) == {7, *range(300, 500)}
     again = labelled_sample(labels, docs.repartition(7, "text"), "toxic", F.lit(False), 1000).toPandas()
     assert dict(zip(got["doc_id"], got["text"])) == dict(zip(again["doc_id"], again["text"]))
+
+
+def test_language_learns_every_language(spark):
+    rows = spark.range(1100).selectExpr("id as doc_id", "concat('text ', id % 550) as text", "concat('l', id % 550) as lang")
+    hot = spark.range(200).selectExpr("9999 as doc_id", "'many copies' as text", "'l0' as lang")
+    model = language_id.fit(rows.union(hot), F.lit(False), max_sample=40, cell_bits=8)
+    assert len(model.languages) == 550

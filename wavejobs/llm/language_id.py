@@ -10,8 +10,8 @@ ridge weights), which has the number of n-gram cells times the number of languag
 its bounded size.
 
 N-grams are hashed to ``2 ** cell_bits`` cells. The model is fitted on at most
-``max_sample`` rows with a language (a bounded sample, chosen by a hash of doc_id), whose
-presence rows, not texts, come to the driver.
+``max_sample`` rows with a language, or four of each language if these are more, chosen
+by a hash of doc_id, one row of each id and language. Their presence rows, not texts, come to the driver.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; long texts count
 whole; without any learned language everything is ``und``; repeated rows score alike.
@@ -25,11 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_function
+from .common import saved, text_function
 
 LETTER = regex.compile(r"\p{L}").search
 UNDEFINED = "und"
@@ -95,29 +95,26 @@ class LanguageModel:
 def fit(docs: DataFrame, held_out: Column, *, max_sample: int = 2000, landmarks: int = 200, max_n: int = 4, cell_bits: int = 15, ridge: float = 1e-2) -> LanguageModel:
     """Learn from the texts and languages of rows that are not ``held_out`` (a condition on doc_id)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()]
-    each = max(1, max_sample // max(1, len(languages)))
-    kinds = known.groupBy("lang").count()
+    known = known.where(F.col("text").rlike(r"\p{L}"))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))
+    ids = saved(known.select("lang", "doc_id").distinct().withColumn("order", order), "language-ids")
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    languages = [r.lang for r in sizes.orderBy(F.desc("size"), "lang").collect()]
+    each = max(4, max_sample // max(1, len(languages)))
 
     @F.pandas_udf(T.BinaryType())
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(presence([t], max_n, cell_bits)[0] > 0).tobytes() if LETTER(t) else None for t in texts])
 
-    # Thresholds on a hash pick about twice ``each`` ids a language; the rest is cut by rank.
-    sizes = {r.lang: r["count"] for r in kinds.where(F.col("lang").isin(languages)).collect()} if languages else {}
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))
-    some = F.lit(False)
-    for lang in languages:
-        some = some | ((F.col("lang") == lang) & (order < int(1_000_000_007 * min(1.0, 2 * each / sizes[lang]))))
-    ids = known.where(some).select("lang", order.alias("order"), "doc_id").distinct()
-    chosen = None
-    for lang in languages:
-        one = ids.where(F.col("lang") == lang).orderBy("order", "doc_id").limit(each)
-        chosen = one if chosen is None else chosen.unionByName(one)
-    if chosen is None:
+    # Thresholds on a hash pick about twice ``each`` ids a language, and some more of small ones; the rest is cut by rank.
+    some = ids.join(sizes, "lang").where(F.col("order") < F.lit(1_000_000_007.0 * (2 * each + 32)) / F.col("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= each)
+    if not languages:
         return LanguageModel([], np.zeros((1 << cell_bits, 0), np.float32), np.zeros(0), max_n, cell_bits)
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
-    got = rows.select("doc_id", "lang", packed("text").alias("bits")).where("bits is not null").limit(2 * max_sample).toPandas()
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = rows.select("doc_id", "lang", packed("text").alias("bits")).where("bits is not null").toPandas()
     got = got.sort_values(["doc_id", "lang"], kind="stable")
     if not len(got):
         return LanguageModel([], np.zeros((1 << cell_bits, 0), np.float32), np.zeros(0), max_n, cell_bits)
@@ -130,7 +127,7 @@ def fit(docs: DataFrame, held_out: Column, *, max_sample: int = 2000, landmarks:
     languages = [lang for lang in languages if (got["lang"] == lang).any()]
     target = np.stack([(got["lang"] == lang).to_numpy() for lang in languages], axis=1).astype(np.float64)
     rng = np.random.default_rng(0)
-    at = np.sort(rng.permutation(len(got))[:landmarks])
+    at = np.sort(rng.permutation(len(got))[: max(landmarks, len(languages))])
     marks = unpacked(at)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
