@@ -129,16 +129,85 @@ def test_nearest_awkward_vectors(spark):
     assert nearest.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_toxicity_counts_all_labelled_rows(spark):
-    """An expression in two toxic rows keeps its class counts, whatever the sample of the curve holds."""
-    plain = [(i, f"calm words here {i % 3 * 'very '}plain day", 0) for i in range(40)]
+def brute_kneser_ney(docs, known):
+    """Differences of log-likelihoods of every seen sequence, by dictionaries and one formula for each order."""
+    import math
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    import regex
+
+    def sequences(text):
+        for word in set(regex.findall(r"\p{L}+", (text or "").lower())):
+            padded = [0] * 4 + [toxicity.symbols()[ord(c)] for c in word] + [0]
+            yield from (tuple(int(x) for x in padded[i : i + 5]) for i in range(len(padded) - 4))
+
+    everywhere, own = set(), {0: Counter(), 1: Counter()}
+    for d, text in docs:
+        found = list(sequences(text))
+        everywhere.update(found)
+        if d in known:
+            own[known[d]].update(found)
+
+    def cuts(counts):
+        n = [max(1, sum(v == k for v in counts.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.1) for k in (1, 2, 3)]
+
+    def model(counts, below):
+        d, total, freed = cuts(counts), Counter(), defaultdict(float)
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            freed[g[:-1]] += d[min(v, 3)]
+        return lambda g: (counts[g] - d[min(counts[g], 3)] + freed[g[:-1]] * below(g[1:])) / total[g[:-1]] if total[g[:-1]] else below(g[1:])
+
+    p, level, levels = (lambda g: 1 / 32), everywhere, []
+    for _ in range(4):
+        counts = Counter(g[1:] for g in level)
+        levels.append(counts)
+        level = set(counts)
+    for counts in reversed(levels):
+        p = model(counts, p)
+    ordinary, toxic = model(own[0], p), model(own[1], p)
+    return {int(np.dot(g, 32 ** np.arange(4, -1, -1))): math.log(toxic(g)) - math.log(ordinary(g)) for g in {*own[0], *own[1]}}
+
+
+def test_toxicity_models_equal_brute_force(spark):
+    """Counts of all labelled rows and shared counts of all rows, whatever the sample of the curve holds."""
+    plain = [(i, f"calm words here {i % 3 * 'very '}plain day day Élan", 0) for i in range(40)]
     toxic = [(100 + i, "calm zorg plim day", 1) for i in range(2)] + [(200 + i, f"calm awful {'x' * (i + 1)} day", 1) for i in range(20)]
-    docs = spark.createDataFrame(plain + toxic, "doc_id long, text string, toxic int")
+    other = [(300, "zorgon прямо", None), (301, None, None), (302, "12 !", None)]
+    docs = spark.createDataFrame(plain + toxic + other, "doc_id long, text string, toxic int").repartition(5)
     model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(False), per_class=4)
-    row = model.language.pairs.where("p = 'zorg plim'").first()
-    assert row.n == 2 and row.l2 > 0
-    assert model.language.total == sum(len(set(zip(t.split(), t.split()[1:]))) for _, t, _ in plain + toxic)
-    assert {r.w for r in model.language.words.collect()} == {w for _, t, _ in plain + toxic for w in t.split()}
+    want = brute_kneser_ney([r[:2] for r in plain + toxic + other], {d: c for d, _, c in plain + toxic})
+    got = dict(zip(model.evidence.grams.tolist(), model.evidence.ratios.tolist()))
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-4 for g in want)
+    table = toxicity.gram_counts(docs, docs.select("doc_id", F.col("toxic").alias("label")).where("label is not null"))
+    rows = {r.gram: r for r in table.collect()}
+    zor = [toxicity.symbols()[ord(c)] for c in "zor"]
+    start = int(sum(int(x) * 32 ** (2 - i) for i, x in enumerate(zor)))
+    assert rows[start].n == 3 and rows[start].c10 + rows[start].c11 == 2 and rows[start].c00 + rows[start].c01 == 0
+
+
+def test_toxicity_measures_equal_a_loop(spark):
+    import math
+
+    import numpy as np
+    import regex
+
+    rng = np.random.default_rng(3)
+    grams = np.arange(32**5, dtype=np.int32)[rng.random(32**5) < 0.3]
+    model = toxicity.Evidence(grams, rng.normal(size=len(grams)).astype(np.float32))
+    table = dict(zip(grams.tolist(), model.ratios.tolist()))
+    texts = ["One word, two words; ÜBER été", "", "12 !!", "a", "x" * 3000, "日本 語 mixed", "again again"]
+    for text, got in zip(texts, model.measure(texts)):
+        said = []
+        for word in regex.findall(r"\p{L}+", text.lower()):
+            s = [0] * 4 + [int(toxicity.symbols()[ord(c)]) for c in word] + [0]
+            said.append(sum(table.get(sum(x * 32 ** (4 - k) for k, x in enumerate(s[i : i + 5])), 0.0) for i in range(len(s) - 4)))
+        n = max(1, len(said))
+        assert abs(got[0] - sum(sorted(said)[-3:]) / 3) < 1e-6
+        assert abs(got[1] - math.log1p(20 * sum(max(x - 2, 0) for x in said) / n**0.5)) < 1e-6
 
 
 def test_capped_samples_keep_the_rate_of_classes(spark):

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Spark's own bound on the bytes of an Arrow batch.
+DEFAULT_BYTES = "67108864b"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -66,19 +70,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(F.broadcast(hot), on).unionByName(cold.join(groups.where(F.col(size) <= bound), on))
 
 
-def small_batches(spark: SparkSession, rows: int = 500, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch") -> None:
-    """Arrow batches of at most ``rows`` rows in this session, unless it was set otherwise.
+def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", most: int = 4_000_000) -> DataFrame:
+    """``rows`` joined to narrow rows, which are broadcast where a count shows at most ``most`` of them, else shuffled."""
+    small = saved(small, "join-side")
+    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of at most ``size`` bytes in this session, unless the session has a bound of its own.
 
-    Spark's 10,000 is meant for short rows; so many whole texts fill an executor's memory
-    outside its heap.
+    Spark counts rows only, and 10,000 whole texts fill an executor's memory outside its
+    heap. Queries and pipeline stages call this; operators leave the session as it is.
     """
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BYTES:
+        spark.conf.set(key, size)
 
 
 def text_function(run: Callable[[pd.Series], pa.Array], kind: T.DataType, text_col: str, rows: int = 128) -> Column:
     """``run`` over a text column; a task makes Python strings of ``rows`` texts at a time only."""
-    small_batches(SparkSession.active())
 
     @F.arrow_udf(kind)
     def sliced(texts: pa.Array) -> pa.Array:

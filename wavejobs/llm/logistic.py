@@ -14,14 +14,14 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 30) -> Logistic:
-        """``weight`` says how many rows each stands for."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float | None = None, steps: int = 30) -> Logistic:
+        """``weight`` says how many rows each stands for; ``penalty`` of squared weights is a hundredth of the root of the rows by default."""
         weight = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
         mean = np.average(x, axis=0, weights=weight)
         scale = np.average((x - mean) ** 2, axis=0, weights=weight) ** 0.5 + 1e-9
         z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
         w = np.zeros(z.shape[1])
-        penalty = np.diag([ridge * len(x) ** 0.5] * x.shape[1] + [1e-9])
+        penalty = np.diag([0.01 * len(x) ** 0.5 if penalty is None else penalty] * x.shape[1] + [1e-9])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             grad = z.T @ (weight * (p - y)) + penalty @ w

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language_id, license_scan, nearest, packing, quality, simhash, toxicity, url_filter
-from .common import fold, table
+from .common import bounded_batches, fold, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of whole texts, in a session whose Arrow batches are bounded in bytes."""
+    bounded_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +23,12 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2
+    docs, labels, held_out = documents(spark, sf_dir), table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2
     return toxicity.scored(docs, toxicity.fit(docs, labels, held_out), held_out)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(documents(spark, sf_dir))
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,29 +36,29 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), F.col("representative.id").alias("component_id"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1
+    docs, labels, held_out = documents(spark, sf_dir), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1
     return quality.scored(docs, quality.fit(docs, labels, held_out), held_out)
 
 
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.report(table(spark, sf_dir, "documents"))
+    return exact_dedup.report(documents(spark, sf_dir))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    docs, held_out = documents(spark, sf_dir), fold("doc_id", 4) == 2
     return language_id.identified(docs, language_id.fit(docs, held_out), held_out)
 
 

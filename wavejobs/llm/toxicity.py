@@ -1,292 +1,265 @@
 """Toxicity scores from class-conditional Kneser-Ney models (operator 2).
 
-Method: two bigram models, one of toxic and one of ordinary texts, are smoothed by
-interpolated Kneser-Ney with discounts estimated per class, but the lower orders are document
-frequencies, not continuation counts (README says why). Pairs back off to words,
-words to their first ``stem`` letters, and these to counts that both classes share: in how
-many of all documents, labelled or not, each stands. A pair that a class backs off from is its second word as
-often as the class has it, times how much oftener both classes together have it after the
-first. So what is rare in either class is hardly evidence. A document counts once for each of its
-expressions, however often it repeats them. A text's evidence is the difference of the
-two log-likelihoods per word, normalised by length in three ways: the mean over all
-words, the mean of the strongest ``strongest`` words, and the logarithm of what exceeds ``margin`` over
-the root of the length, as a few toxic words in a long text are toxic too. A logistic
-curve turns these into a score.
-
-The class counts are of all labelled rows that are not held out. Words, stems and pairs
-stay in written Spark tables, whole, with what they say; the driver gets the totals and
-counts of counts only. Texts are scored by joining: distinct texts are dealt into
-buckets of about ``BUCKET``, and each bucket gets the table rows of its own words and
-pairs. The curve is fitted on at most ``per_class`` rows of each class, by models that
-have not seen them (two folds), and each row weighs as many as it stands for.
-
-Cases: a text that is null, empty or without words has evidence zero and gets the score
+Method: a model of toxic and one of ordinary texts give the probability of each letter of a
+word after the four before it. Both take the counts of their own class at the highest order,
+less modified Kneser-Ney discounts, and hand what these free to the same lower orders:
+continuation counts (how many different letters a sequence follows) of all documents,
+labelled or not. So an expression that is rare in a class gets the shared probability there.
+A word's evidence is the difference of its two log-likelihoods. As a few toxic words in a
+long text are toxic too, a text's evidence is normalised by length in two ways: the mean of
+the ``strongest`` words, and the logarithm of what exceeds ``margin`` over the root of the
+number of words. A logistic curve turns these into a score.
+A document counts once for each of its words, however often it repeats them.
+
+Letters are mapped to an alphabet of ``SYMBOLS``, so there are at most ``SYMBOLS ** ORDER``
+sequences (33.5 million), however large the input is: the table of counts, its way to the
+driver, where it is smoothed, and the table of differences that goes to the tasks have a
+proven bound, while all labelled rows and all documents are counted. Each task adds up
+the counts of its own documents before the shuffle; texts are read in place and never
+shuffled (but for the join to labels where these are too many to broadcast). The curve is
+fitted on at most ``per_class`` ids of each class, by models that have not seen them (two
+folds), and each row weighs as many as it stands for.
+
+Cases: a text that is null, empty or without letters has evidence zero and gets the score
 of that; without labels of both classes every score is 0; labels of unknown ids, nulls
-and values other than 0 and 1 are ignored; texts are scored whole.
+and values other than 0 and 1 are ignored; texts are scored whole, repeated rows alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, join_groups, known_labels, labelled_sample, saved
+from .common import in_slices, join_small, known_labels, labelled_sample, text_function
 from .logistic import Logistic
 
-WORD = regex.compile(r"\p{L}+").findall
-CLASSES, MODELS = (0, 1), (0, 1, 2)
-#: Distinct texts that are scored together.
-BUCKET = 500
+SYMBOLS, ORDER = 32, 5
+#: Columns of counts: documents of class 0 and 1 in either half, and all documents.
+COUNTS = ["c00", "c01", "c10", "c11", "n"]
+ALL = len(COUNTS) - 1
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4."""
-    n = np.maximum(n, 1)
+@cache
+def symbols() -> np.ndarray:
+    """The symbol of each code point: 0 where it is no letter, a to z 1 to 26; other letters are dealt over 1 to 31."""
+    table = np.zeros(0x110000, np.uint8)
+    for c in range(len(table)):
+        if (letter := chr(c)).isalpha():
+            low = ord(letter.lower()[0])
+            table[c] = low - 96 if 97 <= low <= 122 else 1 + low % 31
+    return table
+
+
+@dataclass
+class Words:
+    """The words of some texts, one after the other, and their letter sequences."""
+
+    doc: np.ndarray  # of each word, the number of its text
+    key: np.ndarray  # of each word, a hash of its symbols
+    first: np.ndarray  # of each word, the place of its first sequence
+    size: np.ndarray  # of each word, how many sequences it has: its letters and its end
+    grams: np.ndarray
+
+
+def words_of(texts: list[str]) -> Words:
+    points = np.frombuffer("\0".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    s = symbols()[points]
+    at = np.flatnonzero(s)
+    opens = np.ones(len(at), bool)
+    opens[1:] = np.diff(at) > 1
+    starts = np.flatnonzero(opens)
+    word = np.cumsum(opens) - 1
+    length = np.diff(np.append(starts, len(at)))
+    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    doc = np.searchsorted(text_starts, at[starts], "right") - 1
+    letters = s[at].astype(np.uint32)
+    # Each word stands after ORDER - 1 blanks and before one, so no sequence spans two words.
+    place = np.arange(len(at)) + ORDER * word + ORDER - 1
+    spelled = np.zeros(len(at) + ORDER * len(starts) + ORDER, np.uint32)
+    spelled[place] = letters
+    ends = np.zeros(len(spelled), bool)
+    ends[place] = True
+    ends[place[starts + length - 1] + 1] = True
+    grams = np.zeros(len(spelled), np.uint32)
+    for back in range(ORDER):
+        grams[ORDER - 1 :] += spelled[ORDER - 1 - back : len(spelled) - back] << np.uint32(5 * back)
+    size = length + 1
+    with np.errstate(over="ignore"):
+        inside = np.arange(len(at)) - np.repeat(starts, length)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(length.max(initial=0), 0x9E3779B97F4A7C15, np.uint64)))
+        hashed = np.add.reduceat(letters * powers[inside], starts) if len(starts) else np.zeros(0, np.uint64)
+    return Words(doc, hashed, np.cumsum(size) - size, size, grams[ends].astype(np.int64))
+
+
+def summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their rows."""
+    distinct, of = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(of, rows[:, j], len(distinct)) for j in range(rows.shape[1])], axis=1).astype(np.int64)
+
+
+def counted(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences and their counts; a text's kind is the column of its class and half, ``ALL`` if it has none."""
+    w = words_of(texts)
+    with np.errstate(over="ignore"):
+        own = np.unique(w.key * np.uint64(0xD1342543DE82EF95) + w.doc.astype(np.uint64), return_index=True)[1]
+    _, example, which = np.unique(w.key[own], return_index=True, return_inverse=True)
+    rows = np.bincount(which * len(COUNTS) + kinds[w.doc[own]], minlength=len(example) * len(COUNTS)).reshape(-1, len(COUNTS))
+    rows[:, ALL] = rows.sum(axis=1)
+    example = own[example]
+    size = w.size[example]
+    places = np.repeat(w.first[example] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return summed(w.grams[places], np.repeat(rows, size, axis=0))
+
+
+def gram_counts(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, c00, c01, c10, c11, n): in how many documents of each class and half, and of all, words have each sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in in_slices(batches, 128):
+            held.append(counted([t or "" for t in part.column(0).to_pylist()], part.column(1).to_numpy()))
+            rows += len(held[-1][0])
+            if rows > 2_000_000:
+                held = [summed(*(np.concatenate(x) for x in zip(*held)))]
+                rows = len(held[0][0])
+        if held:
+            keys, sums = summed(*(np.concatenate(x) for x in zip(*held)))
+            for at in range(0, len(keys), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]) for x in (keys, *sums.T)], ["gram", *COUNTS])
+
+    kind = F.coalesce(F.col("label") * 2 + half(), F.lit(ALL)).cast("int")
+    rows = join_small(docs.select("doc_id", text_col), known, "doc_id", "left").select(text_col, kind.alias("kind"))
+    parts = rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["gram", *COUNTS]))
+    return parts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4."""
+    n = np.maximum(np.bincount(np.minimum(counts, 5), minlength=6)[1:5], 1).astype(float)
     y = n[0] / (n[0] + 2 * n[1])
     d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
     return np.array([0.0, *(float(np.clip(x, 0.1, k + 0.9)) for k, x in enumerate(d))])
 
 
-class Counts:
-    """Discounts, totals and freed mass of a table's counts, for each class and model.
+def smoothed(grams: np.ndarray, counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Interpolated probability of the last symbol of each of the ordered ``grams`` after the others.
 
-    Columns ``c<class><half>`` hold the counts. Models 0 and 1 are of one half of the rows,
-    model 2 is of both.
+    ``below`` is its probability by the next lower order, which gets what discounts free.
     """
-
-    def __init__(self, df: DataFrame):
-        keys = [(c, m) for c in CLASSES for m in MODELS]
-        asked = []
-        for c, m in keys:
-            n = count(c, m)
-            asked += [F.sum(F.when(n == k, 1).otherwise(0)) for k in (1, 2, 3, 4)] + [F.sum(F.when(n > 2, 1).otherwise(0)), F.sum(n)]
-        got = np.array([v or 0 for v in df.agg(*[x.alias(f"x{i}") for i, x in enumerate(asked)]).first()], float).reshape(-1, 6)
-        self.cuts = {k: discounts(row[:4]) for k, row in zip(keys, got)}
-        self.total = {k: max(1.0, row[5]) for k, row in zip(keys, got)}
-        self.freed = {k: max(1.0, float(self.cuts[k][1:] @ row[[0, 1, 4]])) for k, row in zip(keys, got)}
-
-    def cut(self, c: int, m: int) -> Column:
-        n, d = count(c, m), self.cuts[c, m].tolist()
-        return F.when(n == 0, 0.0).when(n == 1, d[1]).when(n == 2, d[2]).otherwise(d[3])
-
-    def smoothed(self, c: int, m: int, below: Column) -> Column:
-        """Interpolated probability: the discounted count, and what that frees spread as ``below``."""
-        return (count(c, m) - self.cut(c, m)) / self.total[c, m] + self.freed[c, m] / self.total[c, m] * below
-
-
-def count(c: int, m: int) -> Column:
-    return F.col(f"c{c}{m}") if m < 2 else F.col(f"c{c}0") + F.col(f"c{c}1")
-
-
-def seen(m: int) -> Column:
-    return count(0, m) + count(1, m) > 0
-
-
-def each(make: Callable[[int, int], Column], name: str) -> list[Column]:
-    return [make(c, m).alias(f"{name}{c}{m}") for c in CLASSES for m in MODELS]
-
-
-def words_of(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-
-
-def pairs_of(words: str) -> Column:
-    """Distinct neighbours as strings: those of an array are found by hashing, of structs one by one."""
-    firsts, seconds = F.expr(f"slice({words}, 1, greatest(size({words}) - 1, 0))"), F.expr(f"slice({words}, 2, greatest(size({words}) - 1, 0))")
-    return F.array_distinct(F.zip_with(firsts, seconds, lambda a, b: F.concat(a, F.lit(" "), b)))
-
-
-def evidence(text: str | None, words: dict[str, tuple[float, float]], pairs: dict[str, float], strongest: int = 3, margin: float = 3.0) -> list[float]:
-    """Length-normalised log-likelihood differences; ``words`` has those of words and of backing off from them."""
-    found = WORD((text or "").lower())
-    if not found:
-        return [0.0, 0.0, 0.0]
-    own = [words.get(w, (0.0, 0.0)) for w in found]
-    llr = [own[0][0]]
-    for i in range(1, len(found)):
-        pair = pairs.get(f"{found[i - 1]} {found[i]}")
-        llr.append(own[i][0] + own[i - 1][1] if pair is None else pair)
-    llr = np.array(llr)
-    top = np.partition(llr, -strongest)[-strongest:] if len(llr) > strongest else llr
-    return [float(llr.mean()), float(top.sum() / strongest), float(np.log1p(20 * np.maximum(llr - margin, 0).sum() / len(llr) ** 0.5))]
+    cut = discounts(counts)[np.minimum(counts, 3)]
+    starts = np.flatnonzero(np.diff(grams // SYMBOLS, prepend=-1))
+    repeats = np.diff(np.append(starts, len(grams)))
+    total, freed = (np.repeat(np.add.reduceat(x, starts), repeats) for x in (counts, cut))
+    return np.where(total > 0, (counts - cut + freed * below) / np.maximum(total, 1), below)
+
+
+def shared_backoff(grams: np.ndarray) -> np.ndarray:
+    """For each of the ordered sequences the probability that the lower orders give, by continuation counts."""
+    levels, order = [(grams, None)], ORDER
+    while order > 1:
+        order -= 1
+        levels.append(np.unique(levels[-1][0] % SYMBOLS**order, return_counts=True))
+    below = np.full(len(levels[-1][0]), 1 / SYMBOLS)
+    for order in range(1, ORDER):
+        lower, counts = levels[ORDER - order]
+        p = smoothed(lower, counts, below)
+        upper = levels[ORDER - order - 1][0]
+        below = p[np.searchsorted(lower, upper % SYMBOLS**order)]
+    return below
 
 
 @dataclass
-class KneserNey:
-    """Written tables of log-likelihood differences, with one column for each model.
-
-    words (w, u, b): of a word and of backing off from it; stems (s, l); pairs (p, l, n),
-    ``n`` the labelled rows with the pair and ``total`` the sum of that.
-    """
-
-    words: DataFrame
-    stems: DataFrame
-    pairs: DataFrame
-    total: int
-    stem: int
-
-    def evidence(self, texts: DataFrame, models: tuple[int, ...]) -> DataFrame:
-        """``texts(h1, h2, m, text)`` of distinct texts to (h1, h2, m, x), each by its model ``m`` of ``models``."""
-
-        def own(name: str) -> Column:
-            return F.coalesce(*[F.when(F.col("m") == m, F.col(f"{name}{m}")) for m in models])
-
-        def of(name: str) -> list[str]:
-            return [f"{name}{m}" for m in models]
-
-        buckets = texts.count() // BUCKET + 1
-        texts = texts.withColumn("bucket", F.pmod("h1", F.lit(buckets)) * len(MODELS) + F.col("m"))
-        tokens = texts.select("bucket", "m", words_of("text").alias("ws"))
-        words = tokens.select("bucket", "m", F.explode(F.array_distinct("ws")).alias("w")).distinct()
-        words = words.join(self.words.select("w", *of("u"), *of("b")), "w", "left").withColumn("s", F.substring("w", 1, self.stem))
-        words = words.join(self.stems.select("s", *of("l")), "s", "left")
-        words = words.select("bucket", F.col("w").alias("e"), F.coalesce(own("u"), own("l"), F.lit(0.0)).alias("x"), F.coalesce(own("b"), F.lit(0.0)).alias("y"))
-        pairs = tokens.select("bucket", "m", F.explode(pairs_of("ws")).alias("p"))
-        pairs = join_groups(pairs, self.pairs.where(F.coalesce(*of("l")).isNotNull()).select("p", "n", *of("l")), ["p"], "n", self.total)
-        pairs = pairs.select("bucket", "p", own("l").alias("x")).where("x is not null")
-        held = words.where("x != 0 or y != 0").unionByName(pairs.select("bucket", F.col("p").alias("e"), "x", F.lit(0.0).alias("y")))
-        held = held.select(F.col("bucket").alias("held_by"), "e", "x", "y")
-
-        def run(texts: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            words, pairs = {}, {}
-            for e, x, y in zip(held["e"], held["x"], held["y"]):
-                if " " in e:
-                    pairs[e] = x
-                else:
-                    words[e] = (x, y)
-            return pd.DataFrame({"h1": texts["h1"], "h2": texts["h2"], "m": texts["m"], "x": [evidence(t, words, pairs) for t in texts["text"]]})
-
-        return texts.groupBy("bucket").cogroup(held.groupBy("held_by")).applyInPandas(run, "h1 long, h2 long, m int, x array<double>")
+class Evidence:
+    """What letter sequences say for class 1 against class 0: differences of log-likelihoods."""
+
+    grams: np.ndarray
+    ratios: np.ndarray
+    strongest: int = 3
+    margin: float = 2.0
+    table: np.ndarray | None = field(default=None, repr=False)
+
+    @classmethod
+    def of(cls, grams: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Evidence:
+        """``grams`` are the ordered sequences of all documents, ``counts`` those of class 0 and of class 1."""
+        if not all(c.any() for c in counts):
+            return cls(np.zeros(0, np.int32), np.zeros(0, np.float32))
+        below = shared_backoff(grams)
+        ordinary, toxic = (smoothed(grams, c, below) for c in counts)
+        # What neither class has seen says nothing.
+        seen = counts[0] + counts[1] > 0
+        return cls(grams[seen].astype(np.int32), (np.log(toxic[seen]) - np.log(ordinary[seen])).astype(np.float32))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def measure(self, texts: list[str]) -> np.ndarray:
+        """(texts, 2): mean of the strongest words, and what exceeds the margin by the number of words."""
+        if self.table is None:
+            self.table = np.zeros(SYMBOLS**ORDER, np.float32)
+            self.table[self.grams] = self.ratios
+        out, w = np.zeros((len(texts), 2)), words_of(texts)
+        if not len(w.doc):
+            return out
+        x = np.add.reduceat(self.table[w.grams].astype(np.float64), w.first)
+        starts = np.flatnonzero(np.diff(w.doc, prepend=-1))
+        rows, number = w.doc[starts], np.diff(np.append(starts, len(x)))
+        out[rows, 1] = np.log1p(20 * np.add.reduceat(np.maximum(x - self.margin, 0), starts) / np.sqrt(number))
+        for row, start, n in zip(rows, starts, number):
+            own = x[start : start + n]
+            out[row, 0] = (np.partition(own, -self.strongest)[-self.strongest :] if n > self.strongest else own).sum() / self.strongest
+        return out
+
+    def column(self, text_col: str = "text") -> Column:
+        """The two numbers of a text column as an array."""
+
+        def run(texts: pd.Series) -> pa.Array:
+            return pa.array(list(self.measure([t or "" for t in texts])), pa.list_(pa.float64()))
+
+        return text_function(run, T.ArrayType(T.DoubleType()), text_col)
 
 
 @dataclass
 class ToxicityModel:
-    language: KneserNey | None
+    evidence: Evidence | None
     curve: Logistic | None
 
-    def with_score(self, docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-        """``docs`` and the score, 0 to 1, of their text as column ``name``; equal texts are scored once."""
-        if self.language is None:
-            return docs.withColumn(name, F.lit(0.0))
-        h1, h2, size = fresh(docs.withColumn(name, F.lit(0.0)), "h1", "h2", "size")
-        keyed = docs.withColumns(dict(zip((h1, h2), hashes(text_col))))
-        texts = keyed.groupBy(F.col(h1).alias("h1"), F.col(h2).alias("h2")).agg(F.first(F.coalesce(text_col, F.lit(""))).alias("text"), F.count("*").alias("size"))
-        texts = saved(texts, "toxicity-texts")
-        curve = self.curve
-
-        @F.pandas_udf(T.DoubleType())
-        def probability(x: pd.Series) -> pd.Series:
-            return pd.Series(curve.probability(np.array(x.tolist()).reshape(-1, 3)))
-
-        found = self.language.evidence(texts.select("h1", "h2", F.lit(2).alias("m"), "text"), (2,))
-        found = found.join(texts.select("h1", "h2", "size"), ["h1", "h2"])
-        found = saved(found.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("size").alias(size), probability("x").alias(name)), "toxicity-scores")
-        total = found.agg(F.sum(size)).first()[0] or 0
-        return join_groups(keyed, found, [h1, h2], size, total).select(*docs.columns, name)
-
-
-def hashes(text_col: str) -> tuple[Column, Column]:
-    """128 bits of a text; null counts as empty."""
-    text = F.coalesce(text_col, F.lit(""))
-    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
-
-
-def learned(docs: DataFrame, known: DataFrame, stem: int) -> KneserNey | None:
-    """Models of all rows of ``docs`` with a label in ``known(doc_id, label)``."""
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    rows = saved(rows.select("label", half().alias("half"), words_of("text").alias("ws")), "toxicity-rows")
-    if rows.where("size(ws) > 0").select("label").distinct().count() < 2:
-        return None
-    counts = [F.sum(F.when((F.col("label") == c) & (F.col("half") == h), 1).otherwise(0)).alias(f"c{c}{h}") for c in CLASSES for h in (0, 1)]
-    names = [f"c{c}{h}" for c in CLASSES for h in (0, 1)]
-
-    def counted(expressions: Column, key: str) -> DataFrame:
-        one = rows.select("label", "half", F.explode(expressions).alias(key))
-        return saved(one.groupBy(key).agg(*counts), f"toxicity-{key}")
-
-    words, pairs = counted(F.array_distinct("ws"), "w"), counted(pairs_of("ws"), "p")
-    stems = counted(F.array_distinct(F.transform("ws", lambda w: F.substring(w, 1, stem))), "s")
-    of_words, of_stems, of_pairs = Counts(words), Counts(stems), Counts(pairs)
-    corpus = docs.select(F.explode(F.array_distinct(words_of("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    corpus = saved(corpus, "toxicity-corpus")
-    shared = (corpus.agg(F.sum("n")).first()[0] or 0) + stems.count()
-    of_stem = corpus.groupBy(F.substring("w", 1, stem).alias("s")).agg(F.sum("n").alias("n"))
-    below = (F.coalesce("n", F.lit(0)) + 1.0) / shared
-    stems = stems.join(of_stem, "s", "left").select("*", *each(lambda c, m: of_stems.smoothed(c, m, below), "q"))
-    # What neither class has seen says nothing, whatever mass each keeps for it.
-    stems = saved(stems.select("*", *[F.when(seen(m), F.log(f"q1{m}") - F.log(f"q0{m}")).otherwise(0.0).alias(f"l{m}") for m in MODELS]), "toxicity-stems")
-
-    words = words.join(corpus, "w", "left").select("w", *names, F.substring("w", 1, stem).alias("s"), (F.coalesce("n", F.lit(0)) + 1.0).alias("n"))
-    sums = words.groupBy("s").agg(F.sum("n").alias("stem_n"))
-    words = words.join(stems.drop(*names, "n").join(sums, "s"), "s")
-    words = words.select("*", *each(lambda c, m: of_words.smoothed(c, m, F.col(f"q{c}{m}") * F.col("n") / F.col("stem_n")), "p"))
-    ends = F.split("p", " ")
-    pairs = pairs.select("*", ends[0].alias("a"), ends[1].alias("b"))
-    after = [F.sum(count(c, m)).alias(f"after{c}{m}") for c in CLASSES for m in MODELS]
-    held = [F.sum(of_pairs.cut(c, m)).alias(f"held{c}{m}") for c in CLASSES for m in MODELS]
-    firsts = pairs.groupBy(F.col("a").alias("w")).agg(F.count("*").alias("as_first"), *after, *held)
-    seconds = pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("as_second"))
-    words = words.join(firsts, "w", "left").join(seconds, "w", "left").na.fill(0)
-    # Where a row ends with the word, nothing follows: that counts as held back.
-    words = words.select("*", *each(lambda c, m: F.greatest(count(c, m), F.col(f"after{c}{m}"), F.lit(1e-9)), "of"))
-
-    def weight(c: int, m: int) -> Column:
-        kept = (F.col(f"held{c}{m}") + F.greatest(count(c, m) - F.col(f"after{c}{m}"), F.lit(0))) / F.col(f"of{c}{m}")
-        return F.when(count(c, m) > 0, F.least(F.greatest(kept, F.lit(1e-6)), F.lit(1.0))).otherwise(1.0)
-
-    words = words.select("*", *each(weight, "g"))
-    said = [F.when(seen(m), F.log(f"p1{m}") - F.log(f"p0{m}")).otherwise(F.col(f"l{m}")).alias(f"u{m}") for m in MODELS]
-    back = [F.least(F.log(f"g1{m}") - F.log(f"g0{m}"), F.lit(0.0)).alias(f"b{m}") for m in MODELS]
-    words = saved(words.select("w", "as_first", "as_second", *[f"{k}{c}{m}" for k in ("p", "of", "g") for c in CLASSES for m in MODELS], *said, *back), "toxicity-words")
-
-    number = pairs.count()
-    first = words.select(F.col("w").alias("a"), "as_first", *[f"{k}{c}{m}" for k in ("of", "g") for c in CLASSES for m in MODELS])
-    second = words.select(F.col("w").alias("b"), "as_second", *[F.col(f"p{c}{m}") for c in CLASSES for m in MODELS])
-    pairs = join_groups(pairs.drop("p"), second, ["b"], "as_second", number).drop("as_second")
-    pairs = join_groups(pairs, first, ["a"], "as_first", number)
-
-    def shared_share(m: int) -> Column:
-        """How much oftener both classes together have the second word after the first than anywhere."""
-        t = [of_words.total[c, m] for c in CLASSES]
-        anywhere = (F.col(f"p0{m}") * t[0] + F.col(f"p1{m}") * t[1]) / sum(t)
-        return (count(0, m) + count(1, m)) / (F.col(f"of0{m}") + F.col(f"of1{m}")) / anywhere
-
-    def joint(c: int, m: int) -> Column:
-        below = F.least(F.col(f"p{c}{m}") * shared_share(m), F.lit(1.0))
-        return F.log((count(c, m) - of_pairs.cut(c, m)) / F.col(f"of{c}{m}") + F.col(f"g{c}{m}") * below)
-
-    said = [F.when(seen(m), joint(1, m) - joint(0, m)).alias(f"l{m}") for m in MODELS]
-    pairs = saved(pairs.select(F.concat("a", F.lit(" "), "b").alias("p"), sum(F.col(c) for c in names).alias("n"), *said), "toxicity-pairs")
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    return KneserNey(words, stems.select("s", *[f"l{m}" for m in MODELS]), pairs, total, stem)
+    def column(self, text_col: str = "text") -> Column:
+        """The score, 0 to 1, of a text column."""
+        if self.evidence is None:
+            return F.lit(0.0)
+
+        def run(texts: pd.Series) -> pa.Array:
+            return pa.array(self.curve.probability(self.evidence.measure([t or "" for t in texts])), pa.float64())
+
+        return text_function(run, T.DoubleType(), text_col)
 
 
 def half() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 3000, stem: int = 4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 3000) -> ToxicityModel:
     """A model of ``labels.toxic``; ``held_out`` is a condition on doc_id that is not learned from."""
-    language = learned(docs, known_labels(labels, "toxic", held_out), stem)
-    if language is None:
+    table = gram_counts(docs, known_labels(labels, "toxic", held_out)).toPandas().sort_values("gram")
+    grams, c = table["gram"].to_numpy(), table[COUNTS].to_numpy().T
+    whole, *halves = (Evidence.of(grams, x) for x in ((c[0] + c[1], c[2] + c[3]), (c[0], c[2]), (c[1], c[3])))
+    if not len(whole.grams):
         return ToxicityModel(None, None)
     sample = labelled_sample(labels, docs, "toxic", held_out, per_class)
-    sample = saved(sample.select("label", "weight", half().alias("half"), "text", *[h.alias(f"h{i}") for i, h in enumerate(hashes("text"), 1)]), "toxicity-sample")
-    # Each half is scored by the model of the other.
-    sample = sample.withColumn("m", 1 - F.col("half"))
-    texts = sample.groupBy("h1", "h2", "m").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    known = sample.select("h1", "h2", "m", "label", "weight").join(language.evidence(texts, (0, 1)), ["h1", "h2", "m"])
-    known = known.select("label", "weight", "x").toPandas()
-    return ToxicityModel(language, Logistic.fit(np.array(known["x"].tolist()).reshape(-1, 3), known["label"].to_numpy(), known["weight"].to_numpy()))
+    # Each half is measured by the model of the other.
+    x = F.when(half() == 0, halves[1].column()).otherwise(halves[0].column())
+    known = sample.select("doc_id", "label", "weight", x.alias("x")).toPandas().sort_values(["doc_id", "label"])
+    return ToxicityModel(whole, Logistic.fit(np.array(known["x"].tolist()).reshape(-1, 2), known["label"].to_numpy(), known["weight"].to_numpy(), penalty=1.0))
 
 
 def scored(docs: DataFrame, model: ToxicityModel, held_out: Column, threshold: float = 0.3) -> DataFrame:
-    rows = model.with_score(docs.select("doc_id", "text", held_out.alias("held_out")), "score")
+    rows = docs.select("doc_id", held_out.alias("held_out"), model.column().alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
