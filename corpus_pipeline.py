@@ -12,23 +12,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wavejobs.llm import exact_dedup, language_id, packing, simhash, toxicity
-from wavejobs.llm.common import fold, fresh, saved, table
+from wavejobs.llm.common import bounded_batches, fold, saved, table
 
 TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC_FROM`` stay; learned from labels outside fold 2 of 4."""
+    bounded_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) == 2)
-    (score,) = fresh(docs, "score")
-    return model.with_score(docs, score).where(F.col(score) < TOXIC_FROM).drop(score)
+    return docs.where(model.column() < TOXIC_FROM)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a learned language is found stay; ``und`` goes."""
+    bounded_batches(spark)
     model = language_id.fit(docs, fold("doc_id", 4) == 2)
     return docs.where(model.column()["lang"] != language_id.UNDEFINED)
 
@@ -38,10 +38,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
