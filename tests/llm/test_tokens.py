@@ -27,13 +27,13 @@ def both():
 def test_bpe_equals_the_library(both):
     own, other = both
     rng = random.Random(5)
-    alphabets = ["ab", "aeiou thern", "the in", " \n\t\x1c\x85\xa0　x1'", "日本語テキスト é́", "0123456789", "=-_*#", "🤖👍🏽a"]
+    alphabets = ["ab", "aeiou thern", "a \n", "a. \n", "ab  \n\u2003", "the in", " \n\t\x1c\x85\xa0　x1'", "日本語テキスト é́", "0123456789", "=-_*#", "🤖👍🏽a"]
     for _ in range(3000):
         text = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 60)))
-        ids = own.encode(text)
-        assert ids == other.encode_ordinary(text) and own.decode(ids) == text.encode()
+        ids = np.frombuffer(own.encode(text), "<u4").tolist()
+        assert ids == other.encode_ordinary(text) and own.decode(ids) == text.encode(), repr(text)
     for text in ("a" * 100_000, "=-" * 30_000 + "x", "the" * 30_000):
-        assert own.encode(text) == other.encode_ordinary(text)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
 
 
 def test_bpe_query(spark, both):
@@ -60,7 +60,26 @@ def test_word_tokenizer_equals_the_library():
     alphabets = ["abAB 'sS", "İıſßéÉÀñ x", "<|endoftext|>a ", "日本語 é́", "12 3a!?.", "don't we'll \xa0\x85\x1c", "ΣΑΣ σ"]
     for _ in range(3000):
         text = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(0, 40)))
-        assert own.encode(text) == other.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
+    extended = [chr(c) for c in range(0x180, 0x250)]
+    texts = ["".join(rng.choices(extended, k=rng.randint(1, 6))) for _ in range(3000)]
+    # Every character that words are looked up with, alone, between letters, after an apostrophe and beside a mark.
+    plain = [c for c in map(chr, range(0x3000)) if packing.PLAIN.fullmatch(c)]
+    assert len(plain) > 340 and all(packing.PLAIN.fullmatch(c.lower()) for c in plain)
+    texts += [t for c in plain for t in (c, f"a{c}b", f"A{c}{c}", f"'{c}s", f"!{c}'s 1{c}", f"é {c} é")]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_word_tokenizer_leaves_other_files_to_the_library(tmp_path):
+    import json
+
+    file = json.load(open(WORDS))
+    file["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(file))
+    own, other = packing.WordTokenizer(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    assert not own.by_words and packing.WordTokenizer(WORDS).by_words
+    assert np.frombuffer(own.encode("Some Words"), "<u4").tolist() == other.encode("Some Words", add_special_tokens=False).ids
 
 
 def check_packing(df, **options):

@@ -8,6 +8,9 @@ is left it steps back. A sequence in which all neighbours are compatible is exac
 result of applying the merges by rank, and each position is given up at most once, so
 the time is linear. Compatibility of neighbours is memoised.
 
+Texts are first cut before single blanks where the pattern allows, and what is known of the
+pieces is looked up.
+
 Cases: a null text counts as empty; an empty text has no tokens; texts of any length are
 encoded whole; equal rows give equal results; an empty table gives an empty result.
 """
@@ -15,8 +18,9 @@ encoded whole; equal rows give equal results; an empty table gives an empty resu
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -25,7 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import Known, in_slices, packed
+
+
+# Fixed value: the pattern for which texts may be cut before blanks.
+CUT_AT_BLANKS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space but blanks and line ends, or a blank between line ends: such texts are not cut.
+OTHER_SPACES = re.compile(r"[^\S \n]|\n \n").search
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairEncoder:
     """Encoder for rank files in which every single byte is a token and ids are ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_words: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_words: int = 400_000):
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.text_of = {rank: token for token, rank in self.ids.items()}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
@@ -50,10 +60,9 @@ class BytePairEncoder:
         self.shorter = {rank: next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), None) for t, rank in self.ids.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        # Two generations of known words: the older goes when the younger is full.
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.cached_words = cached_words
+        # No match of this pattern goes past a blank that stands alone, so texts are cut there.
+        self.cuts, self.cached_words = pattern == CUT_AT_BLANKS, cached_words
+        self.words, self.pieces = Known(lambda word: packed(self.encode_piece(word.encode("utf-8"))), {}), Known(self._piece, {})
 
     def _parts(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte is its own parts."""
@@ -133,27 +142,32 @@ class BytePairEncoder:
                 last = tokens[-1] if tokens else None
                 token = shorter[token]
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        found = list(map(self.words.get, pieces))
-        if None in found:
-            if len(self.words) >= self.cached_words:
-                self.words, self.older = {}, self.words
-            for i in [i for i, known in enumerate(found) if known is None]:
-                piece = pieces[i]
-                known = self.words.get(piece) or self.older.get(piece) or self.encode_piece(piece.encode("utf-8"))
-                if len(piece) <= 64:
-                    self.words[piece] = known
-                found[i] = known
-        return list(chain.from_iterable(found))
-
-    def decode(self, ids: list[int]) -> bytes:
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(piece)))
+
+    def encode(self, text: str) -> bytes:
+        """The ids, packed as little-endian unsigned 32-bit numbers."""
+        for name, most in (("words", self.cached_words), ("pieces", self.cached_words * 5 // 8)):
+            if len(held := getattr(self, name)) >= most:
+                setattr(self, name, Known(held.make, dict(held)))
+        if not self.cuts or "  " in text or OTHER_SPACES(text):
+            return b"".join(map(self.words.__getitem__, self.split(text)))
+        first, *others = text.split(" ")
+        return self.pieces[first] + b"".join(map(self.pieces.__getitem__, map(" ".__add__, others)))
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, np.int32), pa.int32()))
+@cache
+def worker_encoder(ranks_path: str, pattern: str) -> BytePairEncoder:
+    """One encoder, with what it knows, for all tasks of a Python worker."""
+    return BytePairEncoder(read_ranks(ranks_path), pattern)
+
+
+def _lists(values: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32), pa.int32()))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,13 +178,13 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BytePairEncoder(read_ranks(ranks_path), pattern)
+        encoder = worker_encoder(ranks_path, pattern)
         for part in in_slices(batches, 128):
             encoded, decoded = [], []
             for text in part.column(1).to_pylist():
                 ids = encoder.encode(text or "")
-                encoded.append(np.array(ids, np.int32))
-                decoded.append(encoder.decode(ids))
+                encoded.append(ids)
+                decoded.append(encoder.decode(np.frombuffer(ids, np.int32).tolist()))
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(encoded), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,24 @@ def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return np.fromiter(ids, "<u4").tobytes()
+
+
+class Known(dict):
+    """What ``make`` gives for a key, remembered; ``older`` is the generation before."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, hot_rows: int = 256) -> DataFrame:
     """``rows`` inner joined to ``groups`` (one row for each key) on columns without nulls.
 

@@ -19,10 +19,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,59 +32,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import in_slices, saved
+from .common import Known, in_slices, packed, saved
 
 # Texts of these characters alone are unchanged by NFC and lower-cased one by one alike
-# everywhere; within them words can be looked up. Others go to the tokenizer whole.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-įı-ɏ‐-‧]*")
+# everywhere, to characters of this set; within them words can be looked up. Others go to
+# the tokenizer whole. Not among them is U+0130, whose lower case is two characters.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-įı-ſ‐-‧]*")
+PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])  # those of Latin-1
 # What the vocabulary's own file takes for words, for the characters of PLAIN
 # in lower case: endings after an apostrophe, runs of letters, single digits, other runs.
-LETTERS, DIGITS = "a-zA-Zªµº\xC0-\xD6\xD8-\xF6\xF8-\u024F", "0-9²³¹¼-¾"
+LETTERS, DIGITS = "a-zA-Zªµº\xC0-\xD6\xD8-\xF6\xF8-ſ", "0-9²³¹¼-¾"
 WORDS = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
-
+# The steps of a file for which the above holds, as the file states them.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # The byte-level alphabet: visible bytes stand for themselves, the others for 256 and on.
 VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 
 
-class _KnownWords(dict):
-    """Ids of words; an unknown one is split by the model and remembered."""
-
-    def __init__(self, model, older: dict):
-        super().__init__()
-        self.tokenize, self.older = model.tokenize, older
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word)
-        if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
-            ids = tuple(t.id for t in self.tokenize(letters))
-        self[word] = ids
-        return ids
-
-
 class WordTokenizer:
     """Ids as the tokenizer gives them without special tokens, remembering known words.
 
-    ``plain_lower_words`` may only be set for files whose normaliser is NFC, white space
-    to blanks and lower case, whose words are split by ``WORDS``, and whose model takes
-    words in the byte-level alphabet. At most twice ``cached_words`` words are held, and
-    what a text adds.
+    Where the file says that its normaliser is NFC, white space to blanks and lower case,
+    and that it splits words by ``SPLIT`` into the byte-level alphabet, no word spans white
+    space: a text is cut there, and each piece's ids are looked up. For any other file
+    every text goes to the tokenizer whole. At most twice ``cached_words`` words and
+    pieces are held, and what a text adds.
     """
 
-    def __init__(self, path: str, plain_lower_words: bool = True, cached_words: int = 400_000):
+    def __init__(self, path: str, cached_words: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.by_words, self.cached_words = plain_lower_words, cached_words
-        self.words = _KnownWords(self.tokenizer.model, {})
-
-    def encode(self, text: str) -> list[int]:
-        if not self.by_words or not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self.words) >= self.cached_words:
-            self.words = _KnownWords(self.tokenizer.model, dict(self.words))
-        return list(chain.from_iterable(map(self.words.__getitem__, WORDS.findall(text.lower()))))
+        self.by_words, self.cached_words = self._splits_plainly(), cached_words
+        self.words, self.pieces = Known(self._word, {}), Known(self._piece, {})
+
+    def _splits_plainly(self) -> bool:
+        file = json.loads(self.tokenizer.to_str())
+        steps = (file["normalizer"] or {}).get("normalizers", [])
+        splits = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            [x["type"] for x in steps] == NORMALIZERS
+            and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+            and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+            and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
+        )
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+        return packed(t.id for t in self.tokenizer.model.tokenize(letters))
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, PLAIN_BYTES)
+        except UnicodeEncodeError:
+            return PLAIN.fullmatch(text) is not None
+
+    def encode(self, text: str) -> bytes:
+        """The ids, packed."""
+        if not self.by_words or not self._plain(text) or any(s in text for s in self.specials):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        for name, most in (("words", self.cached_words), ("pieces", self.cached_words * 5 // 8)):
+            if len(held := getattr(self, name)) >= most:
+                setattr(self, name, Known(held.make, dict(held)))
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+
+
+@cache
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer, with the words it knows, for all tasks of a Python worker."""
+    return WordTokenizer(path)
 
 
 COLUMNS = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -95,13 +119,13 @@ class _Out:
     def __init__(self, kind: pa.DataType):
         self.kind, self.rows = kind, []
 
-    def add(self, doc, start, ids, total, sequence, offset, keep_ids=False):
-        self.rows.append((doc, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), total, sequence, offset, ids if keep_ids else None))
+    def add(self, doc, start, ids: bytes, total, sequence, offset, keep_ids=False):
+        self.rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset, ids if keep_ids else None))
 
     def take(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows)) if self.rows else [()] * 8
         self.rows = []
-        kinds = [self.kind, *[pa.int64()] * 6, pa.list_(pa.int32())]
+        kinds = [self.kind, *[pa.int64()] * 6, pa.binary()]
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
@@ -114,15 +138,14 @@ def pack(
     end_id: int = 1,
     open_windows: int = 16,
     merged_partitions: int = 16,
-    plain_lower_words: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: document, its place there, its sequence and its place in it."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, end = docs.schema[id_col].dataType.simpleString(), packed([end_id])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path, plain_lower_words)
+        tokenizer = worker_tokenizer(tokenizer_path)
         base, made, out = TaskContext.get().partitionId() << 32, 0, None
         windows: list[list] = []  # of [free, [(doc, start, ids, total)]]
 
@@ -131,17 +154,16 @@ def pack(
             at = 0
             for doc, start, ids, total in pieces:
                 out.add(doc, start, ids, total, base + made, at, keep)
-                at += len(ids)
+                at += len(ids) // 4
             made += 1
 
         for part in in_slices(batches, 256):
             out = out or _Out(part.column(0).type)
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = tokenizer.encode(text or "")
-                ids.append(end_id)
-                total, at = len(ids), 0
+                ids = tokenizer.encode(text or "") + end
+                total, at = len(ids) // 4, 0
                 while total - at >= length:
-                    emit([(doc, at, ids[at : at + length], total)])
+                    emit([(doc, at, ids[4 * at : 4 * (at + length)], total)])
                     at += length
                 while at < total:
                     rest = total - at
@@ -152,7 +174,7 @@ def pack(
                     if best is None:
                         best = min(windows, key=lambda w: w[0])
                     n = min(rest, best[0])
-                    best[1].append((doc, at, ids[at : at + n], total))
+                    best[1].append((doc, at, ids[4 * at : 4 * (at + n)], total))
                     best[0] -= n
                     at += n
                     if not best[0]:
@@ -173,12 +195,12 @@ def pack(
             at, left = 0, n
             while left:
                 doc, start, ids, total = pieces.pop(0)
-                if len(ids) > left:
-                    pieces.insert(0, (doc, start + left, ids[left:], total))
-                    ids = ids[:left]
+                if len(ids) > 4 * left:
+                    pieces.insert(0, (doc, start + left, ids[4 * left :], total))
+                    ids = ids[: 4 * left]
                 out.add(doc, start, ids, total, (1 << 62) + (group << 32) + made, at)
-                at += len(ids)
-                left -= len(ids)
+                at += len(ids) // 4
+                left -= len(ids) // 4
             have -= n
             made += 1
 
@@ -194,7 +216,7 @@ def pack(
                     finish()
                     group, made = g, 0
                 pieces.append((doc, start, ids, total))
-                have += len(ids)
+                have += len(ids) // 4
                 while have >= length:
                     cut(length)
             yield out.take().select(out_names)
@@ -204,7 +226,7 @@ def pack(
 
     columns = COLUMNS.format(id=kind)
     out_names = [c.split()[0] for c in columns.split(", ")]
-    first = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(fill, columns + ", ids array<int>")
+    first = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(fill, columns + ", ids binary")
     first = saved(first, "packed")
     group = F.shiftright(F.shiftright("sequence_id", 32), merged_partitions.bit_length() - 1)
     still_open = first.where(F.col("ids").isNotNull()).withColumn("merge_group", group)
