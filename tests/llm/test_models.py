@@ -127,6 +127,29 @@ def test_nearest_awkward_vectors(spark):
     assert [g[1:] for g in got if g[0] == 0] == [(1, 2, 2.0), (2, 1, 1.0), (3, 20, 1.0), (4, 60, -1.0)]
     assert [g[2] for g in got if g[0] == 20] == [2, 0, 1, 60] and {g[0] for g in got} == {0, 20, 60}
     assert nearest.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    clashing = df.selectExpr("*", "'x' as id", "'x' as v", "'x' as block", "'x' as query", "'x' as size", "'x' as top", "'x' as norm")
+    assert nearest.search(clashing, F.col("id") % 20 == 0).count() == len(got)
+
+
+def test_nearest_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1.0]), (2, [-1e200, 5.0]), (3, [0.0, 1e-300]), (20, [1.7e308, 1.7e308]), (4, [1.7e308, -1.7e308])]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert [i for _, i, _ in sorted(got[0])] == [4, 20, 1, 3, 2] and len(got[20]) == 5 and got[20][0][1] in (1, 3, 0, 2)
+    assert sorted(got[20])[-1][1] == 4
+
+
+def test_counted_bits_equal_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for m in (1, 2, 3, 7, 64, 65):
+        bits = rng.integers(0, 2, (m, 128)).astype(np.uint8)
+        sets = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        for need in (1, 2, m // 2 + 1, m, m + 1):
+            got = np.unpackbits(nearest.at_least(nearest.counted(sets), need).view(np.uint8), bitorder="little")
+            assert (got.astype(bool) == (bits.sum(axis=0) >= need)).all()
 
 
 def brute_kneser_ney(docs, known):
