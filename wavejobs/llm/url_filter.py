@@ -1,6 +1,6 @@
 """URL filter by a character language-model ratio (operator 4, native).
 
-Method: host and path of every url that a rule decides teach one of two variable-order
+Method: the whole text of every url that a rule decides teaches one of two variable-order
 Markov models of characters, accepted or rejected. Each smooths contexts of two, one and
 no characters by Witten-Bell: a context gives the share t / (n + t) to the shorter one,
 n being its number of characters and t its number of different ones. A url's score is the
@@ -9,11 +9,14 @@ calibrated on the decided urls, between the means of both kinds, nearer to the o
 spreads less. Rules always go first.
 
 Only DataFrame functions are used. Characters are mapped to an alphabet of ``SYMBOLS``,
-so the table of all trigrams has 41 ** 3 = 68,921 rows for any input: its broadcast has a
-proven bound. Counts cover all decided urls.
-
-Cases: a null url, or one without ``://``, has an empty host and path; equal urls get
-equal scores; where rules decide no url of one kind, the other kind is the verdict, and
+so the table of all trigrams has 45 ** 3 = 91,125 rows for any input. It becomes one array
+that every task has, and a url is scored where it is read, by looking up its trigrams there:
+no url is shuffled or joined, so urls that many pages share are no hot key, and the work is
+linear in a url's length. Counts cover all decided urls.
+
+Cases: a null url, or one without ``://``, has an empty host and path; a null url is scored
+as an empty one; equal urls get equal scores; urls of any length count whole; other columns
+of ``pages`` are ignored; where rules decide no url of one kind, the other kind is the verdict, and
 ``allow`` where there is none at all.
 """
 
@@ -35,7 +38,7 @@ RULES = {
     "com/de/": "block",
 }
 
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789./-_~"
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789./-_:?=&~"
 N = len(SYMBOLS)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,21 +61,25 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return reduce(lambda c, r: c.when(fits(r), r), ordered[1:], F.when(fits(ordered[0]), ordered[0]))
 
 
-def trigrams(urls: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and gram, the code of each character with the two before it.
+def plain(url: Column) -> Column:
+    """A url in the alphabet; its last symbol stands for all others."""
+    small = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
+    return F.regexp_replace(small, r"[^a-z0-9./_:?=&-]", "~")
+
 
-    A url is what ``plain`` holds; blanks of the alphabet's last symbol stand at its ends.
-    """
-    padded = urls.select(*keep, F.concat(F.lit("~~"), "plain", F.lit("~")).alias("s"))
-    at = padded.select(*keep, "s", F.explode(F.sequence(F.lit(1), F.length("s") - 2)).alias("i"))
-    code = [F.instr(F.lit(SYMBOLS), F.substring("s", F.col("i") + k, 1)) - 1 for k in range(3)]
-    return at.select(*keep, ((code[0] * N + code[1]) * N + code[2]).cast("long").alias("gram"))
+def trigrams(text: Column) -> Column:
+    """The code of each character with the two before it; the last symbol stands before and after the text."""
+    padded = F.concat(F.lit("~~"), text, F.lit("~"))
+    n = F.length(padded)
+    codes = F.transform(F.slice(F.split(padded, ""), 1, n), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    pairs = F.zip_with(codes, F.slice(codes, 2, n), lambda a, b: a * N + b)
+    return F.slice(F.zip_with(pairs, F.slice(codes, 3, n), lambda ab, c: ab * N + c), 1, n - 2)
 
 
 def language_models(decided: DataFrame) -> DataFrame:
-    """(gram, ratio): log-likelihood of allow less that of block, for every trigram."""
+    """One row with ``ratios``: log-likelihood of allow less that of block, for every trigram in order."""
     spark = decided.sparkSession
-    both = trigrams(decided, "verdict").groupBy("gram").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")))
+    both = decided.select("verdict", F.explode(trigrams(F.col("plain"))).alias("gram")).groupBy("gram").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")))
     grams = spark.range(N**3).select(F.col("id").alias("gram"), F.floor(F.col("id") / (N * N)).alias("a"), F.floor(F.col("id") / N % N).alias("b"), (F.col("id") % N).alias("c"))
     table = grams.join(both, "gram", "left").fillna(0)
     ab, bc, c, b = (Window.partitionBy(*k) for k in (("a", "b"), ("b", "c"), ("c",), ("b",)))
@@ -88,22 +95,23 @@ def language_models(decided: DataFrame) -> DataFrame:
         n_ab = F.sum(v).over(ab)
         table = table.withColumn(f"{v}_p1", p1)
         table = table.withColumn(f"{v}_p", F.when(n_ab > 0, (F.col(v) + t_ab * F.col(f"{v}_p1")) / (n_ab + t_ab)).otherwise(F.col(f"{v}_p1")))
-    return table.select("gram", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
+    ratio = F.struct("gram", (F.log("allow_p") - F.log("block_p")).alias("ratio"))
+    return table.agg(F.array_sort(F.collect_list(ratio)).alias("all")).select(F.transform("all", lambda x: x["ratio"]).alias("ratios"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's score of every row of ``pages``."""
     rules = rules or RULES
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), plain(F.col("url")).alias("plain"))
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     of_rule = reduce(lambda c, r: c.when(F.col("rule") == r, rules[r]), list(rules)[1:], F.when(F.col("rule") == list(rules)[0], rules[list(rules)[0]]))
-    plain = F.regexp_replace(F.lower(F.concat("host", "path")), r"[^a-z0-9./_~-]", "~")
-    rows = rows.select("*", of_rule.alias("of_rule"), plain.alias("plain"))
-    models = language_models(rows.where("of_rule is not null").select("plain", F.col("of_rule").alias("verdict")))
-    scores = trigrams(rows.select("plain").distinct(), "plain").join(F.broadcast(models), "gram")
-    scores = scores.groupBy("plain").agg((F.sum("ratio") / F.count("*")).alias("score"))
-    scored = saved(rows.join(scores, "plain"), "urls")
+    rows = rows.select("*", of_rule.alias("of_rule"))
+    models = saved(language_models(rows.where("of_rule is not null").select("plain", F.col("of_rule").alias("verdict"))), "url-models")
+    # The array is a constant of the plan, so the next step must not write it into rows.
+    grams = rows.select("*", trigrams(F.col("plain")).alias("grams"), models.scalar().alias("ratios"))
+    score = F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.get("ratios", g)) / F.size("grams")
+    scored = saved(grams.select("page_id", "host", "path", "rule", "of_rule", score.alias("score")), "urls")
     kinds = scored.where("of_rule is not null").groupBy("of_rule").agg(F.avg("score").alias("m"), (F.stddev_pop("score") + 1e-9).alias("s"))
     cut = kinds.agg(
         *(F.max(F.when(F.col("of_rule") == v, F.col(x))).alias(f"{x}_{v}") for v in ("allow", "block") for x in ("m", "s"))
@@ -139,9 +147,9 @@ def oracle(rules: dict[str, str] | None = None) -> str:
         for v in ("allow", "block")
     )
     return f"""
-    with u as (select page_id, case when contains(url, '://') then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') else '' end as host,
+    with u as (select page_id, url, case when contains(url, '://') then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') else '' end as host,
         case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path from pages),
-    r as (select *, case {cases} end as rule, regexp_replace(lower(host || path), '[^a-z0-9./_~-]', '~', 'g') as plain from u),
+    r as (select *, case {cases} end as rule, regexp_replace(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9./_:?=&-]', '~', 'g') as plain from u),
     d as (select *, case rule {verdicts} end as of_rule from r),
     g as (select plain, of_rule, page_id, ((instr('{SYMBOLS}', s[i]) - 1) * {N} + instr('{SYMBOLS}', s[i + 1]) - 1) * {N} + instr('{SYMBOLS}', s[i + 2]) - 1 as gram
         from (select *, '~~' || plain || '~' as s from d), unnest(range(1, len(plain) + 2)) x(i)),
