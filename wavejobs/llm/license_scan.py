@@ -8,7 +8,8 @@ merged, and a span is verified by the share of the template's pairs that it hold
 hit checked on the words themselves.
 
 Everything is built of DataFrame functions; the templates are a fixed table of less than
-a thousand rows, so their broadcast has a proven bound. Only hits are shuffled.
+a thousand rows, so their broadcast has a proven bound. Only hits are shuffled, and their
+votes are written, so that texts are read once for them and once to count words.
 
 Cases: a null text counts as empty; no words give zeros, nulls and empty labels; rows that
 share id and text are scanned alike; a text may hold any number of places.
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 # The phrases whose places are counted, and their labels.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -64,6 +67,8 @@ def template_pairs(spark: SparkSession) -> DataFrame:
     for base, table in ((True, BASE_PHRASES), (False, NOTICES)):
         for phrase, label in table.items():
             w = phrase.split()
+            if len(w) > 65:
+                raise ValueError(f"a template may have at most 64 pairs of words: {phrase}")
             rows += [(phrase, label, base, t, len(w) - 1, w[t], w[t + 1]) for t in range(len(w) - 1)]
     df = spark.createDataFrame(rows, "template string, label string, base boolean, t int, n_pairs int, first string, second string")
     return df.withColumn("hash", F.xxhash64("first", "second"))
@@ -96,6 +101,7 @@ def spans(docs: DataFrame, *, shift: int = 3, least: float = 0.8, short: int = 8
         .groupBy(*key, "diagonal")
         .agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("seen"))
     )
+    votes = saved(votes, "license-votes")
     whole = votes.where(F.col("base") & (F.bit_count("seen") == F.col("n_pairs")))
     whole = whole.select(*key[:5], F.col("diagonal").alias("start"), F.lit(1.0).alias("matched"))
     by = Window.partitionBy(*key).orderBy("diagonal")
