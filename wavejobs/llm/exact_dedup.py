@@ -6,13 +6,14 @@ fingerprints, about 9 bits a text. Incoming digests, grouped by themselves first
 screened by the filter of their bucket: a negative is new for certain and never meets the
 snapshot; a positive joins its exact bucket, where the bytes are checked.
 
-Bytes are checked on the SHA-256 of the normalised text and its length in bytes, so texts
-are read once and never shuffled. A group of copies is pre-aggregated to one row in each
+Bytes are checked on the SHA-256 of the normalised text and its length in bytes, so
+grouping reads texts once and does not shuffle them; ``unique`` reads and shuffles them
+once more, to meet the rows that stay. A group of copies is pre-aggregated to one row in each
 task, so a group with a third of all rows is no load for any task.
 
 Cases: a null text counts as empty; texts of white space only are equal to it; of equal
-texts the longest original stays, then the smallest id (null ids last); repeated rows
-form one group; an empty table gives an empty result.
+texts the longest original stays, then the smallest id (null ids last), of rows with one id
+and length any one; repeated rows form one group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_keys: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """Rows (id, n_chars, sha, n_bytes), groups (sha, n_bytes, keep struct<…, id>, group_size), number of rows.
+    """Rows (id, row, sha, n_bytes), groups (sha, n_bytes, keep struct<…, id, row>, group_size), number of rows.
 
     ``in_snapshot`` says which rows are the snapshot; by default half of the ids. The
     result does not depend on it, only which rows are screened does.
@@ -152,10 +153,11 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     rows = digests(docs, id_col, text_col)
     if in_snapshot is None:
         in_snapshot = fold("id", 2) == 0
-    rows = saved(rows.withColumn("old", in_snapshot), "digests")
+    # Numbers of rows are written with them, so that they stay the same when a task is run again.
+    rows = saved(rows.withColumn("old", in_snapshot).withColumn("row", F.monotonically_increasing_id()), "digests")
     total = rows.count()
     buckets = max(1, math.ceil(total / bucket_keys))
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"))
+    best = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     one = rows.groupBy("old", "key", "sha", "n_bytes").agg(F.min(best).alias("keep"), F.count("*").alias("n"))
     one = saved(one.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("long")), "digest-groups")
     snapshot, batch = one.where("old"), one.where(~F.col("old"))
@@ -169,7 +171,7 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     merged = of_batch.where("merged").select(*same)
     of_snapshot = snapshot.join(merged, same, "left_anti").select(*same, "keep", F.col("n").alias("group_size"))
     groups = saved(of_batch.drop("merged").unionByName(of_snapshot), "exact-groups")
-    return rows.select("id", "n_chars", *same), groups, total
+    return rows.select("id", "row", *same), groups, total
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -180,7 +182,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
         F.col("id").alias("doc_id"),
         F.col("keep.id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("keep.id").eqNullSafe(F.col("id")) & (F.col("keep.less") == -F.col("n_chars"))).alias("kept"),
+        (F.col("keep.row") == F.col("row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

@@ -74,7 +74,7 @@ ORACLES: dict[str, str] = {
     "op4_urls": url_filter.oracle(),
     "op9_exact": f"""
     with d as (select doc_id, length(coalesce(text, '')) as n, {_NORMAL} as t from documents),
-    r as (select *, first(doc_id) over w as keep_id, first(n) over w as keep_n, count(*) over (partition by t) as group_size from d
+    r as (select *, first(doc_id) over w as keep_id, row_number() over w as nth, count(*) over (partition by t) as group_size from d
         window w as (partition by t order by n desc, doc_id nulls last rows between unbounded preceding and unbounded following))
-    select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id and n = keep_n as kept, sha256(t) as text_sha256 from r""",
+    select doc_id, keep_id, group_size::bigint as group_size, nth = 1 as kept, sha256(t) as text_sha256 from r""",
 }
