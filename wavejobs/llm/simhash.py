@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, join_groups, saved
+from .common import fresh, join_groups, saved, text_function
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -57,9 +57,13 @@ def fingerprint_of(text: str | None, shingle_words: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprint(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
+def fingerprint(text_col: str) -> Column:
+    """The fingerprint of a text column, its 64 bits as a long."""
+
+    def run(texts: pd.Series) -> pa.Array:
+        return pa.array(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
+
+    return text_function(run, T.LongType(), text_col)
 
 
 def as_hex(fp: str | Column) -> Column:
@@ -101,7 +105,8 @@ def links(prints: DataFrame, *, max_bits: int = 4, list_rows: int = 4096) -> Dat
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / list_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int")
-    shared = postings.join(sizes, "key").select("key", "fp", parts.alias("parts"), own.alias("own"))
+    # Hot lists meet their sizes by a bounded broadcast, and are split before they are dealt by key.
+    shared = join_groups(postings, sizes, ["key"], "n", prints.count() * len(KEYS)).select("key", "fp", parts.alias("parts"), own.alias("own"))
     pairs = shared.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     groups = pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
