@@ -105,16 +105,19 @@ def brute_exact(rows):
     for d, t in rows:
         groups[norm(t)].append((-len(t or ""), d is None, d))
     best = {k: min(v, key=lambda x: (x[0], x[1], x[2] or 0)) for k, v in groups.items()}
-    out = []
+    out, stays = [], set()
     for d, t in rows:
         k, b = norm(t), best[norm(t)]
-        out.append((d, b[2], len(groups[k]), b[2] == d and b[0] == -len(t or ""), hashlib.sha256(k.encode()).hexdigest()))
+        # One row of each group stays, whichever of rows with one id and length it is.
+        kept = b[2] == d and b[0] == -len(t or "") and k not in stays
+        stays.update([k] * kept)
+        out.append((d, b[2], len(groups[k]), kept, hashlib.sha256(k.encode()).hexdigest()))
     return out
 
 
 def check_exact(df):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    key = lambda t: (t[0] is None, t[0] or 0, t[4])
+    key = lambda t: (t[0] is None, t[0] or 0, t[4], t[3])
     want = sorted(brute_exact(rows), key=key)
     assert sorted(map(tuple, exact_dedup.report(df, bucket_keys=16).collect()), key=key) == want
     kept = {(d, s) for d, _, _, k, s in want if k}
@@ -126,6 +129,7 @@ def test_exact_equals_brute_force(spark):
     check_exact(spark.read.parquet(f"{SF}/documents.parquet"))
     check_exact(awkward(spark))
     check_exact(empty(spark))
+    check_exact(spark.createDataFrame([(1, "a b"), (1, "ab "), (1, "a b"), (2, "ab"), (None, "q "), (None, "q ")], "doc_id long, text string"))
 
 
 def test_fuse_filter_has_no_false_negatives():

@@ -42,6 +42,11 @@ def test_quality(spark, tables):
     assert out.count() == docs.count() and accuracy(out, labels, "quality") > 0.95
     odd = quality.scored(awkward(spark), model, held).collect()
     assert len(odd) == 12 and all(0 <= r.score <= 1 for r in odd)
+    assert quality.scored(empty(spark), model, held).count() == 0
+    few = quality.fit(docs, labels, held, most_lines=2000)
+    assert accuracy(quality.scored(docs, few, held), labels, "quality") > 0.9
+    blank = quality.fit(docs.withColumn("text", F.lit(" \n ")), labels, held)
+    assert {r.score for r in quality.scored(awkward(spark), blank, held).collect()} == {0.5}
     none = quality.fit(docs, labels.limit(0), held)
     assert {r.score for r in quality.scored(awkward(spark), none, held).collect()} == {0.5}
 
@@ -67,6 +72,7 @@ def test_language(spark, tables):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
     odd = {r.doc_id: r for r in language_id.identified(awkward(spark), model, held).collect()}
     assert odd[3].lang_pred == odd[4].lang_pred == odd[8].lang_pred == "und" and odd[1].lang_pred != "und"
+    assert language_id.identified(empty(spark), model, held).count() == 0 and language_id.fit(empty(spark), held).languages == []
     none = language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")), held)
     assert {r.lang_pred for r in language_id.identified(awkward(spark), none, held).collect()} == {"und"}
 
@@ -100,6 +106,58 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(spark.createDataFrame([(1, "x://q.net/")], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_urls_with_awkward_rows(spark):
+    rows = [(1, "http://a.org/" + "x" * 100_000), (2, "http://é.net/ö?q=%20#ü"), (3, ""), (4, "://"), (5, None), (5, None), (None, "http://b.com/de/"), (6, "HTTP://EXAMPLE.org/en/12?x")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for name in ("host", "path", "rule", "plain", "grams", "ratios", "gram", "verdict", "score"):
+        df = df.withColumn(name, F.lit("x"))
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    assert url_filter.judge(df).count() == 8 and got[6].rule == "example.org/en/1" and got[6].verdict == "block"
+    assert (got[2].host, got[2].path) == ("é.net", "/ö") and (got[4].host, got[4].path) == ("", "") and got[1].verdict == "allow"
+
+
+def brute_url_scores(rows):
+    """Scores by Witten-Bell over dictionaries: contexts of two, one and no characters."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    text = lambda u: "~~" + re.sub(r"[^a-z0-9./_:?=&-]", "~", re.sub("[A-Z]", lambda m: m[0].lower(), u or "")) + "~"
+    n, after = defaultdict(Counter), {v: defaultdict(Counter) for v in ("allow", "block")}
+    for u, v in rows:
+        t = text(u)
+        for i in range(2, len(t)):
+            if v:
+                after[v][t[i - 2 : i]][t[i]] += 1
+    for v, seen in after.items():
+        for ctx, c in list(seen.items()):
+            for ch, k in c.items():
+                n[v, ctx[1]][ch] += k
+                n[v, ""][ch] += k
+
+    def p(v, ctx, ch):
+        p0 = (n[v, ""][ch] + 1) / (sum(n[v, ""].values()) + 45)
+        c1, c2 = n[v, ctx[1]], after[v][ctx]
+        p1 = (c1[ch] + len(c1) * p0) / (sum(c1.values()) + len(c1)) if c1 else p0
+        return (c2[ch] + len(c2) * p1) / (sum(c2.values()) + len(c2)) if c2 else p1
+
+    score = lambda t: sum(math.log(p("allow", t[i - 2 : i], t[i]) / p("block", t[i - 2 : i], t[i])) for i in range(2, len(t))) / (len(t) - 2)
+    return {u: score(text(u)) for u, _ in rows}
+
+
+def test_url_scores_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    out = url_filter.judge(pages).join(pages, "page_id").collect()
+    want = brute_url_scores([(r.url, url_filter.RULES.get(r.rule)) for r in out])
+    assert len(out) > 20 and all(abs(r.score - want[r.url]) < 1e-9 for r in out)
+
+
+def test_license_templates_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "NOTICES", {" ".join(["word"] * 66): "long"})
+    with pytest.raises(ValueError):
+        license_scan.scan(awkward(spark))
+
+
 def test_nearest_recall(spark):
     import numpy as np
 

@@ -10,12 +10,13 @@ maximum and the number of lines.
 Only documents are labelled, so lines start with their document's label; then lines of
 bad documents that the field finds good are taken as good (but for the worst one of each)
 and the field is fitted again, ``rounds`` times. It is fitted on at most ``per_class``
-labelled rows of each class, whose line features, not texts, come to the driver; in the
-curve each weighs as many rows as it stands for, so that the cap does not move the score.
+labelled rows of each class that together have at most ``most_lines`` lines (rows are taken
+in the order of a hash of doc_id); their line features, not texts, come to the driver. In
+the curve each weighs as many rows as it stands for, so that the cap does not move the score.
 
 Cases: blank lines are left out; a text that is null, empty or blank has no line and gets
-the score of a document without bad lines; without labels of both classes every score is
-0.5; texts count whole, line by line.
+the score of a document without bad lines; without labels of both classes, or without a
+line in any labelled text, every score is 0.5; texts count whole, line by line.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from math import exp
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, text_function
+from .common import labelled_sample, saved, text_function
 from .logistic import Logistic
 
 N_FEATURES = 13
@@ -210,9 +211,13 @@ class QualityModel:
         return text_function(lambda texts: pa.array(score(texts), pa.float64()), T.DoubleType(), text_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 1000, rounds: int = 3) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 1000, most_lines: int = 400_000, rounds: int = 3) -> QualityModel:
     """A model of ``labels.quality``; ``held_out`` is a condition on doc_id that is not learned from."""
-    sample = labelled_sample(labels, docs, "quality", held_out, per_class)
+    sample = saved(labelled_sample(labels, docs, "quality", held_out, per_class), "quality-sample")
+    # At most ``per_class`` rows of each class go through this window, without their texts.
+    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    lines = sample.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines")).withColumn("so_far", so_far)
+    sample = sample.join(F.broadcast(lines.where(F.col("so_far") <= most_lines).select("doc_id")), "doc_id")
 
     @F.pandas_udf(T.StructType([T.StructField("x", T.BinaryType()), T.StructField("length", T.BinaryType())]))
     def measured(texts: pd.Series) -> pd.DataFrame:
@@ -226,6 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
         return QualityModel(None, None)
     lines = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
     lengths = [np.frombuffer(b, np.float32) for b in got["length"]]
+    if not any(map(len, lines)):
+        return QualityModel(None, None)
     docs_x, of_doc = [with_neighbours(x) for x in lines if len(x)], [g for x, g in zip(lines, good) if len(x)]
     states = [np.full(len(x), 1 - g) for x, g in zip(docs_x, of_doc)]
     for k in range(rounds):
