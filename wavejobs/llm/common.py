@@ -95,7 +95,7 @@ def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", m
     return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most ``size`` bytes in this session, unless the session has a bound of its own.
 
     Spark counts rows only, and 10,000 whole texts fill an executor's memory outside its
