@@ -107,7 +107,7 @@ def fit(docs: DataFrame, held_out: Column, *, max_sample: int = 2000, landmarks:
         return pd.Series([np.packbits(presence([t], max_n, cell_bits)[0] > 0).tobytes() if LETTER(t) else None for t in texts])
 
     # Thresholds on a hash pick about twice ``each`` ids a language, and some more of small ones; the rest is cut by rank.
-    some = ids.join(sizes, "lang").where(F.col("order") < F.lit(1_000_000_007.0 * (2 * each + 32)) / F.col("size"))
+    some = ids.join(F.broadcast(sizes), "lang").where(F.col("order") < F.lit(1_000_000_007.0 * (2 * each + 32)) / F.col("size"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
     chosen = some.withColumn("rank", rank).where(F.col("rank") <= each)
     if not languages:
