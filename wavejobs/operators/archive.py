@@ -33,10 +33,15 @@ def outside_existing(candidates: DataFrame, limits: DataFrame) -> DataFrame:
     return candidates.join(old, known & (F.col(TIME).isNull() | F.col(TIME).between(F.col("old_start"), F.col("old_end"))), "left_anti")
 
 
+def indexed(obs: DataFrame) -> DataFrame:
+    """Rows with a new obs_index, from 0 in the order of trajectory and time."""
+    obs = obs if "obs_index" in obs.columns else obs.withColumn("obs_index", F.lit(0))
+    return ranked(obs).withColumn("obs_index", F.col("rank") - 1).drop("rank")
+
+
 def to_ragged(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with obs_index from 0 in the order of trajectory and time, trajectories with rowsize)."""
-    rows = ranked(obs).withColumn("obs_index", F.col("rank") - 1).drop("rank", ID)
-    return rows, row_sizes(obs)
+    """(rows with obs_index in the order of trajectory and time, trajectories with rowsize)."""
+    return indexed(obs).drop(ID), row_sizes(obs)
 
 
 def to_observations(ragged: DataFrame, trajectories: DataFrame, chunk: int = 50_000) -> DataFrame:
@@ -72,7 +77,7 @@ def frequency_grid(*frames: DataFrame, digits: int = 9) -> list[float]:
 
 
 def aligned(df: DataFrame, grid: list[float], columns: tuple[str, ...] = ("varianceDensity",), digits: int = 9) -> DataFrame:
-    """Arrays on the union grid, null where a row has no such frequency."""
+    """Arrays on the union grid, null where a row has no such frequency; absent columns are passed over."""
     axis = F.array(*map(F.lit, grid))
     place = F.transform("frequency", lambda f: F.round(f, digits))
 
@@ -85,16 +90,25 @@ def aligned(df: DataFrame, grid: list[float], columns: tuple[str, ...] = ("varia
 
 
 def merge(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_new: bool = False, **box: float) -> DataFrame:
-    """Existing rows and the new ones that lie in the box and outside what is known."""
+    """Existing rows and the new ones that lie in the box and outside what is known.
+
+    All array columns are put on the union of the frequency axes. With ``dedupe_new`` one
+    new row of each trajectory and time stays: of bulk before spectral ones, then the
+    first by obs_index.
+    """
     existing, bulk, spectral = map(normalise_names, (existing, bulk, spectral))
     limits = time_limits(existing)
     new = [outside_existing(filter_box(df, **box), limits) for df in (bulk, spectral)]
-    fresh = new[0].unionByName(new[1], allowMissingColumns=True)
+    fresh = new[0].withColumn("_source", F.lit(0)).unionByName(new[1].withColumn("_source", F.lit(1)), allowMissingColumns=True)
     if dedupe_new:
-        fresh = fresh.dropDuplicates([ID, TIME])
+        order = [F.col(c) for c in ("_source", "obs_index") if c in fresh.columns]
+        nth = F.row_number().over(Window.partitionBy(ID, TIME).orderBy(*order))
+        fresh = fresh.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    fresh = fresh.drop("_source")
     out = existing.unionByName(fresh, allowMissingColumns=True)
     if "frequency" in out.columns:
-        out = aligned(out, frequency_grid(*(d for d in (existing, bulk, spectral) if "frequency" in d.columns)))
+        arrays = tuple(c for c, kind in out.dtypes if kind.startswith("array<") and c != "frequency")
+        out = aligned(out, frequency_grid(*(d for d in (existing, bulk, spectral) if "frequency" in d.columns)), arrays)
     return out
 
 

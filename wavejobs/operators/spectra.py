@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frequency import model_edges, rebin_weights
+from ..functions.frequency import model_edges, model_frequency, rebin_weights
 from ..functions.geo import EARTH_RADIUS_M, chord_to_metres, cube_side, unit_vector
 from .collocate import nearest_time
 from .trajectories import ID, TIME
@@ -104,27 +104,39 @@ def matchup(binned: DataFrame, spectra: DataFrame, points: DataFrame, *, toleran
     )
 
 
-def pairs_by_frequency(m: DataFrame) -> DataFrame:
-    """(freq_idx, x, y): observed and model density where both are present and not negative."""
+DENSITY = ("mean_spectrum_buoy", "mean_spectrum_model", "bias", "mae", "rmse", "correlation", "relative_bias", "energy_ratio", "scatter_index")
+LOGS = ("log10_bias", "log10_rmse", "log10_correlation")
+
+
+def pairs_by_frequency(m: DataFrame, frequency: np.ndarray | None = None) -> DataFrame:
+    """(freq_idx, frequency, x, y): observed and model density, both null unless both are present and not negative."""
+    axis = F.array(*map(F.lit, (model_frequency() if frequency is None else frequency).tolist()))
     both = F.arrays_zip(F.col("varianceDensity_buoy").alias("x"), F.col("varianceDensity_model").alias("y"))
-    rows = m.select(F.posexplode(both).alias("freq_idx", "p")).select("freq_idx", "p.x", "p.y")
-    return rows.where("x >= 0 and y >= 0")
+    rows = m.select(F.posexplode(both).alias("freq_idx", "p"))
+    valid = (F.col("p.x") >= 0) & (F.col("p.y") >= 0)
+    return rows.select("freq_idx", F.get(axis, F.col("freq_idx")).alias("frequency"), F.when(valid, F.col("p.x")).alias("x"), F.when(valid, F.col("p.y")).alias("y"))
 
 
-def density_metrics(m: DataFrame) -> DataFrame:
+def frequency_metrics(m: DataFrame, eps: float = EPS) -> DataFrame:
+    """Metrics of densities and of their logarithms in one pass, a row for every frequency of the axis."""
     d = F.col("y") - F.col("x")
     rmse, mean_x, mean_y = F.sqrt(F.avg(d * d)), F.avg("x"), F.avg("y")
-    return pairs_by_frequency(m).groupBy("freq_idx").agg(
+    above = (F.col("x") > eps) & (F.col("y") > eps)
+    a, b = F.when(above, F.log10("x")), F.when(above, F.log10("y"))
+    return pairs_by_frequency(m).groupBy("freq_idx", "frequency").agg(
         mean_x.alias("mean_spectrum_buoy"), mean_y.alias("mean_spectrum_model"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"),
         rmse.alias("rmse"), F.corr("x", "y").alias("correlation"),
         F.try_divide(F.avg(d), mean_x).alias("relative_bias"), F.try_divide(mean_y, mean_x).alias("energy_ratio"), F.try_divide(rmse, mean_x).alias("scatter_index"),
+        F.avg(b - a).alias("log10_bias"), F.sqrt(F.avg((b - a) * (b - a))).alias("log10_rmse"), F.corr(a, b).alias("log10_correlation"),
     )
 
 
+def density_metrics(m: DataFrame) -> DataFrame:
+    return frequency_metrics(m).select("freq_idx", "frequency", *DENSITY)
+
+
 def log_metrics(m: DataFrame, eps: float = EPS) -> DataFrame:
-    rows = pairs_by_frequency(m).where((F.col("x") > eps) & (F.col("y") > eps)).select("freq_idx", F.log10("x").alias("x"), F.log10("y").alias("y"))
-    d = F.col("y") - F.col("x")
-    return rows.groupBy("freq_idx").agg(F.avg(d).alias("log10_bias"), F.sqrt(F.avg(d * d)).alias("log10_rmse"), F.corr("x", "y").alias("log10_correlation"))
+    return frequency_metrics(m, eps).select("freq_idx", "frequency", *LOGS)
 
 
 def with_heights(m: DataFrame, widths: np.ndarray) -> DataFrame:

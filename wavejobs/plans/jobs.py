@@ -45,19 +45,20 @@ def spectral(obs: DataFrame, model: DataFrame, points: DataFrame, source_centres
     binned = spectra.rebinned(subset_time(obs, start, end), source_centres)
     model = subset_time(model, start, end, end_inclusive_day=True)
     m = spectra.matchup(binned, model, points, tolerance_s=tolerance_s, max_distance_m=max_distance_m)
-    by_frequency = spectra.density_metrics(m).join(spectra.log_metrics(m), "freq_idx", "left")
-    return m, by_frequency, spectra.height_metrics(m, widths(model_frequency()))
+    return m, spectra.frequency_metrics(m), spectra.height_metrics(m, widths(model_frequency()))
 
 
 def build_archive(spark: SparkSession, root: str, out: str, *, chunk_rows: int = 50_000) -> DataFrame:
     obs = files.read_csv_tree(spark, root)
     archive.validate_spectral_lengths(obs, tuple(c for c in files.ARRAYS.values() if c in obs.columns))
-    files.write_archive(obs, out, chunk_rows=chunk_rows)
+    obs = archive.indexed(obs)
+    files.write_archive(obs, out, chunk_rows=chunk_rows, units=files.UNITS)
     return obs
 
 
 def merge_archives(existing: DataFrame, new_bulk: DataFrame, new_spectral: DataFrame, out: str | None = None, *, lat_min=-74.0, lat_max=-39.0, lon_min=-180.0, lon_max=180.0) -> DataFrame:
-    merged = archive.merge(existing, new_bulk, new_spectral, lat_min=lat_min, lat_max=lat_max, lon_min=lon_min, lon_max=lon_max)
+    """Existing and new rows under a new index; written with units where ``out`` is given."""
+    merged = archive.indexed(archive.merge(existing, new_bulk, new_spectral, lat_min=lat_min, lat_max=lat_max, lon_min=lon_min, lon_max=lon_max))
     if out:
-        files.write_archive(merged, out)
+        files.write_archive(merged, out, units=files.UNITS)
     return merged

@@ -316,6 +316,16 @@ def archive_merge(spark, sf_dir):
     return merged.select(tr.ID, "obs_index", tr.TIME, "significantWaveHeight")
 
 
+def two_grids(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Existing rows on every second frequency, bulk rows without spectra, spectral rows on all frequencies."""
+    b = ad.buoy_spectra(spark, sf_dir)
+    b = b.withColumn("a1", F.transform("varianceDensity", lambda v, k: v * 2 + k)).withColumn("b2", F.transform("varianceDensity", lambda v, k: v * 3 - k))
+    arrays = ("frequency", "varianceDensity", "a1", "b2")
+    old = b.where("trajectory_id like '%0'").withColumns({c: F.filter(c, lambda x, i: i % 2 == 0) for c in arrays})
+    bulk = b.where("trajectory_id like '%5'").drop(*arrays)
+    return old, bulk, b.where("trajectory_id not like '%0' and trajectory_id not like '%5'")
+
+
 BUOY = f"buoy as ({ad.buoy_spectra_sql('duckdb')})"
 MODEL = f"model as ({ad.model_spectra_sql('duckdb')}), points as ({ad.points_sql('duckdb')})"
 
@@ -331,6 +341,20 @@ def align_frequency(spark, sf_dir):
     return out.select(tr.ID, F.posexplode("varianceDensity").alias("freq_idx", "density"))
 
 
+MERGED_ITEM = "case when trajectory_id like '%0' and k % 2 = 1 then null else {0} end"
+
+
+@query(f"""with {BUOY}, n as (select * from buoy where trajectory_id not like '%0' and latitude between -90 and 90 and longitude between -180 and 180),
+rows_ as (select * from buoy where trajectory_id like '%0' union all select * from n), ix as (select * exclude (obs_index), row_number() over (order by trajectory_id, time) - 1 as obs_index from rows_)
+select trajectory_id, obs_index, k::int as freq_idx, round(frequency[k + 1] * 1000, 6) + 0.0 as frequency_mhz, round({MERGED_ITEM.format('varianceDensity[k + 1]')}, 6) + 0.0 as density,
+ round({MERGED_ITEM.format('varianceDensity[k + 1] * 2 + k')}, 6) + 0.0 as a1, round({MERGED_ITEM.format('varianceDensity[k + 1] * 3 - k')}, 6) + 0.0 as b2 from ix, unnest(range(64)) u(k) where trajectory_id not like '%5'""")
+def archive_merge_spectra(spark, sf_dir):
+    merged = archive.merge(*two_grids(spark, sf_dir), lat_min=-90, lat_max=90, lon_min=-180, lon_max=180)
+    axis = F.transform("frequency", lambda f: f * 1000)
+    items = F.arrays_zip(axis.alias("frequency_mhz"), F.col("varianceDensity").alias("density"), "a1", "b2")
+    return archive.indexed(merged).select(tr.ID, "obs_index", F.posexplode(items).alias("freq_idx", "p")).select(tr.ID, "obs_index", "freq_idx", "p.*")
+
+
 CELL = "case when trajectory_id like '%31' then null when k = 5 or k = 9 or varianceDensity[k + 1] is null then null else cast(round(10000 * varianceDensity[k + 1]) as bigint)::double end"
 
 
@@ -401,14 +425,18 @@ def spectral_matchup(spark, sf_dir):
     return m.select(tr.ID, tr.TIME, "model_time", F.posexplode(both).alias("freq_idx", "p")).select(tr.ID, tr.TIME, "model_time", "freq_idx", "p.x", "p.y")
 
 
-@query(f"""with {MATCHED} select freq_idx, round(avg(x), 6) + 0.0 as mean_spectrum_buoy, round(avg(y), 6) + 0.0 as mean_spectrum_model, round(avg(y - x), 6) + 0.0 as bias, round(avg(abs(y - x)), 6) + 0.0 as mae, round(sqrt(avg((y - x) * (y - x))), 6) + 0.0 as rmse,
-round(corr(x, y), 6) + 0.0 as correlation, round(avg(y - x) / avg(x), 6) + 0.0 as relative_bias, round(avg(y) / avg(x), 6) + 0.0 as energy_ratio, round(sqrt(avg((y - x) * (y - x))) / avg(x), 6) + 0.0 as scatter_index from pairs where x >= 0 and y >= 0 group by freq_idx""")
+VALID = f"{MATCHED}, valid as (select freq_idx, case when x >= 0 and y >= 0 then x end as x, case when x >= 0 and y >= 0 then y end as y from pairs)"
+FREQUENCY = "round(0.03453 * pow(1.1, freq_idx), 6) + 0.0 as frequency"
+
+
+@query(f"""with {VALID} select freq_idx, {FREQUENCY}, round(avg(x), 6) + 0.0 as mean_spectrum_buoy, round(avg(y), 6) + 0.0 as mean_spectrum_model, round(avg(y - x), 6) + 0.0 as bias, round(avg(abs(y - x)), 6) + 0.0 as mae, round(sqrt(avg((y - x) * (y - x))), 6) + 0.0 as rmse,
+round(corr(x, y), 6) + 0.0 as correlation, round(avg(y - x) / avg(x), 6) + 0.0 as relative_bias, round(avg(y) / avg(x), 6) + 0.0 as energy_ratio, round(sqrt(avg((y - x) * (y - x))) / avg(x), 6) + 0.0 as scatter_index from valid group by freq_idx""")
 def spectral_metrics(spark, sf_dir):
     return spectra.density_metrics(matched(spark, sf_dir))
 
 
-@query(f"""with {MATCHED}, l as (select freq_idx, log10(x) as x, log10(y) as y from pairs where x > 1e-10 and y > 1e-10)
-select freq_idx, round(avg(y - x), 6) + 0.0 as log10_bias, round(sqrt(avg((y - x) * (y - x))), 6) + 0.0 as log10_rmse, round(corr(x, y), 6) + 0.0 as log10_correlation from l group by freq_idx""")
+@query(f"""with {VALID}, l as (select freq_idx, case when x > 1e-10 and y > 1e-10 then log10(x) end as x, case when x > 1e-10 and y > 1e-10 then log10(y) end as y from valid)
+select freq_idx, {FREQUENCY}, round(avg(y - x), 6) + 0.0 as log10_bias, round(sqrt(avg((y - x) * (y - x))), 6) + 0.0 as log10_rmse, round(corr(x, y), 6) + 0.0 as log10_correlation from l group by freq_idx""")
 def log_metrics(spark, sf_dir):
     return spectra.log_metrics(matched(spark, sf_dir))
 
@@ -434,6 +462,38 @@ def drift_pair(spark, sf_dir):
     return drift.chosen_pair(hourly(spark, sf_dir, "linear_wrapped")).select(tr.ID, tr.TIME, "pair", "dt_s")
 
 
-@query()
+def geodesic_sql(rounds: int = 8) -> str:
+    """Vincenty's inverse formulae of ``ends``, a fixed number of rounds: d (metres) and az (radians)."""
+    flat_, a, b = "(1 / 298.257223563)", "6378137.0", "(6378137.0 * (1 - 1 / 298.257223563))"
+    out = f"""g0 as (select *, radians(lo2) - radians(lo1) as turn, radians(lo2) - radians(lo1) as lam, atan((1 - {flat_}) * tan(radians(la1))) as u1, atan((1 - {flat_}) * tan(radians(la2))) as u2 from ends)"""
+    for k in range(rounds):
+        out += f""",
+        s{k} as (select *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs from g{k}),
+        t{k} as (select *, atan2(ss, cs) as sg, case when ss > 0 then cos(u1) * cos(u2) * sin(lam) / ss else 0 end as sa from s{k}),
+        w{k} as (select *, 1 - sa * sa as ca, case when 1 - sa * sa > 0 then cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) else 0 end as cm, {flat_} / 16 * (1 - sa * sa) * (4 + {flat_} * (4 - 3 * (1 - sa * sa))) as cc from t{k}),
+        g{k + 1} as (select * exclude (lam, ss, cs, sg, sa, ca, cm, cc), turn + (1 - cc) * {flat_} * sa * (sg + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) as lam {", ss, cs, sg, ca, cm" if k + 1 == rounds else ""} from w{k})"""
+    return out + f""",
+    h as (select *, ca * ({a} * {a} - {b} * {b}) / ({b} * {b}) as k from g{rounds}),
+    hh as (select *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) as big, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) as small from h),
+    geo as (select *, case when lo1 = lo2 and la1 = la2 then 0 else {b} * big * (sg - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) end as d,
+      case when lo1 = lo2 and la1 = la2 then 0 else atan2(cos(u2) * sin(lam), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) end as az from hh)"""
+
+
+KEPT = f"{WRAPPED}, {STEPS}, flagged as (select *, {summary_sql(FLAGS)} from tests), kept as (select trajectory_id, time, latitude, longitude from flagged where summary_qc <> 4)"
+ENDS = f"""{KEPT}, nb as (select *, {', '.join(f"{f}({c}) over {W} as {c[0]}{c[1]}{s}" for f, s in (('lag', 'b'), ('lead', 'a')) for c in ('time', 'latitude', 'longitude'))} from kept),
+gaps as (select *, {SECONDS.format('tib', 'time')} as db, {SECONDS.format('time', 'tia')} as da, latitude + longitude is not null as here, lab + lob is not null as was, laa + loa is not null as will from nb),
+pr as (select *, case when db between 1e-6 and 10800 and da between 1e-6 and 10800 and was and will then 1 when da between 1e-6 and 10800 and will and here then 2 when db between 1e-6 and 10800 and was and here then 3 end as pair from gaps),
+ends as (select trajectory_id, time, pair, case pair when 1 then da + db when 2 then da when 3 then db end as dt, case when pair = 2 then latitude when pair is not null then lab end as la1, case when pair = 2 then longitude when pair is not null then lob end as lo1,
+ case when pair = 3 then latitude when pair is not null then laa end as la2, case when pair = 3 then longitude when pair is not null then loa end as lo2 from pr)"""
+
+
+@query(f"""with {ENDS}, {geodesic_sql()}, sp as (select *, d / dt as speed from geo)
+select trajectory_id, epoch_us(time) as time_us, round(case when speed <= 3 then speed * sin(az) end, 6) + 0.0 as drifter_u_m_s, round(case when speed <= 3 then speed * cos(az) end, 6) + 0.0 as drifter_v_m_s,
+ round(case when speed <= 3 then speed end, 6) + 0.0 as drifter_speed_m_s, round(case when speed <= 3 then degrees(az) + 360 - 360 * floor((degrees(az) + 360) / 360) end, 3) + 0.0 as drifter_direction_to_deg,
+ round(dt, 6) + 0.0 as drifter_velocity_dt_s, round(d, 3) + 0.0 as drifter_velocity_distance_m, case when speed is null then 9 when speed > 3 then 4 else 1 end as drifter_velocity_qc_flag from sp""")
 def drift_velocity(spark, sf_dir):
-    return drift.velocity(quality.run_all(hourly(spark, sf_dir, "linear_wrapped"), remove_failed_after=True))
+    out = drift.velocity(quality.run_all(hourly(spark, sf_dir, "linear_wrapped"), remove_failed_after=True))
+    coarse = {c: F.round(c, 3) for c in ("drifter_direction_to_deg", "drifter_velocity_distance_m")}
+    return out.withColumns(coarse).select(
+        tr.ID, tr.TIME, "drifter_u_m_s", "drifter_v_m_s", "drifter_speed_m_s", "drifter_direction_to_deg", "drifter_velocity_dt_s", "drifter_velocity_distance_m", quality.VELOCITY_FLAG
+    )

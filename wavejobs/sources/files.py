@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import epoch_time, number, semicolon_array
-from ..operators.trajectories import ID, TIME
+from ..functions.frequency import model_direction_degrees, model_frequency
+from ..operators.collocate import MODELS
+from ..operators.trajectories import ID, TIME, subset_time
 
 # Raw headers and the columns that they become.
 TIME_HEADER = "Epoch Time"
@@ -26,12 +28,26 @@ NUMBERS = {
     "Power (W)": "power",
     "Humidity (%rel)": "humidity",
     "Surface Temperature (°C)": "surfaceTemperature",
+    "Partition0 Start Frequency (hz)": "partition0StartFrequency",
+    "Partition0 End Frequency (hz)": "partition0EndFrequency",
+    "Partition0 Significant Wave Height (m)": "partition0SignificantWaveHeight",
+    "Partition0 Mean Period (s)": "partition0MeanPeriod",
+    "Partition0 Mean Direction (deg)": "partition0MeanDirection",
+    "Partition0 Mean Directional Spread (deg)": "partition0MeanDirectionalSpread",
+    "Partition1 Start Frequency (hz)": "partition1StartFrequency",
+    "Partition1 End Frequency (hz)": "partition1EndFrequency",
+    "Partition1 Significant Wave Height (m)": "partition1SignificantWaveHeight",
+    "Partition1 Mean Period (s)": "partition1MeanPeriod",
+    "Partition1 Mean Direction (deg)": "partition1MeanDirection",
+    "Partition1 Mean Directional Spread (deg)": "partition1MeanDirectionalSpread",
     "Mean Barometric Pressure (hPa)": "meanBarometricPressure",
     "Wind Speed (m/s)": "windSpeed",
     "Wind Direction (deg)": "windDirection",
 }
 ARRAYS = {"f": "frequency", "df": "frequencyBandwidth", "varianceDensity": "varianceDensity", "a1": "a1", "b1": "b1", "a2": "a2", "b2": "b2", "direction": "direction", "directionalSpread": "directionalSpread"}
 TEXTS = {"Processing Source": "processingSource"}
+#: Units of columns, as their raw headers state them.
+UNITS = {c: {"units": h[h.rindex("(") + 1 : -1]} for h, c in NUMBERS.items()} | {"frequency": {"units": "Hz"}, "varianceDensity": {"units": "m2/Hz"}}
 
 
 def parse_raw(raw: DataFrame, *, drop_missing_spectra: bool = True) -> DataFrame:
@@ -82,22 +98,40 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_grid(spark: SparkSession, paths: list[str], variables: tuple[str, ...], *, start=None, end=None, lat=(-90.0, 90.0), lon=(-180.0, 180.0)) -> DataFrame:
-    """A model grid of one or more sets, cut to period and box; an error names what is missing."""
+    """A model grid of one or more sets, cut to period and box; an error names what is missing.
+
+    ``end`` is a day: all its hours belong to the period.
+    """
     df = spark.read.parquet(*paths)
     if missing := [v for v in variables if v not in df.columns]:
         raise ValueError(f"the grid lacks {missing}")
     df = df.select(TIME, "latitude", "longitude", *variables)
     df = df.where(F.col("latitude").between(*lat) & F.col("longitude").between(*lon))
-    for end_of, op in ((start, "__ge__"), (end, "__le__")):
-        if end_of is not None:
-            df = df.where(getattr(F.col(TIME), op)(F.lit(end_of)))
-    return df
+    return subset_time(df, start, end, end_inclusive_day=True)
+
+
+def read_spectra(spark: SparkSession, path: str, *, start=None, end=None) -> DataFrame:
+    """2-D model spectra (time, point_id, d2fd), with the frequencies and directions of the rows of d2fd as arrays."""
+    df = spark.read.parquet(path)
+    if missing := [c for c in (TIME, "point_id", "d2fd") if c not in df.columns]:
+        raise ValueError(f"the spectra lack {missing}")
+    axes = {"frequency": model_frequency(), "direction": model_direction_degrees()}
+    df = df.withColumns({c: F.array(*map(F.lit, axis.tolist())) for c, axis in axes.items()})
+    return subset_time(df, start, end, end_inclusive_day=True)
+
+
+def read_models(spark: SparkSession, paths: dict[str, list[str]], **cut) -> dict[str, DataFrame]:
+    """Grids by the name of their model; an unknown name is an error."""
+    if unknown := sorted(paths.keys() - MODELS.keys()):
+        raise ValueError(f"unknown models {unknown}; known are {sorted(MODELS)}")
+    return {name: read_grid(spark, paths[name], tuple(MODELS[name]), **cut) for name in paths}
 
 
 def write_archive(obs: DataFrame, path: str, *, chunk_rows: int = 50_000, units: dict[str, dict] | None = None) -> None:
     """Rows in ranges of trajectory and time, and the table of trajectories beside them."""
     for c, meta in (units or {}).items():
-        obs = obs.withMetadata(c, meta)
+        if c in obs.columns:
+            obs = obs.withMetadata(c, meta)
     sizes = obs.groupBy(ID).agg(F.count("*").alias("rowsize"))
     dealt = obs.repartitionByRange(ID, TIME).sortWithinPartitions(ID, TIME)
     dealt.write.mode("overwrite").option("maxRecordsPerFile", chunk_rows).parquet(f"{path}/observations")
