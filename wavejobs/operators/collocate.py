@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from math import floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .trajectories import ID, TIME
@@ -47,26 +49,35 @@ def nearest_time(times: DataFrame, model_times: DataFrame, tolerance_s: float |
     return found
 
 
-def intervals(axis: DataFrame, name: str) -> DataFrame:
-    """(lo, hi) of neighbouring values of an axis; the last value is an interval of its own."""
-    return axis.select(F.collect_list("x").alias("x")).select(
-        F.explode(F.transform(F.sort_array("x"), lambda v, i: F.struct(v.alias("lo"), F.get(F.sort_array("x"), i + 1).alias("hi")))).alias("s")
-    ).select(F.col("s.lo").alias(f"{name}_lo"), F.col("s.hi").alias(f"{name}_hi"))
+def intervals(spark: SparkSession, axis: list[float], name: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """(cell, lo, hi) of neighbouring values of an axis, and the cell of a column's value.
+
+    Cells are as wide as the mean interval, and an interval stands under every cell that it
+    reaches into (together at most twice as many rows as values), so that values find
+    theirs by an equi-join. The last value is an interval of its own.
+    """
+    x = sorted(axis)
+    first, width = (x[0], (x[-1] - x[0]) / (len(x) - 1)) if len(x) > 1 else (x[0] if x else 0.0, 1.0)
+    at = lambda v: floor((v - first) / width)
+    rows = [(cell, lo, hi) for lo, hi in zip(x, [*x[1:], None]) for cell in range(at(lo), at(lo if hi is None else hi) + 1)]
+    df = spark.createDataFrame(rows, f"{name}_cell long, {name}_lo double, {name}_hi double")
+    return df, lambda c: F.floor((F.col(c) - first) / width)
 
 
-def bilinear(points: DataFrame, grid: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
+def bilinear(points: DataFrame, grid: DataFrame, variables: list[str], keys: list[str], most: int = 200_000) -> DataFrame:
     """``keys`` and each variable at (latitude, longitude) of ``points`` at their model_time.
 
     The axes (distinct latitudes and longitudes, a few thousand values whatever the number
-    of times) are broadcast as intervals; each point asks for its four corners, which join
-    the grid by time and place. Outside the grid, or with a null corner of non-zero weight,
-    the value is null.
+    of times) come to the driver and are broadcast as intervals where they have at most
+    ``most`` values; each point asks for its four corners, which join the grid by time and
+    place. Outside the grid, or with a null corner of non-zero weight, the value is null.
     """
     out = points.where("latitude is not null and longitude is not null and model_time is not null")
-    for c, x in (("latitude", "la"), ("longitude", "lo")):
-        axis = intervals(grid.select(F.col(c).alias("x")).where("x is not null").distinct(), x)
-        inside = (F.col(c) >= F.col(f"{x}_lo")) & ((F.col(c) < F.col(f"{x}_hi")) | (F.col(f"{x}_hi").isNull() & (F.col(c) == F.col(f"{x}_lo"))))
-        out = out.join(F.broadcast(axis), inside)
+    axes = grid.agg(F.collect_set("latitude"), F.collect_set("longitude")).first()
+    for c, x, values in zip(("latitude", "longitude"), ("la", "lo"), axes):
+        axis, cell = intervals(grid.sparkSession, values, x)
+        inside = (cell(c) == F.col(f"{x}_cell")) & (F.col(c) >= F.col(f"{x}_lo")) & ((F.col(c) < F.col(f"{x}_hi")) | (F.col(f"{x}_hi").isNull() & (F.col(c) == F.col(f"{x}_lo"))))
+        out = out.join(F.broadcast(axis) if len(values) <= most else axis, inside)
         f = F.when(F.col(f"{x}_hi").isNull(), 0.0).otherwise((F.col(c) - F.col(f"{x}_lo")) / (F.col(f"{x}_hi") - F.col(f"{x}_lo")))
         out = out.withColumn(f"{x}_f", f)
     corners = [
