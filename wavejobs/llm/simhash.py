@@ -36,6 +36,7 @@ from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 KEYS = list(combinations(range(7), 3))
+BLOCK = 8192
 
 
 def fingerprint_of(text: str | None, shingle_words: int = 4) -> int:
@@ -43,17 +44,19 @@ def fingerprint_of(text: str | None, shingle_words: int = 4) -> int:
     words = (text or "").encode("utf-8").translate(LOWER).split()
     if not words:
         return 0
-    joined = b" ".join(words)
     n = max(1, len(words) - shingle_words + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    stops = ends[-n:].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, stops)], "<u8")
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):
-        part = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    # In blocks of shingles, so that a very long text needs no further lists of its length.
+    for at in range(0, n, BLOCK):
+        own = words[at : at + BLOCK + shingle_words - 1]
+        shingles = min(BLOCK, n - at)
+        joined = b" ".join(own)
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+        starts = np.concatenate([[0], ends[: shingles - 1] + 1]).tolist()
+        stops = ends[-shingles:].tolist()
+        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, stops)], "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
