@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from wavejobs.llm import exact_dedup, simhash
@@ -132,6 +133,20 @@ def test_exact_equals_brute_force(spark):
     check_exact(spark.createDataFrame([(1, "a b"), (1, "ab "), (1, "a b"), (2, "ab"), (None, "q "), (None, "q ")], "doc_id long, text string"))
 
 
+def test_bytes_decide_under_one_digest(spark):
+    rows = [("ab", b"1", 2), ("ab", b"1", 2), ("cd", b"2", 2), ("ce", b"3", 2), ("cf", b"3", 2)]
+    texts = spark.createDataFrame(rows, "normal string, sha binary, n_bytes int")
+    groups = lambda df: df.select("sha", "n_bytes").distinct()
+    equal = texts.where("normal in ('ab', 'cd')")
+    for most in (1, 10):
+        exact_dedup.check_bytes(equal, groups(equal), most)
+        with pytest.raises(ValueError):
+            exact_dedup.check_bytes(texts, groups(texts), most)
+    # Texts outside the groups are not compared where the groups are broadcast.
+    exact_dedup.check_bytes(texts, groups(equal), 10)
+    exact_dedup.check_bytes(texts.limit(0), groups(texts.limit(0)))
+
+
 def test_fuse_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 10, 1000, 70_000):

@@ -6,10 +6,13 @@ fingerprints, about 9 bits a text. Incoming digests, grouped by themselves first
 screened by the filter of their bucket: a negative is new for certain and never meets the
 snapshot; a positive joins its exact bucket, where the bytes are checked.
 
-Bytes are checked on the SHA-256 of the normalised text and its length in bytes, so
-grouping reads texts once and does not shuffle them; ``unique`` reads and shuffles them
-once more, to meet the rows that stay. A group of copies is pre-aggregated to one row in each
-task, so a group with a third of all rows is no load for any task.
+Groups are formed by SHA-256 and length of the normalised text, without a shuffle of
+texts. Then the bytes themselves are compared for every group of two rows or more: the
+texts are read again, each task keeps one copy of each different text, and only these
+are shuffled. Texts that differ under one digest and length would be an error that stops
+the job; none is ever merged. ``unique`` reads and shuffles texts once more, to meet the
+rows that stay. A group of copies is pre-aggregated to one row in each task, so a group
+with a third of all rows is no load for any task.
 
 Cases: a null text counts as empty; texts of white space only are equal to it; of equal
 texts the longest original stays, then the smallest id (null ids last), of rows with one id
@@ -108,13 +111,33 @@ class BinaryFuseFilter:
         return self.prints(h) == self.cells[s[0]] ^ self.cells[s[1]] ^ self.cells[s[2]]
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_chars, sha binary, n_bytes, key long) of each row's normalised text."""
+def normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_chars, normal, sha binary, n_bytes) of each row: its normalised text and that text's digest."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     normal = F.translate(text, SPACES, "")
     rows = docs.select(F.col(id_col).alias("id"), F.length(text).alias("n_chars"), normal.alias("normal"))
-    rows = rows.select("id", "n_chars", F.unhex(F.sha2(F.encode("normal", "utf-8"), 256)).alias("sha"), F.octet_length("normal").alias("n_bytes"))
-    return rows.withColumn("key", F.xxhash64("sha"))
+    return rows.select("*", F.unhex(F.sha2(F.encode("normal", "utf-8"), 256)).alias("sha"), F.octet_length("normal").alias("n_bytes"))
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_chars, sha binary, n_bytes, key long) of each row's normalised text."""
+    return normalised(docs, id_col, text_col).drop("normal").withColumn("key", F.xxhash64("sha"))
+
+
+def check_bytes(texts: DataFrame, groups: DataFrame, most: int = 500_000) -> None:
+    """Raise unless all ``texts(normal, sha, n_bytes)`` of each of ``groups(sha, n_bytes)`` are the same bytes.
+
+    Up to ``most`` groups are broadcast, so that only their texts are shuffled; with more,
+    each different text is shuffled once, without a join.
+    """
+    same = ["sha", "n_bytes"]
+    if (n := groups.count()) == 0:
+        return
+    if n <= most:
+        texts = texts.join(F.broadcast(groups), same, "left_semi")
+    different = texts.select(*same, "normal").distinct()
+    if different.groupBy(*same).count().where("count > 1").first():
+        raise ValueError("different texts have one digest and length")
 
 
 def fuse_filters(groups: DataFrame) -> DataFrame:
@@ -162,7 +185,7 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     one = saved(one.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("long")), "digest-groups")
     snapshot, batch = one.where("old"), one.where(~F.col("old"))
     screened = screen(batch, fuse_filters(snapshot)).where("maybe").select("key", "sha", "n_bytes")
-    # In the exact bucket the bytes decide; what the filter let through in error stays apart.
+    # In the exact bucket digest and length decide; what the filter let through in error stays apart.
     held = snapshot.select("key", "sha", "n_bytes", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
     checked = screened.join(held, ["key", "sha", "n_bytes"])
     same = ["sha", "n_bytes"]
@@ -171,6 +194,7 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     merged = of_batch.where("merged").select(*same)
     of_snapshot = snapshot.join(merged, same, "left_anti").select(*same, "keep", F.col("n").alias("group_size"))
     groups = saved(of_batch.drop("merged").unionByName(of_snapshot), "exact-groups")
+    check_bytes(normalised(docs, id_col, text_col), groups.where("group_size > 1").select(*same))
     return rows.select("id", "row", *same), groups, total
 
 
