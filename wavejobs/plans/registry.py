@@ -71,8 +71,9 @@ def hourly_cte(longitude: str, source: str = "sub") -> str:
     hourly as (select trajectory_id, h as time, {value.format("latitude")}, {lon} as longitude, {value.format("significantWaveHeight")}, {value.format("peakPeriod")} from ab)"""
 
 
-NEAREST = f"{SUB}, {hourly_cte('nearest')}"
-WRAPPED = f"{SUB}, {hourly_cte('linear_wrapped')}"
+WHOLE = f"{OBS}, sub as (select * from obs)"
+NEAREST = f"{WHOLE}, {hourly_cte('nearest')}"
+WRAPPED = f"{WHOLE}, {hourly_cte('linear_wrapped')}"
 HOURLY_OUT = f"select trajectory_id, epoch_us(time) as time_us, {r('latitude', 'longitude', 'significantWaveHeight', 'peakPeriod')} from hourly"
 
 
@@ -81,7 +82,7 @@ def subset(spark, sf_dir):
 
 
 def hourly(spark, sf_dir, longitude="nearest"):
-    return resample.hourly(subset(spark, sf_dir), longitude=longitude)
+    return resample.hourly(ad.observations(spark, sf_dir), longitude=longitude)
 
 
 @query(f"with {SUB} select trajectory_id, obs_index, epoch_us(time) as time_us, {r('significantWaveHeight', 'peakPeriod', 'latitude', 'longitude')} from sub")
