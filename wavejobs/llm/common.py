@@ -92,7 +92,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
     return rows.join(F.broadcast(hot), on).unionByName(cold.join(groups.where(F.col(size) <= bound), on))
 
 
-def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", most: int = 4_000_000) -> DataFrame:
+def join_small(rows: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 4_000_000) -> DataFrame:
     """``rows`` joined to narrow rows, which are broadcast where a count shows at most ``most`` of them, else shuffled."""
     small = saved(small, "join-side")
     return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, nearest, packing, quality, simhash, toxicity, url_filter
+from . import bpe, exact_dedup, language_id, license_scan, merkle, nearest, packing, periodic, quality, secret_scan, simhash, toxicity, url_filter
 from .common import bounded_batches, fold, table
 
 
@@ -62,14 +62,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, language_id.fit(docs, held_out), held_out)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.scan(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_nearest, op2_toxicity, op3_licenses, op4_urls, op5_bpe, op6_simhash, op7_packing, op8_quality, op9_exact, op10_language)
+    for f in (
+        op1_nearest, op2_toxicity, op3_licenses, op4_urls, op5_bpe, op6_simhash, op7_packing, op8_quality, op9_exact, op10_language,
+        op11_manifest, op12_periodic, op13_secrets,
+    )
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLES: dict[str, str] = {
+    "op11_manifest": merkle.oracle(),
     "op3_licenses": license_scan.oracle(),
     "op4_urls": url_filter.oracle(),
     "op9_exact": f"""
