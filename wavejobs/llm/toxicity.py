@@ -184,7 +184,7 @@ class Evidence:
     ratios: np.ndarray
     strongest: int = 3
     margin: float = 2.0
-    table: np.ndarray | None = field(default=None, repr=False)
+    table: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, grams: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Evidence:
@@ -200,15 +200,24 @@ class Evidence:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each sequence without its last symbol (0 where none is known), and the ratios of a row by last symbol."""
+        contexts, row = np.unique(self.grams // SYMBOLS, return_inverse=True)
+        row_of = np.zeros(SYMBOLS ** (ORDER - 1), np.int32)
+        row_of[contexts] = np.arange(1, len(contexts) + 1)
+        ratios = np.zeros((len(contexts) + 1, SYMBOLS), np.float32)
+        ratios[row + 1, self.grams % SYMBOLS] = self.ratios
+        return row_of, ratios
+
     def measure(self, texts: list[str]) -> np.ndarray:
         """(texts, 2): mean of the strongest words, and what exceeds the margin by the number of words."""
         if self.table is None:
-            self.table = np.zeros(SYMBOLS**ORDER, np.float32)
-            self.table[self.grams] = self.ratios
+            self.table = self.by_context()
+        row_of, ratios = self.table
         out, w = np.zeros((len(texts), 2)), words_of(texts)
         if not len(w.doc):
             return out
-        x = np.add.reduceat(self.table[w.grams].astype(np.float64), w.first)
+        x = np.add.reduceat(ratios[row_of[w.grams // SYMBOLS], w.grams % SYMBOLS].astype(np.float64), w.first)
         starts = np.flatnonzero(np.diff(w.doc, prepend=-1))
         rows, number = w.doc[starts], np.diff(np.append(starts, len(x)))
         out[rows, 1] = np.log1p(20 * np.add.reduceat(np.maximum(x - self.margin, 0), starts) / np.sqrt(number))
