@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, and defined results for awkward rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,81 @@ def test_quality(spark, tables):
     assert {r.score for r in quality.scored(awkward(spark), none, held).collect()} == {0.5}
 
 
+def test_one_very_long_text_moves_no_other_quality(spark, tables):
+    docs, labels = tables
+    docs, held = docs.select("doc_id", "text"), fold("doc_id", 3) == 1
+    before = {r.doc_id: r.score for r in quality.scored(docs, quality.fit(docs, labels, held), held).collect()}
+    learned = labels.where("quality is not null").where(~held).orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == learned, F.expr("repeat('x y\n', 400001)")).otherwise(F.col("text")))
+    after = {r.doc_id: r.score for r in quality.scored(long, quality.fit(long, labels, held), held).collect()}
+    assert max(abs(after[d] - before[d]) for d in before if d != learned) < 0.01
+    assert max(map(len, quality.pieces(list(range(1201))))) == quality.PIECE and sum(quality.pieces(list(range(1201))), []) == list(range(1201))
+
+
+def by_hand(text):
+    """The features of each line, one after the other."""
+    lines = [x for x in text.encode().split(b"\n") if x.split()]
+    out = []
+    for line in lines:
+        words, n = line.split(), len(line)
+        letters = sum(c >= 128 or chr(c).isalpha() for c in line)
+        capitals, digits = sum(65 <= c <= 90 for c in line), sum(48 <= c <= 57 for c in line)
+        blanks, stops = sum(c in b"\t\x0b\x0c\r " for c in line), sum(c in b",." for c in line)
+        symbols = n - letters - digits - blanks - stops
+        plain = sum(c >= 128 or chr(c).isalpha() for c in (w[-1] for w in words))
+        out.append([
+            np.log1p(n) / 6, letters / n, capitals / max(letters, 1), digits / n, stops / n, symbols / n, min(symbols / len(words), 4) / 4,
+            (len(words) - plain) / len(words), (len(words) - len(set(words))) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words),
+            min(n / len(words), 40) / 40, float(lines.count(line) > 1), float(65 <= line[0] <= 90),
+        ])
+    return np.array(out)
+
+
+def log_likelihood(field, chains, states, ridge=1e-3):
+    """What the fit maximises, by enumeration of all labellings of each chain."""
+    import itertools
+
+    total = 0.0
+    for x, y in zip(chains, states):
+        e = x @ field.weights
+        value = lambda s: sum(v * e[i] for i, v in enumerate(s)) + sum(field.pair[a, b] for a, b in zip(s, s[1:]))  # noqa: B023, E731
+        total += value(y.tolist()) - np.log(sum(np.exp(value(s)) for s in itertools.product((0, 1), repeat=len(x))))
+    return total / sum(map(len, chains)) - ridge / 2 * ((field.weights**2).sum() + (field.pair**2).sum())
+
+
+def test_quality_parts_equal_plain_versions():
+    text = "A good line, it is.\n\n bad bad bad ### 12\nbad bad bad ### 12\nÉté 99 zz!\n   \nA good line, it is.\n"
+    x, length = quality.line_features(text)
+    assert np.allclose(x[[0, 3, 4]], by_hand(text)[[0, 3, 4]], atol=1e-6) and len(x) == 5 and length.tolist() == [19, 19, 18, 12, 19]
+    assert np.allclose(x, by_hand(text), atol=1e-6)
+    rng = np.random.default_rng(8)
+    chains = [np.column_stack([rng.normal(size=(n, 2)), np.ones(n)]) for n in (1, 4, 6, 3, 5)]
+    states = [(c[:, 0] + rng.normal(size=len(c)) > 0).astype(int) for c in chains]
+    field = quality.LineField.fit(chains, states, steps=600)
+    best = log_likelihood(field, chains, states)
+    for _ in range(40):
+        other = quality.LineField(field.weights + rng.normal(size=3) * 0.2, field.pair + rng.normal(size=(2, 2)) * 0.2)
+        assert log_likelihood(other, chains, states) < best + 1e-5
+
+
+def test_quality_score_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(9)
+    field = quality.LineField(rng.normal(size=3 * quality.N_FEATURES + 1), rng.normal(size=(2, 2)))
+    model = quality.QualityModel(field, quality.Logistic(np.array([0.1, 0.2, 1.0]), np.array([0.5, 0.6, 0.7]), np.array([-1.0, 0.4, 0.2, 0.3])))
+    text = "One line.\nTwo two ##\nthree 3 3 3\nFour, four"
+    x = by_hand(text)
+    rows = np.concatenate([x, np.vstack([x[:1] * 0, x[:-1]]), np.vstack([x[1:], x[:1] * 0]), np.ones((len(x), 1))], axis=1)
+    e = rows @ field.weights
+    weight = {s: np.exp(sum(v * e[i] for i, v in enumerate(s)) + sum(field.pair[a, b] for a, b in zip(s, s[1:]))) for s in itertools.product((0, 1), repeat=len(x))}
+    bad = np.array([sum(w for s, w in weight.items() if s[i]) for i in range(len(x))]) / sum(weight.values())
+    sizes = np.array([len(line) for line in text.split("\n")])
+    z = (np.array([bad @ sizes / sizes.sum(), bad.max(), np.log1p(len(x))]) - model.curve.mean) / model.curve.scale
+    want = 1 / (1 + np.exp(-(z @ model.curve.weights[:3] + model.curve.weights[3])))
+    assert abs(model.score([text])[0] - want) < 1e-6
+
+
 def test_marginals_equal_enumeration():
     import itertools
 

@@ -10,9 +10,11 @@ maximum and the number of lines.
 Only documents are labelled, so lines start with their document's label; then lines of
 bad documents that the field finds good are taken as good (but for the worst one of each)
 and the field is fitted again, ``rounds`` times. It is fitted on at most ``per_class``
-labelled rows of each class that together have at most ``most_lines`` lines (rows are taken
-in the order of a hash of doc_id); their line features, not texts, come to the driver. In
-the curve each weighs as many rows as it stands for, so that the cap does not move the score.
+labelled rows of each class that together have at most ``most_lines`` lines. Rows are taken
+in the order of a hash of doc_id, but those of more than ``row_lines`` lines last, the
+shorter first, so that one very long text costs no other its place. Their line features, not
+texts, come to the driver, where chains are fitted in pieces of at most ``PIECE`` lines. In
+the curve each weighs as many rows as it stands for, so that the caps do not move the score.
 
 Cases: blank lines are left out; a text that is null, empty or blank has no line and gets
 the score of a document without bad lines; without labels of both classes, or without a
@@ -35,6 +37,7 @@ from .common import labelled_sample, saved, text_function
 from .logistic import Logistic
 
 N_FEATURES = 13
+PIECE = 500
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
@@ -123,6 +126,11 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after, np.ones((len(x), 1), x.dtype)], axis=1)
 
 
+def pieces(chain: np.ndarray) -> list[np.ndarray]:
+    """A chain in pieces of at most ``PIECE`` lines, so that the steps of a fit are bounded."""
+    return [chain[at : at + PIECE] for at in range(0, len(chain), PIECE)]
+
+
 @dataclass
 class LineField:
     """Scores of a bad line, and of a pair of neighbours: [state before][state after]."""
@@ -211,12 +219,14 @@ class QualityModel:
         return text_function(lambda texts: pa.array(score(texts), pa.float64()), T.DoubleType(), text_col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 1000, most_lines: int = 400_000, rounds: int = 3) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int = 1000, most_lines: int = 400_000, row_lines: int = 20_000, rounds: int = 3) -> QualityModel:
     """A model of ``labels.quality``; ``held_out`` is a condition on doc_id that is not learned from."""
     sample = saved(labelled_sample(labels, docs, "quality", held_out, per_class), "quality-sample")
     # At most ``per_class`` rows of each class go through this window, without their texts.
-    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    long = F.when(F.col("lines") > row_lines, F.col("lines")).otherwise(0)
+    so_far = F.sum("lines").over(Window.orderBy(long, F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     lines = sample.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines")).withColumn("so_far", so_far)
+    stand_for = {r.label: r.ids for r in sample.groupBy("label").agg(F.sum("weight").alias("ids")).collect()}
     sample = sample.join(F.broadcast(lines.where(F.col("so_far") <= most_lines).select("doc_id")), "doc_id")
 
     @F.pandas_udf(T.StructType([T.StructField("x", T.BinaryType()), T.StructField("length", T.BinaryType())]))
@@ -224,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
         both = [line_features(t) for t in texts]
         return pd.DataFrame({"x": [x.tobytes() for x, _ in both], "length": [n.tobytes() for _, n in both]})
 
-    got = sample.select("doc_id", "label", "weight", measured("text").alias("f")).select("doc_id", "label", "weight", "f.x", "f.length").toPandas()
+    got = sample.select("doc_id", "label", measured("text").alias("f")).select("doc_id", "label", "f.x", "f.length").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     good = got["label"].to_numpy()
     if not len(got) or good.min() == good.max():
@@ -233,17 +243,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, *, per_class: int
     lengths = [np.frombuffer(b, np.float32) for b in got["length"]]
     if not any(map(len, lines)):
         return QualityModel(None, None)
+    weight = got["label"].map(stand_for) / got.groupby("label")["label"].transform("size")
     docs_x, of_doc = [with_neighbours(x) for x in lines if len(x)], [g for x, g in zip(lines, good) if len(x)]
     states = [np.full(len(x), 1 - g) for x, g in zip(docs_x, of_doc)]
     for k in range(rounds):
-        field = LineField.fit(docs_x, states)
+        field = LineField.fit([p for x in docs_x for p in pieces(x)], [p for y in states for p in pieces(y)])
         if k + 1 < rounds:
             for i, (x, g) in enumerate(zip(docs_x, of_doc)):
                 if not g:
                     bad = field.marginals(x @ field.weights)
                     states[i] = ((bad > 0.5) | (bad == bad.max())).astype(int)
     model = QualityModel(field, None)
-    model.curve = Logistic.fit(np.array([model.summary(x, n) for x, n in zip(lines, lengths)]), good, got["weight"].to_numpy())
+    model.curve = Logistic.fit(np.array([model.summary(x, n) for x, n in zip(lines, lengths)]), good, weight.to_numpy())
     return model
 
 
