@@ -60,6 +60,30 @@ def test_new_rows_of_one_time_keep_the_bulk_one(spark):
     assert sorted(r.peakPeriod for r in out.collect()) == [1.0, 3.0]
 
 
+def test_arrays_off_the_axis_stay_and_unlike_ones_are_an_error(spark):
+    t = datetime(2024, 1, 1)
+    cols = "trajectory_id string, obs_index long, time timestamp, latitude double, longitude double, frequency array<double>, varianceDensity array<double>, wind array<double>, gain array<double>"
+    box = {"lat_min": -74, "lat_max": -39, "lon_min": -180, "lon_max": 180}
+
+    def frame(*rows, dims=("index", "frequency")):
+        return spark.createDataFrame([(i, k, t, -50.0, 0.0, *r) for k, (i, *r) in enumerate(rows)], cols).withMetadata("gain", {"dimensions": list(dims)})
+
+    old = frame(("A", [0.1, 0.2], [1.0, 2.0], [7.0, 8.0, 9.0], [5.0, 6.0]))
+    new = frame(("B", [0.2, 0.3], [3.0, 4.0], [1.0], [7.0, 8.0]), ("C", None, None, [2.0] * 5, None))
+    got = {r.trajectory_id: r for r in archive.merge(old, new, new.limit(0), **box).collect()}
+    assert (got["A"].wind, got["A"].varianceDensity, got["A"].gain) == ([7.0, 8.0, 9.0], [1.0, 2.0, None], [5.0, 6.0, None])
+    assert (got["B"].wind, got["B"].varianceDensity, got["B"].gain) == ([1.0], [None, 3.0, 4.0], [None, 7.0, 8.0])
+    assert (got["C"].wind, got["C"].varianceDensity, got["C"].frequency) == ([2.0] * 5, None, None)
+    for bad in (frame(("B", [0.2, 0.3], [3.0], None, None)), frame(("B", None, [3.0], None, None)), frame(("B", [0.2], None, None, [1.0, 2.0]))):
+        with pytest.raises(Exception, match="frequencies"):
+            archive.merge(old, bad, bad.limit(0), **box).collect()
+    with pytest.raises(ValueError, match="different dimensions"):
+        archive.merge(old, frame(("B", None, None, None, None), dims=("index",)), new.limit(0), **box)
+    # By name only: what is spectral is on the axis, what is not stays.
+    plain = [d.withMetadata("gain", {}) for d in (old, new)]
+    assert archive.on_axis(*plain) == ("varianceDensity",) and set(archive.on_axis(old, new)) == {"varianceDensity", "gain"}
+
+
 def test_grids_keep_the_whole_last_day(spark, tmp_path):
     hours = spark.range(72).selectExpr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, id) as time", "1D as latitude", "2D as longitude", "id * 1D as swh", "1D as pp1d", "2D as Thgt", "3D as Tper")
     hours.write.parquet(str(tmp_path / "grid"))

@@ -9,6 +9,9 @@ from .trajectories import ID, TIME, filter_box, offsets, ranked
 
 # Legacy column names and what they are called now.
 LEGACY = {"variance_density": "varianceDensity", "u10": "windSpeed"}
+# Columns whose items stand at the frequencies of their row.
+SPECTRAL = ("varianceDensity", "frequencyBandwidth", "a1", "b1", "a2", "b2", "direction", "directionalSpread")
+FREQUENCY = "frequency"
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -76,25 +79,53 @@ def frequency_grid(*frames: DataFrame, digits: int = 9) -> list[float]:
     return sorted(r.f for r in out.distinct().collect())
 
 
+def on_axis(*frames: DataFrame, axis: str = FREQUENCY) -> tuple[str, ...]:
+    """The array columns that lie on ``axis``.
+
+    A column's metadata may list its ``dimensions``; it is on the axis if they hold it. A
+    column without that is on it by its name (``SPECTRAL``). Frames that state different
+    dimensions for one column are an error.
+    """
+    stated: dict[str, bool] = {}
+    arrays: dict[str, None] = {}
+    for f in frames:
+        for field in f.schema.fields:
+            if field.dataType.typeName() != "array" or field.name == axis:
+                continue
+            arrays[field.name] = None
+            if "dimensions" in field.metadata:
+                lies = axis in field.metadata["dimensions"]
+                if stated.setdefault(field.name, lies) != lies:
+                    raise ValueError(f"{field.name} has different dimensions in different inputs")
+    return tuple(c for c in arrays if stated.get(c, c in SPECTRAL))
+
+
 def aligned(df: DataFrame, grid: list[float], columns: tuple[str, ...] = ("varianceDensity",), digits: int = 9) -> DataFrame:
-    """Arrays on the union grid, null where a row has no such frequency; absent columns are passed over."""
+    """Arrays of ``columns`` on the union grid, null where a row has no such frequency; absent columns are passed over.
+
+    All other columns, arrays too, stay as they are. An array that is not as long as its
+    row's axis (or has none) has no place on the grid, which is an error, not a cut.
+    """
     axis = F.array(*map(F.lit, grid))
-    place = F.transform("frequency", lambda f: F.round(f, digits))
+    place = F.transform(FREQUENCY, lambda f: F.round(f, digits))
 
-    def on_axis(c: str) -> Column:
+    def placed(c: str) -> Column:
         at = lambda f: F.get(F.col(c), (F.array_position(place, f) - 1).cast("int"))
-        return F.transform(axis, lambda f: F.when(F.array_contains(place, f), at(f)))
+        found = F.transform(axis, lambda f: F.when(F.array_contains(place, f), at(f)))
+        unlike = F.raise_error(F.concat(F.lit(f"{c} has "), F.size(c), F.lit(" items at "), F.coalesce(F.size(FREQUENCY), F.lit(0)), F.lit(" frequencies")))
+        n = F.coalesce(F.when(F.col(FREQUENCY).isNotNull(), F.size(FREQUENCY)), F.lit(0))
+        return F.when(F.size(c) != n, unlike).when(F.col(FREQUENCY).isNotNull(), found)
 
-    new = {c: F.when(F.col("frequency").isNotNull() & F.col(c).isNotNull(), on_axis(c)) for c in columns if c in df.columns}
-    return df.withColumns({**new, "frequency": F.when(F.col("frequency").isNotNull(), axis)})
+    new = {c: F.when(F.col(c).isNotNull(), placed(c)) for c in columns if c in df.columns}
+    return df.withColumns({**new, FREQUENCY: F.when(F.col(FREQUENCY).isNotNull(), axis)})
 
 
 def merge(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_new: bool = False, **box: float) -> DataFrame:
     """Existing rows and the new ones that lie in the box and outside what is known.
 
-    All array columns are put on the union of the frequency axes. With ``dedupe_new`` one
-    new row of each trajectory and time stays: of bulk before spectral ones, then the
-    first by obs_index.
+    Array columns that lie on the frequency axis (``on_axis``) are put on the union of the
+    axes; all others stay as they are. With ``dedupe_new`` one new row of each trajectory and
+    time stays: of bulk before spectral ones, then the first by obs_index.
     """
     existing, bulk, spectral = map(normalise_names, (existing, bulk, spectral))
     limits = time_limits(existing)
@@ -106,9 +137,9 @@ def merge(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_n
         fresh = fresh.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     fresh = fresh.drop("_source")
     out = existing.unionByName(fresh, allowMissingColumns=True)
-    if "frequency" in out.columns:
-        arrays = tuple(c for c, kind in out.dtypes if kind.startswith("array<") and c != "frequency")
-        out = aligned(out, frequency_grid(*(d for d in (existing, bulk, spectral) if "frequency" in d.columns)), arrays)
+    if FREQUENCY in out.columns:
+        grid = frequency_grid(*(d for d in (existing, bulk, spectral) if FREQUENCY in d.columns))
+        out = aligned(out, grid, on_axis(existing, bulk, spectral))
     return out
 
 

@@ -356,6 +356,20 @@ def archive_merge_spectra(spark, sf_dir):
     return archive.indexed(merged).select(tr.ID, "obs_index", F.posexplode(items).alias("freq_idx", "p")).select(tr.ID, "obs_index", "freq_idx", "p.*")
 
 
+@query(f"""with {BUOY}, n as (select * from buoy where trajectory_id not like '%0' and latitude between -90 and 90 and longitude between -180 and 180), rows_ as (select * from buoy where trajectory_id like '%0' union all select * from n)
+select trajectory_id, k::int as item, round(case k when 0 then latitude when 1 then longitude else latitude - longitude end, 6) + 0.0 as wind, round(latitude * 2 + k, 6) + 0.0 as coefficient,
+ case when trajectory_id like '%5' then null else 64 end::int as n_density, case when trajectory_id like '%5' then null when trajectory_id like '%0' then 32 else 64 end::bigint as n_coefficients from rows_, unnest(range(3)) u(k)""")
+def archive_merge_axis(spark, sf_dir):
+    """A merge in which an array of three items is on no axis, and one is on the axis by its metadata only."""
+    frames = [d.withColumn("wind", F.array("latitude", "longitude", F.col("latitude") - F.col("longitude"))) for d in two_grids(spark, sf_dir)]
+    item = lambda f, k: F.col("latitude") * 2 + k
+    frames = [d.withColumn("coefficient", F.transform("frequency", item)).withMetadata("coefficient", {"dimensions": ["index", "frequency"]}) if "frequency" in d.columns else d for d in frames]
+    merged = archive.merge(*frames, lat_min=-90, lat_max=90, lon_min=-180, lon_max=180)
+    known = F.filter("coefficient", lambda x: x.isNotNull())
+    rows = merged.select(tr.ID, "latitude", F.posexplode("wind").alias("item", "wind"), F.when(F.col("varianceDensity").isNotNull(), F.size("varianceDensity")).alias("n_density"), F.when(known.isNotNull(), F.size(known)).cast("long").alias("n_coefficients"))
+    return rows.select(tr.ID, "item", "wind", (F.col("latitude") * 2 + F.col("item")).alias("coefficient"), "n_density", "n_coefficients")
+
+
 CELL = "case when trajectory_id like '%31' then null when k = 5 or k = 9 or varianceDensity[k + 1] is null then null else cast(round(10000 * varianceDensity[k + 1]) as bigint)::double end"
 
 
