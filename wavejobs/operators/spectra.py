@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frequency import model_edges, model_frequency, rebin_weights
 from ..functions.geo import EARTH_RADIUS_M, chord_to_metres, cube_side, unit_vector
+from ..sources.shared import saved, small
 from .collocate import nearest_time
 from .trajectories import ID, TIME
 
@@ -47,8 +48,8 @@ def rebinned(obs: DataFrame, source_centres, target_edges=None, keep: tuple[str,
     return obs.select(*dict.fromkeys(wanted), rebin(F.col("varianceDensity"), source_centres, edges).alias("varianceDensity"))
 
 
-def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_distance_m: float) -> DataFrame:
-    """``keys``, point_id and distance_m of the nearest point within ``max_distance_m`` (inclusive).
+def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_distance_m: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, point_id, distance_m and the point's ``carry`` columns of the nearest point within ``max_distance_m`` (inclusive).
 
     Space is cut into cubes as wide as the longest chord allowed; points are posted in
     their own and the 26 neighbouring cubes, so one equi-join finds every candidate. Ties go
@@ -57,15 +58,15 @@ def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_dis
     side = cube_side(max_distance_m)
     x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
     cube = lambda v, d=0: (F.floor(v / side) + d).cast("long")
-    p = points.select("point_id", x.alias("px"), y.alias("py"), z.alias("pz"))
+    p = points.select("point_id", F.struct(F.lit(0).alias("none"), *carry).alias("carried"), x.alias("px"), y.alias("py"), z.alias("pz"))
     around = F.array(*(F.struct(cube(F.col("px"), a).alias("cube_i"), cube(F.col("py"), b).alias("cube_j"), cube(F.col("pz"), c).alias("cube_k")) for a, b, c in product((-1, 0, 1), repeat=3)))
-    p = p.select("*", F.explode(around).alias("q")).select("point_id", "px", "py", "pz", "q.*")
+    p = p.select("*", F.explode(around).alias("q")).select("point_id", "carried", "px", "py", "pz", "q.*")
     o = places.where("latitude is not null and longitude is not null").select(*keys, x.alias("x"), y.alias("y"), z.alias("z"))
     o = o.select("*", cube(F.col("x")).alias("cube_i"), cube(F.col("y")).alias("cube_j"), cube(F.col("z")).alias("cube_k"))
     chord = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
     found = o.join(p, ["cube_i", "cube_j", "cube_k"]).withColumn("distance_m", chord_to_metres(chord)).where(F.col("distance_m") <= max_distance_m)
-    best = found.groupBy(*keys).agg(F.min(F.struct("distance_m", "point_id")).alias("b"))
-    return best.select(*keys, "b.point_id", "b.distance_m")
+    best = found.groupBy(*keys).agg(F.min(F.struct("distance_m", "point_id", "carried")).alias("b"))
+    return best.select(*keys, "b.point_id", "b.distance_m", *(F.col(f"b.carried.{c}") for c in carry))
 
 
 def nearest_point_anywhere(places: DataFrame, points: DataFrame, keys: list[str], first_radius_m: float = 50_000.0) -> DataFrame:
@@ -79,26 +80,45 @@ def nearest_point_anywhere(places: DataFrame, points: DataFrame, keys: list[str]
         left, r = left.join(now, keys, "left_anti"), min(r * 8, pi * EARTH_RADIUS_M)
 
 
+PLACE = [ID, TIME, "latitude", "longitude"]
+
+
+def match_keys(obs: DataFrame, spectra: DataFrame, points: DataFrame, *, tolerance_s: float = 1800.0, max_distance_m: float = 50_000.0) -> DataFrame:
+    """A written table of who meets whom: time and place of observations, model_time, point_id, distance_m, model_latitude and model_longitude.
+
+    Only times and places are read, no array: those of ``obs``, the times of ``spectra`` and
+    the ``points``. Observations outside the model's period have no row.
+    """
+    places = saved(obs.select(*PLACE).where("time is not null and latitude is not null and longitude is not null"), "match-places")
+    times = saved(spectra.select(TIME).distinct(), "match-times")
+    low, high = times.agg(F.min(TIME), F.max(TIME)).first()
+    if low is None:
+        places = places.limit(0)
+    places = places.where(F.col(TIME).between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")))
+    when = saved(nearest_time(places, times, tolerance_s), "match-when")
+    points = points.select("point_id", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude"), "latitude", "longitude")
+    near = nearest_point(places.join(small(when), TIME, "left_semi"), points, PLACE, max_distance_m, ("model_latitude", "model_longitude"))
+    return saved(near.join(small(when), TIME), "match-keys")
+
+
 def matchup(binned: DataFrame, spectra: DataFrame, points: DataFrame, *, tolerance_s: float = 1800.0, max_distance_m: float = 50_000.0, null_land: bool = False) -> DataFrame:
     """Observed spectra beside the model's at the nearest time and point.
 
-    Only matched (time, point) pairs of the model are decoded: the keys go first.
+    Keys are matched and written first (``match_keys``); then the arrays of each side are read
+    once, where a key asks for them, and meet in one join. Model spectra are integrated
+    before that join, so that one number a frequency is shuffled, not one a direction.
     """
     for df, need in ((binned, (ID, TIME, "latitude", "longitude", "varianceDensity")), (spectra, (TIME, "point_id", "d2fd")), (points, ("point_id", "latitude", "longitude"))):
         if lacking := [c for c in need if c not in df.columns]:
             raise ValueError(f"missing columns {lacking}")
-    cover = spectra.agg(F.min(TIME).alias("lo"), F.max(TIME).alias("hi"))
-    obs = binned.where("latitude is not null and longitude is not null").join(F.broadcast(cover), F.col(TIME).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    obs = obs.join(nearest_time(obs, spectra, tolerance_s), TIME)
-    keys = [ID, TIME]
-    near = nearest_point(obs, points, keys, max_distance_m)
-    obs = obs.join(near, keys)
-    model = spectra.select(F.col(TIME).alias("model_time"), "point_id", "d2fd")
-    wanted = obs.select("model_time", "point_id").distinct()
-    model = model.join(wanted, ["model_time", "point_id"], "left_semi").select("model_time", "point_id", direction_integral(F.col("d2fd"), null_land=null_land).alias("varianceDensity_model"))
-    place = points.select("point_id", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude"))
-    return obs.join(model, ["model_time", "point_id"]).join(place, "point_id").select(
-        ID, TIME, F.col("varianceDensity").alias("varianceDensity_buoy"), "varianceDensity_model",
+    keys = match_keys(binned, spectra, points, tolerance_s=tolerance_s, max_distance_m=max_distance_m)
+    at = ["model_time", "point_id"]
+    wanted = saved(keys.select(*at).distinct(), "match-wanted")
+    model = spectra.select(F.col(TIME).alias("model_time"), "point_id", "d2fd").join(small(wanted), at, "left_semi")
+    model = model.select(*at, direction_integral(F.col("d2fd"), null_land=null_land).alias("varianceDensity_model"))
+    obs = binned.select(*PLACE, F.col("varianceDensity").alias("varianceDensity_buoy")).join(small(keys), PLACE)
+    return obs.join(model, at).select(
+        ID, TIME, "varianceDensity_buoy", "varianceDensity_model",
         F.col("latitude").alias("buoy_latitude"), F.col("longitude").alias("buoy_longitude"),
         "model_latitude", "model_longitude", F.col("distance_m").alias("model_distance_m"), "model_time",
     )
