@@ -4,11 +4,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavejobs.functions import frequency, geo
 from wavejobs.functions.parse import semicolon_array
-from wavejobs.operators import archive, collocate, quality, resample, spectra
+from wavejobs.operators import archive, chunks, collocate, quality, resample, spectra
 from wavejobs.sources import files
 
 T0 = datetime(2024, 1, 1)
@@ -98,6 +99,95 @@ def test_nearest_point_anywhere(spark):
     assert got == {"a": 1, "b": 1}
 
 
+def test_nearest_point_tree_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    points = [(i, float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), float(rng.uniform(-180, 180))) for i in range(150)]
+    points += [(1000 + i, -40.0 + i % 9 * 0.01, 20.0 + i // 9 * 0.01) for i in range(81)] + [(2000, 90.0, 0.0), (2001, -90.0, 17.0), (2002, 0.0, 180.0), (2003, 0.0, 180.0), (2004, None, 1.0)]
+    places = [(f"p{i}", float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), float(rng.uniform(-180, 180))) for i in range(120)] + [("d", 0.0, -180.0), ("n", 89.0, 10.0), ("none", None, 0.0)]
+    left = spark.createDataFrame(places, "k string, latitude double, longitude double")
+    right = spark.createDataFrame(points, "point_id int, latitude double, longitude double")
+
+    def vector(lat, lon):
+        a, b = np.radians(lat), np.radians(lon)
+        return np.array([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)])
+
+    known = [(i, vector(la, lo)) for i, la, lo in points if la is not None]
+    want = {k: min((round(float(np.linalg.norm(vector(la, lo) - v)), 12), i) for i, v in known)[1] for k, la, lo in places if la is not None}
+    for found in (spectra.nearest_point_anywhere(left, right, ["k"]), spectra.nearest_in_tree(left, right, ["k"])):
+        assert {r.k: r.point_id for r in found.collect()} == want
+    assert spectra.nearest_point_anywhere(left, right.limit(0), ["k"]).count() == 0
+    assert spectra.nearest_point_anywhere(left.limit(0), right, ["k"]).count() == 0
+
+
+def wandering(spark, n=400, seed=5):
+    """One trajectory over many days, with gaps, still stretches, equal and missing times, nulls; and a short one."""
+    rng = np.random.default_rng(seed)
+    rows, t, lat = [], T0, 0.0
+    for i in range(n):
+        t += timedelta(hours=float(rng.choice([0, 0.5, 1, 1, 2, 30])))
+        lat += float(rng.choice([0, 0, 0, 0, 0.0001, 0.5]))
+        rows.append(("A", i, None if i in (7, 8) else t, None if rng.random() < 0.02 else lat, 0.0, float(rng.normal()), 5.0))
+    return spark.createDataFrame([*rows, ("B", 3, T0, 0.0, 0.0, 1.0, 2.0)], SCHEMA).repartition(5)
+
+
+def test_chunked_windows_equal_windows_over_the_trajectory(spark):
+    rows = wandering(spark)
+    w = Window.partitionBy("trajectory_id").orderBy("time", "obs_index")
+    for hours in (3, 24, 24 * 60):
+        near = chunks.with_neighbours(rows, ("latitude", "obs_index"), width_us=hours * 3_600_000_000)
+        near = near.withColumns({"a": F.lag("obs_index").over(w), "b": F.lead("obs_index").over(w)})
+        assert near.count() == 401 and near.where("not (_last.obs_index <=> a and _next.obs_index <=> b)").isEmpty()
+        ranks = chunks.ranked(rows, hours * 3_600_000_000).withColumn("want", F.row_number().over(Window.orderBy("trajectory_id", "time", "obs_index")))
+        assert ranks.count() == 401 and ranks.where("rank <> want").isEmpty()
+
+
+def test_runs_of_still_rows_reach_over_chunks(spark):
+    rows = wandering(spark, 600, seed=9)
+    order = sorted((r for r in rows.collect() if r.trajectory_id == "A"), key=lambda r: (r.time is not None, r.time or T0, r.obs_index))
+    still, hours = [False], [None]
+    for a, b in zip(order, order[1:]):
+        still.append(a.latitude is not None and b.latitude is not None and abs(a.latitude - b.latitude) * np.pi / 180 * geo.EARTH_RADIUS_M <= 50)
+        hours.append(None if a.time is None or b.time is None else (b.time - a.time).total_seconds() / 3600)
+    want, i = {}, 0
+    while i < len(order):
+        j = i
+        while still[i] and j < len(order) and still[j]:
+            j += 1
+        total = round(sum(h for h in hours[i:j] if h is not None), 9)
+        for k in range(i, max(j, i + 1)):
+            r = order[k]
+            missing = r.latitude is None or r.time is None
+            want[r.obs_index] = 9 if missing else 2 if k == 0 else 4 if still[k] and total >= 12 else 3 if still[k] and total >= 6 else 1
+        i = max(j, i + 1)
+    got = {r.obs_index: r.stuck_position_qc for r in quality.with_stuck(rows).where("trajectory_id = 'A'").collect()}
+    assert got == want and {1, 3, 4, 9} <= set(want.values())
+
+
+def test_equal_times_are_in_the_order_of_obs_index(spark):
+    rows = [("A", i, T0 + timedelta(hours=h), 0.0, 0.0, hs, 5.0) for i, h, hs in ((4, 1, 9.0), (2, 1, 1.0), (1, 0, 1.0), (3, 1, 1.0), (5, 2, 9.0))]
+    out = quality.run_all(spark.createDataFrame(rows, SCHEMA).repartition(3)).orderBy("obs_index").collect()
+    assert [r.swh_rate_of_change_qc for r in out] == [2, 1, 4, 4, 1] and [r.swh_spike_qc for r in out] == [2, 1, 3, 3, 2]
+
+
+def test_one_long_trajectory_is_dealt_over_tasks(spark):
+    rows = spark.range(3000).selectExpr("'A' as trajectory_id", "id as obs_index", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, id) as time", "0D as latitude", "0D as longitude", "1D as significantWaveHeight", "2D as peakPeriod")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        shares = quality.run_all(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(shares) == 4 and max(r[1] for r in shares) < 1500
+
+
+def test_global_order_needs_no_single_task(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = wandering(spark)
+    ragged, sizes = archive.to_ragged(rows)
+    for df in (ragged, archive.to_observations(ragged, sizes, chunk=50), chunks.thinned(rows)):
+        assert "SinglePartition" not in plan(df)
+
+
 def test_widths_sum_to_the_range():
     e = frequency.model_edges()
     assert np.isclose(frequency.widths(frequency.model_frequency()).sum(), e[-1] - e[0])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trajectories import ID, TIME, filter_box, offsets, ranked
+from .chunks import prefix_starts, ranked
+from .trajectories import ID, TIME, filter_box
 
 # Legacy column names and what they are called now.
 LEGACY = {"variance_density": "varianceDensity", "u10": "windSpeed"}
@@ -56,8 +57,7 @@ def to_observations(ragged: DataFrame, trajectories: DataFrame, chunk: int = 50_
     total = trajectories.agg(F.coalesce(F.sum("rowsize"), F.lit(0))).first()[0]
     if (n := ragged.count()) != total:
         raise ValueError(f"row sizes add up to {total}, there are {n} rows")
-    spread = trajectories.select(ID, "rowsize")
-    spread = offsets_of(spread).where("rowsize > 0")
+    spread = prefix_starts(trajectories.select(ID, "rowsize"), [ID]).where("rowsize > 0")
     spread = spread.select(ID, "start", (F.col("start") + F.col("rowsize")).alias("stop"))
     spread = spread.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("stop") - 1) / chunk))))
     rows = ragged.withColumn("chunk", F.floor(F.col("obs_index") / chunk))
@@ -65,11 +65,6 @@ def to_observations(ragged: DataFrame, trajectories: DataFrame, chunk: int = 50_
     return joined.select(ID, *ragged.columns)
 
 
-def offsets_of(sizes: DataFrame) -> DataFrame:
-    before = Window.orderBy(ID).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("start", F.coalesce(F.sum("rowsize").over(before), F.lit(0)))
-
-
 def frequency_grid(*frames: DataFrame, digits: int = 9) -> list[float]:
     """The sorted union of all frequency axes; an axis has some dozens of values."""
     each = [f.select(F.explode("frequency").alias("f")).select(F.round("f", digits).alias("f")).where("f is not null").distinct() for f in frames]

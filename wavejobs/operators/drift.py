@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic_inverse
+from ..sources.shared import saved
+from .chunks import CHUNK, with_neighbours
 from .quality import FAIL, MISSING, PASS, VELOCITY_FLAG
-from .trajectories import ID, TIME
+from .trajectories import TIME
 
 
 def chosen_pair(df: DataFrame, max_gap_hours: float = 3.0) -> DataFrame:
     """The two positions for each row's velocity: around it, else to the next, else from the last.
 
     Both gaps of a central pair must be in (0, max_gap]; all ends need positions. Only the
-    chosen pair is kept (``pair``: central, forward, backward or null, and its dt_s).
+    chosen pair is kept; equal times are in the order of obs_index where there is one (``pair``: central, forward, backward or null, and its dt_s).
     """
-    w = Window.partitionBy(ID).orderBy(TIME)
-    at = F.struct(TIME, F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    rows = df.withColumns({"_here": at, "_last": F.lag(at).over(w), "_next": F.lead(at).over(w)})
+    rows = with_neighbours(saved(df, "drift-rows"), ("longitude", "latitude")).drop(CHUNK)
+    rows = rows.withColumn("_here", F.struct(TIME, "longitude", "latitude"))
     limit = max_gap_hours * 3600
 
     def seconds(a: str, b: str):
         return (F.unix_micros(F.col(f"{b}.time")) - F.unix_micros(F.col(f"{a}.time"))) / 1e6
 
     def placed(x: str):
-        return F.col(f"{x}.lon").isNotNull() & F.col(f"{x}.lat").isNotNull()
+        return F.col(f"{x}.longitude").isNotNull() & F.col(f"{x}.latitude").isNotNull()
 
     def gap(a: str, b: str):
         return (seconds(a, b) > 0) & (seconds(a, b) <= limit)
@@ -43,7 +44,7 @@ def chosen_pair(df: DataFrame, max_gap_hours: float = 3.0) -> DataFrame:
 def velocity(df: DataFrame, *, max_gap_hours: float = 3.0, max_speed: float = 3.0) -> DataFrame:
     """u, v, speed, direction, dt, distance and a flag: 1, 4 above ``max_speed``, 9 not computed."""
     rows = chosen_pair(df, max_gap_hours)
-    rows = rows.withColumn("_g", geodesic_inverse(F.col("_from.lon"), F.col("_from.lat"), F.col("_to.lon"), F.col("_to.lat")))
+    rows = rows.withColumn("_g", geodesic_inverse(F.col("_from.longitude"), F.col("_from.latitude"), F.col("_to.longitude"), F.col("_to.latitude")))
     rows = rows.withColumns({"_az": F.col("_g.azimuth_deg"), "_m": F.col("_g.distance_m")})
     rows = rows.withColumn("_speed", F.try_divide("_m", "dt_s"))
     ok = F.col("_speed") <= max_speed

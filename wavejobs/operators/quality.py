@@ -5,12 +5,15 @@ In every chain of conditions what decides last comes first; a null condition fal
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from ..sources.shared import saved
+from .chunks import CHUNK, with_neighbours, with_still_hours
 from .trajectories import ID, TIME
 
 PASS, NOT_EVALUATED, SUSPECT, FAIL, MISSING = 1, 2, 3, 4, 9
@@ -39,13 +42,26 @@ def track() -> Window:
     return Window.partitionBy(ID).orderBy(TIME)
 
 
-def seconds_since_last() -> Column:
-    return (F.unix_micros(TIME) - F.unix_micros(F.lag(TIME).over(track()))) / 1e6
+@dataclass(frozen=True)
+class Near:
+    """A column's value in the row before and in the row after, of one trajectory."""
+
+    last: Callable[[str], Column]
+    next: Callable[[str], Column]
+
+
+#: By a window over the whole trajectory, for tracks that one task can hold and without equal times.
+BY_WINDOW = Near(lambda c: F.lag(c).over(track()), lambda c: F.lead(c).over(track()))
+#: In rows of ``chunks.with_neighbours``.
+CARRIED = Near(lambda c: F.col(f"_last.{c}"), lambda c: F.col(f"_next.{c}"))
 
 
-def step_metres() -> Column:
-    w = track()
-    return haversine_m(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude"))
+def seconds_since_last(near: Near = BY_WINDOW) -> Column:
+    return (F.unix_micros(TIME) - F.unix_micros(near.last(TIME))) / 1e6
+
+
+def step_metres(near: Near = BY_WINDOW) -> Column:
+    return haversine_m(near.last("latitude"), near.last("longitude"), F.col("latitude"), F.col("longitude"))
 
 
 def gross_range(value: Column, suspect_low: float, suspect_high: float, fail_low: float, fail_high: float) -> Column:
@@ -57,17 +73,16 @@ def location(lat_low: float, lat_high: float, lon_low: float, lon_high: float) -
     return F.when(lat.isNull() | lon.isNull(), MISSING).when((lat < lat_low) | (lat > lat_high) | (lon < lon_low) | (lon > lon_high), FAIL).otherwise(PASS)
 
 
-def spike(column: str, suspect: float, fail: float) -> Column:
-    w = track()
-    v, before, after = F.col(column), F.lag(column).over(w), F.lead(column).over(w)
+def spike(column: str, suspect: float, fail: float, near: Near = BY_WINDOW) -> Column:
+    v, before, after = F.col(column), near.last(column), near.next(column)
     size = F.abs(v - 0.5 * (before + after))
     return F.when(v.isNull(), MISSING).when(before.isNull() | after.isNull(), NOT_EVALUATED).when(size > fail, FAIL).when(size > suspect, SUSPECT).otherwise(PASS)
 
 
-def rate_of_change(column: str, suspect: float, fail: float) -> Column:
+def rate_of_change(column: str, suspect: float, fail: float, near: Near = BY_WINDOW) -> Column:
     """Per hour; time that does not advance fails."""
-    v, dt = F.col(column), seconds_since_last() / 3600
-    rate = F.try_divide(F.abs(v - F.lag(column).over(track())), dt)
+    v, dt = F.col(column), seconds_since_last(near) / 3600
+    rate = F.try_divide(F.abs(v - near.last(column)), dt)
     return F.when(v.isNull(), MISSING).when(dt.isNull(), NOT_EVALUATED).when((dt == 0) | (rate > fail), FAIL).when(rate > suspect, SUSPECT).when(dt <= 0, FAIL).otherwise(PASS)
 
 
@@ -75,27 +90,26 @@ def missing_place() -> Column:
     return F.col("latitude").isNull() | F.col("longitude").isNull() | F.col(TIME).isNull()
 
 
-def drift_speed(suspect: float, fail: float) -> Column:
-    dt = seconds_since_last()
-    speed = F.try_divide(step_metres(), dt)
+def drift_speed(suspect: float, fail: float, near: Near = BY_WINDOW) -> Column:
+    dt = seconds_since_last(near)
+    speed = F.try_divide(step_metres(near), dt)
     return F.when(missing_place(), MISSING).when(dt.isNull(), NOT_EVALUATED).when((dt == 0) | (speed > fail), FAIL).when(speed > suspect, SUSPECT).when(dt <= 0, FAIL).otherwise(PASS)
 
 
 def with_stuck(df: DataFrame, name: str = "stuck_position_qc", *, metres: float = 50.0, suspect_hours: float = 6.0, fail_hours: float = 12.0) -> DataFrame:
     """Whole runs of steps within ``metres`` are flagged by the time they take together."""
-    w = track()
-    rows = df.withColumns({"_still": F.coalesce(step_metres() <= metres, F.lit(False)), "_dt": seconds_since_last() / 3600})
-    turn = (F.col("_still") != F.lag("_still").over(w)).cast("int")
-    rows = rows.withColumn("_run", F.sum(F.coalesce(turn, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({"_hours": F.round(F.sum("_dt").over(Window.partitionBy(ID, "_run")), 9), "_nth": F.row_number().over(w)})
+    rows = df if "_last" in df.columns else with_neighbours(df, ("latitude", "longitude"))
+    still = F.coalesce(step_metres(CARRIED) <= metres, F.lit(False))
+    rows = with_still_hours(rows, still, seconds_since_last(CARRIED) / 3600)
+    hours = F.round("_hours", 9)
     flag = (
         F.when(missing_place(), MISSING)
-        .when(F.col("_nth") == 1, NOT_EVALUATED)
-        .when(F.col("_still") & (F.col("_hours") >= fail_hours), FAIL)
-        .when(F.col("_still") & (F.col("_hours") >= suspect_hours), SUSPECT)
+        .when(F.col("_last").isNull(), NOT_EVALUATED)
+        .when(F.col("_still") & (hours >= fail_hours), FAIL)
+        .when(F.col("_still") & (hours >= suspect_hours), SUSPECT)
         .otherwise(PASS)
     )
-    return rows.withColumn(name, flag).drop("_still", "_dt", "_run", "_hours", "_nth")
+    return rows.withColumn(name, flag).select(*df.columns, name)
 
 
 def model_comparison(error: Column, suspect: float, fail: float, can_fail: bool = True) -> Column:
@@ -130,22 +144,29 @@ def with_summary(df: DataFrame, flags: list[str] | None = None) -> DataFrame:
 
 
 def run_all(df: DataFrame, config: QualityConfig | None = None, *, height_error: str | None = "error_era5_swh", period_error: str | None = "error_era5_pp1d", model_can_fail: bool = False, remove_failed_after: bool = False) -> DataFrame:
-    """All tests and their summary; a model test whose error column is absent is left out."""
+    """All tests and their summary; a model test whose error column is absent is left out.
+
+    The rows are written once, as they are read for the tests, for the ends of their chunks
+    and for the runs of still rows. Equal times are in the order of obs_index where there is one.
+    """
     c = config or QualityConfig()
+    asked = df.columns
+    df = with_neighbours(saved(df, "quality-rows"), ("latitude", "longitude", "significantWaveHeight"))
     df = df.withColumns(
         {
             "location_qc": location(*c.location),
             "swh_gross_range_qc": gross_range(F.col("significantWaveHeight"), *c.height_range),
             "peak_period_gross_range_qc": gross_range(F.col("peakPeriod"), *c.period_range),
-            "swh_spike_qc": spike("significantWaveHeight", *c.height_spike),
-            "swh_rate_of_change_qc": rate_of_change("significantWaveHeight", *c.height_rate),
-            "drifter_speed_qc": drift_speed(*c.speed),
+            "swh_spike_qc": spike("significantWaveHeight", *c.height_spike, CARRIED),
+            "swh_rate_of_change_qc": rate_of_change("significantWaveHeight", *c.height_rate, CARRIED),
+            "drifter_speed_qc": drift_speed(*c.speed, CARRIED),
         }
     )
     for column, name, limits in ((height_error, "swh_model_qc", c.height_error), (period_error, "peak_period_model_qc", c.period_error)):
         if column in df.columns:
             df = df.withColumn(name, model_comparison(F.col(column), *limits, model_can_fail))
-    df = with_summary(with_stuck(df, metres=c.stuck_metres, suspect_hours=c.stuck_hours[0], fail_hours=c.stuck_hours[1]))
+    df = with_stuck(df, metres=c.stuck_metres, suspect_hours=c.stuck_hours[0], fail_hours=c.stuck_hours[1])
+    df = with_summary(df.select(*asked, *(x for x in df.columns if x not in (*asked, CHUNK, "_last", "_next"))))
     return remove_failed(df) if remove_failed_after else df
 
 

@@ -1,4 +1,4 @@
-"""Hourly resampling of trajectories: one shuffle by trajectory, no join."""
+"""Hourly resampling of trajectories, by the row before and after each hour."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import shortest_turn, wrap_longitude
-from .trajectories import ID, TIME, first_per_time, track
+from .chunks import with_neighbours
+from .trajectories import ID, TIME, first_per_time
 
 HOUR = "interval 1 hour"
 
@@ -27,9 +28,8 @@ def hourly(obs: DataFrame, *, longitude: str = "nearest", values: tuple[str, ...
     for c in values:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("double"))
-    w = track()
-    ahead = {c: F.lead(c).over(w) for c in (TIME, "latitude", "longitude", *values)}
-    rows = rows.select(ID, TIME, "latitude", "longitude", *values, *(c.alias(f"next_{k}") for k, c in ahead.items()))
+    ahead = ("latitude", "longitude", *values)
+    rows = with_neighbours(rows, ahead).select(ID, TIME, *ahead, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in (TIME, *ahead)))
     first = F.date_trunc("hour", TIME)
     first = F.when(first == F.col(TIME), first).otherwise(first + F.expr(HOUR))
     last = F.date_trunc("hour", F.col("next_time") - F.expr("interval 1 microsecond"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
-from math import pi, radians
+from math import radians
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frequency import model_edges, model_frequency, rebin_weights
-from ..functions.geo import EARTH_RADIUS_M, chord_to_metres, cube_side, unit_vector
+from ..functions.geo import chord_to_metres, cube_side, unit_vector
 from ..sources.shared import saved, small
 from .collocate import nearest_time
 from .trajectories import ID, TIME
@@ -69,15 +69,59 @@ def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_dis
     return best.select(*keys, "b.point_id", "b.distance_m", *(F.col(f"b.carried.{c}") for c in carry))
 
 
+def boxes(points: DataFrame, level: int) -> DataFrame:
+    """(cell, parent, b0 … b5): for each cell of a level that holds points the box that they fill.
+
+    The cube around the sphere is halved ``2 * level`` times in each direction; a cell's
+    parent is the cell of the level before that holds it.
+    """
+    n = 4**level
+    number = lambda c: F.least(F.floor((F.col(c) + 1) * (n / 2)), F.lit(n - 1))
+    ids = [number(c).alias(f"i{k}") for k, c in enumerate(("px", "py", "pz"))]
+    rows = points.select(*ids, "px", "py", "pz").groupBy("i0", "i1", "i2").agg(*(f(c) for c in ("px", "py", "pz") for f in (F.min, F.max)))
+    rows = rows.toDF("i0", "i1", "i2", *(f"b{k}" for k in range(6)))
+    cell = lambda up: F.struct(*(F.floor(F.col(f"i{k}") / up).alias(f"i{k}") for k in range(3)))
+    return rows.select(cell(1).alias("cell"), cell(4).alias("parent"), *(f"b{k}" for k in range(6)))
+
+
+def nearest_in_tree(places: DataFrame, points: DataFrame, keys: list[str], levels: int = 4) -> DataFrame:
+    """``keys``, point_id and distance_m of the nearest point, however far, by a tree of cells.
+
+    From the coarsest cells (64 at most) to the finest, a place keeps the cells that may hold
+    its nearest point: those that begin no farther off than the far end of the best one.
+    Each step is an equi-join of kept cells to their children; points are met in the finest
+    cells only. Ties go to the smaller point_id.
+    """
+    x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
+    pts = saved(points.where("latitude is not null and longitude is not null").select("point_id", x.alias("px"), y.alias("py"), z.alias("pz")), "tree-points")
+    top = [tuple(r.cell) + tuple(r[f"b{k}"] for k in range(6)) for r in boxes(pts, 1).collect()]
+    rows = places.where("latitude is not null and longitude is not null").select(*keys, x.alias("x"), y.alias("y"), z.alias("z"))
+    if not top:
+        return rows.select(*keys, F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("distance_m")).limit(0)
+    first = F.array(*(F.struct(F.struct(*(F.lit(v).cast("long").alias(f"i{k}") for k, v in enumerate(t[:3]))).alias("cell"), *(F.lit(v).alias(f"b{k}") for k, v in enumerate(t[3:]))) for t in top))
+    cand = rows.withColumn("c", F.explode(first)).select(*keys, "x", "y", "z", "c.*")
+    for level in range(1, levels + 1):
+        if level > 1:
+            below = saved(boxes(pts, level), "tree-cells")
+            cand = cand.withColumnRenamed("cell", "parent").join(small(below, 200_000), "parent").drop("parent")
+        sides = [(F.col(c), F.col(f"b{2 * k}"), F.col(f"b{2 * k + 1}")) for k, c in enumerate("xyz")]
+        near = reduce(lambda a, b: a + b, [F.pow(F.greatest(lo - v, v - hi, F.lit(0.0)), 2) for v, lo, hi in sides])
+        far = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.abs(v - lo), F.abs(v - hi)), 2) for v, lo, hi in sides])
+        cand = cand.withColumns({"near": near, "bound": F.min(far).over(Window.partitionBy(*keys))})
+        cand = saved(cand.where(F.col("near") <= F.col("bound") + 1e-12).select(*keys, "x", "y", "z", "cell"), "tree-kept")
+    n = 4**levels
+    number = lambda c: F.least(F.floor((F.col(c) + 1) * (n / 2)), F.lit(n - 1))
+    met = pts.withColumn("cell", F.struct(*(number(c).alias(f"i{k}") for k, c in enumerate(("px", "py", "pz"))))).join(cand, "cell")
+    chord = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
+    best = met.groupBy(*keys).agg(F.min(F.struct(chord_to_metres(chord).alias("distance_m"), "point_id")).alias("b"))
+    return best.select(*keys, "b.point_id", "b.distance_m")
+
+
 def nearest_point_anywhere(places: DataFrame, points: DataFrame, keys: list[str], first_radius_m: float = 50_000.0) -> DataFrame:
-    """The nearest point without a limit: radii grow until every place has one."""
-    found, left, r = None, places, first_radius_m
-    while True:
-        now = nearest_point(left, points, keys, r)
-        found = now if found is None else found.unionByName(now)
-        if r >= pi * EARTH_RADIUS_M:
-            return found
-        left, r = left.join(now, keys, "left_anti"), min(r * 8, pi * EARTH_RADIUS_M)
+    """The nearest point without a limit: by neighbouring cubes within the first radius; what is left, if anything is, by a tree of cells."""
+    found = saved(nearest_point(places, points, keys, first_radius_m), "nearest-within")
+    left = saved(places.where("latitude is not null and longitude is not null").join(found, keys, "left_anti"), "nearest-left")
+    return found if left.isEmpty() else found.unionByName(nearest_in_tree(left, points, keys))
 
 
 PLACE = [ID, TIME, "latitude", "longitude"]

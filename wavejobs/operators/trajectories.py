@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 ID, TIME, TIE = "trajectory_id", "time", "obs_index"
 
 
-def track(*tie: str) -> Window:
-    return Window.partitionBy(ID).orderBy(TIME, *(tie or (TIE,)))
-
-
 def in_box(lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> Column:
     """All bounds inclusive; a null position is outside."""
     return F.col("latitude").between(lat_min, lat_max) & F.col("longitude").between(lon_min, lon_max)
@@ -65,29 +61,6 @@ def valid_position(obs: DataFrame) -> DataFrame:
     return obs.where(F.col(TIME).isNotNull() & in_box(-90, 90, -180, 180))
 
 
-def thinned(obs: DataFrame, step: int = 5) -> DataFrame:
-    """Every ``step``-th valid row in the order of trajectory and time.
-
-    The global rank is a rank in the trajectory plus the trajectory's offset, so no
-    single task sees all rows; the offsets come from one row a trajectory.
-    """
-    rows = valid_position(obs)
-    return ranked(rows).where((F.col("rank") - 1) % step == 0)
-
-
-def ranked(rows: DataFrame) -> DataFrame:
-    """``rank``: 1 for the first row by trajectory and time over the whole table."""
-    local = rows.withColumn("local", F.row_number().over(track()))
-    return local.join(offsets(rows), ID).withColumn("rank", F.col("start") + F.col("local")).drop("local", "start", "rowsize")
-
-
-def offsets(rows: DataFrame) -> DataFrame:
-    """(trajectory_id, rowsize, start): rows of each trajectory and of all before it."""
-    sizes = rows.groupBy(ID).agg(F.count("*").alias("rowsize"))
-    before = Window.orderBy(ID).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("start", F.coalesce(F.sum("rowsize").over(before), F.lit(0)))
-
-
 def extent(obs: DataFrame) -> DataFrame:
     return obs.agg(
         *(f(c).alias(f"{c}_{n}") for c in ("longitude", "latitude") for n, f in (("min", F.min), ("max", F.max))),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frequency import edges_from_centres, model_edges, model_frequency, widths
-from ..operators import archive, collocate, drift, quality, resample, skill, spectra
+from ..operators import archive, chunks, collocate, drift, quality, resample, skill, spectra
 from ..operators import trajectories as tr
 from . import adapters as ad
 
@@ -261,7 +261,7 @@ def map_extent(spark, sf_dir):
 
 @query(f"with {OBS} select trajectory_id, obs_index, k as rank from (select *, row_number() over (order by trajectory_id, time, obs_index) as k from obs) where (k - 1) % 5 = 0")
 def thinned_positions(spark, sf_dir):
-    return tr.thinned(ad.observations(spark, sf_dir)).select(tr.ID, "obs_index", "rank")
+    return chunks.thinned(ad.observations(spark, sf_dir)).select(tr.ID, "obs_index", "rank")
 
 
 @query(f"with {OBS} select trajectory_id, epoch_us(min(time)) as old_start_us, epoch_us(max(time)) as old_end_us from obs group by 1")
@@ -422,6 +422,12 @@ def nearest_point(spark, sf_dir):
     return out.withColumn("distance_m", F.round("distance_m", 3))
 
 
+@query(f"""with {BUOY}, {MODEL} select trajectory_id, arg_min(point_id, d) as point_id, round(min(d), 3) as distance_m from (select b.trajectory_id, p.point_id, 2 * 6371000.0 * asin(least(1.0, {CHORD} / 2)) as d from buoy b, points p) group by 1""")
+def nearest_point_unlimited(spark, sf_dir):
+    out = spectra.nearest_point_anywhere(ad.buoy_spectra(spark, sf_dir), ad.points(spark, sf_dir), [tr.ID])
+    return out.withColumn("distance_m", F.round("distance_m", 3))
+
+
 MATCHED = f"""{REBIN}, {INTEGRAL}, {NEAR}, mt as (select distinct time as m from model),
 when_ as (select trajectory_id, time, m from (select b.trajectory_id, b.time, m, row_number() over (partition by b.trajectory_id order by abs(epoch_us(b.time) - epoch_us(m)), m desc) as k from buoy b, mt
  where b.time between (select min(m) from mt) and (select max(m) from mt)) where k = 1 and abs(epoch_us(time) - epoch_us(m)) <= 1800000000),
