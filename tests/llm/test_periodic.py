@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavejobs.llm import periodic
+from wavejobs.llm.common import slices
 
 from .data import SF, awkward, empty
 
@@ -98,4 +99,5 @@ def test_documents_of_a_slice_stay_apart():
     texts = ["a b c d e f " * 3, "a b c d e f " * 3, None, "", "x"]
     alone = [periodic.measured([t], [None])[0] for t in texts]
     assert periodic.measured(texts, [None] * 5) == alone and [r[0] for r in alone] == [1, 1, 0, 0, 0]
-    assert [(s.start, s.stop) for s in periodic.slices([5, 5, 90, 1, 1], 2, 10)] == [(0, 2), (2, 3), (3, 5)]
+    cut = lambda sizes: [(s.start, s.stop) for s in slices(sizes, 2, 10)]
+    assert cut([5, 5, 90, 1, 1]) == [(0, 2), (2, 3), (3, 5)] and cut([]) == [(0, 0)] and cut([99]) == [(0, 1)] and cut([1, 1, 1]) == [(0, 2), (2, 3)]

@@ -1,46 +1,23 @@
-"""Helpers shared by the operators: the shared folder, saved tables, hash folds."""
+"""Helpers shared by the operators: slices of texts, hash folds, joins of hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import saved, shared_dir  # noqa: F401
 
 #: Spark's own bound on the bytes of an Arrow batch.
 DEFAULT_BYTES = "67108864b"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing and everything runs on one machine, a temporary
-    folder is set; elsewhere executors could not read it, which is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread of the written table only.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Texts that a task measures together, in bytes.
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +30,30 @@ def fold(id_col: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % modulus, F.lit(0)).cast("int")
 
 
-def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that one step never holds the Python objects of a whole batch."""
+def slices(sizes: Iterable[int], rows: int, most: int) -> Iterator[slice]:
+    """Ranges of at most ``rows`` rows and ``most`` bytes together; a larger row is alone. One empty range for no rows."""
+    start = total = end = 0
+    for end, size in enumerate(sizes):
+        if end > start and (end - start == rows or total + size > most):
+            yield slice(start, end)
+            start, total = end, 0
+        total += size
+        end += 1
+    yield slice(start, end)
+
+
+def text_bytes(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 256, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that one step never holds the Python objects of a whole batch: ``rows`` rows and ``most`` bytes of text, or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [text_bytes(c) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        sizes = map(sum, zip(*texts)) if texts else [0] * batch.num_rows
+        for s in slices(sizes, rows, most):
+            if s.stop > s.start:
+                yield batch.slice(s.start, s.stop - s.start)
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -110,12 +106,11 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
 
 
 def text_function(run: Callable[[pd.Series], pa.Array], kind: T.DataType, text_col: str, rows: int = 128) -> Column:
-    """``run`` over a text column; a task makes Python strings of ``rows`` texts at a time only."""
+    """``run`` over a text column; a task makes Python strings of ``rows`` texts, or ``SLICE_BYTES`` of text, at a time only."""
 
     @F.arrow_udf(kind)
     def sliced(texts: pa.Array) -> pa.Array:
-        made = [run(texts.slice(at, rows).to_pandas()) for at in range(0, max(1, len(texts)), rows)]
-        return pa.concat_arrays(made)
+        return pa.concat_arrays([run(texts[s].to_pandas()) for s in slices(text_bytes(texts), rows, SLICE_BYTES)])
 
     return sliced(F.col(text_col))
 

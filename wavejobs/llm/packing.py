@@ -62,7 +62,7 @@ class WordTokenizer:
     pieces are held, and what a text adds.
     """
 
-    def __init__(self, path: str, cached_words: int = 160_000):
+    def __init__(self, path: str, cached_words: int = 60_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.by_words, self.cached_words = self._splits_plainly(), cached_words

@@ -26,16 +26,16 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import SLICE_BYTES, slices, text_bytes
+
 LEAST, SEED = 12, 6
 ODD = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -250,25 +250,13 @@ KIND = T.StructType(
 ARROW = pa.struct([pa.field(f.name, pa.int64() if f.dataType == T.LongType() else pa.string()) for f in KIND.fields])
 
 
-def slices(sizes: list[int], rows: int, most: int) -> Iterator[slice]:
-    """Ranges of at most ``rows`` texts and ``most`` characters; a longer text is alone."""
-    start = total = 0
-    for i, size in enumerate(sizes):
-        if i > start and (i - start == rows or total + size > most):
-            yield slice(start, i)
-            start, total = i, 0
-        total += size
-    yield slice(start, len(sizes))
-
-
-def run_column(text: Column, rewrite_hash: Column | None = None, *, rows: int = 128, chars: int = 1_000_000) -> Column:
-    """struct of the runs of a text column; tasks measure up to ``rows`` texts of ``chars`` characters together."""
+def run_column(text: Column, rewrite_hash: Column | None = None, *, rows: int = 128) -> Column:
+    """struct of the runs of a text column; tasks measure up to ``rows`` texts, or ``SLICE_BYTES`` of text, together."""
 
     @F.arrow_udf(KIND)
     def run(texts: pa.Array, hashes: pa.Array) -> pa.Array:
         out = []
-        sizes = [0 if n is None else n for n in pc.binary_length(texts).to_pylist()]
-        for s in slices(sizes, rows, chars):
+        for s in slices(text_bytes(texts), rows, SLICE_BYTES):
             out += measured(texts[s].to_pylist(), hashes[s].to_pylist())
         return pa.array([dict(zip(KIND.names, r)) for r in out], ARROW)
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slices, join_small, saved
+from .common import SLICE_BYTES, in_slices, join_small, saved, slices, text_bytes
 
 # The base patterns and the lengths that a match needs.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -283,8 +283,7 @@ def scanned(text: str | None) -> dict:
 def scan_column(text_col: str = "text", rows: int = 128) -> Column:
     @F.arrow_udf(SCANNED)
     def scan(texts: pa.Array) -> pa.Array:
-        made = [pa.array([scanned(t) for t in texts.slice(at, rows).to_pylist()], ARROW) for at in range(0, max(1, len(texts)), rows)]
-        return pa.concat_arrays(made)
+        return pa.concat_arrays([pa.array([scanned(t) for t in texts[s].to_pylist()], ARROW) for s in slices(text_bytes(texts), rows, SLICE_BYTES)])
 
     return scan(F.col(text_col))
 
