@@ -67,9 +67,36 @@ def test_incremental_edges(spark):
     assert archive.outside_existing(new, archive.time_limits(old)).count() == 2
 
 
-def test_geodesic():
-    azimuth, metres = geo.inverse([0.0, 10.0], [0.0, 50.0], [1.0, 10.0], [0.0, 50.0])
-    assert abs(metres[0] - 111_319.4908) < 1e-3 and azimuth[0] == 90 and metres[1] == 0
+def geodesic(spark, ends):
+    cols = "i int, lon1 double, lat1 double, lon2 double, lat2 double"
+    df = spark.createDataFrame([(i, *map(lambda x: None if x is None else float(x), e)) for i, e in enumerate(ends)], cols)
+    out = geo.with_geodesic(df, *(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))).orderBy("i").collect()
+    return [(r.azimuth_deg, r.distance_m) for r in out]
+
+
+def test_geodesic_of_near_and_nearly_antipodal_points(spark):
+    # Published values: a degree of the equator; a quarter meridian twice; pairs for which Vincenty's rounds do not settle.
+    known = [
+        ((0, 0, 1, 0), 90.0, 111_319.4908), ((10, 50, 10, 50), 0.0, 0.0), ((0, 0, 180, 0), None, 20_003_931.4586), ((0, -90, 77, 90), None, 20_003_931.4586),
+        ((0, -30, 179.8, 29.9), 161.890524736, 19_989_832.827610), ((0, 0, 179.7, 0.5), None, 19_944_127.421), ((0, 0, 179.5, 0.5), None, 19_936_288.579),
+    ]
+    for (azimuth, metres), (_, want, far) in zip(geodesic(spark, [k[0] for k in known]), known):
+        assert abs(metres - far) < 2e-3 and (want is None or abs(azimuth - want) < 1e-6)
+    assert geodesic(spark, [(0, None, 1, 0), (0, 0, None, 0)]) == [(None, None)] * 2
+
+
+def test_geodesic_is_the_same_from_either_end_and_continuous(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(0.0, la, 180 - d, -la + e) for la, d, e in zip(rng.uniform(-80, 80, 60), rng.uniform(-1.5, 1.5, 60), rng.uniform(-1, 1, 60))]
+    pairs += [(float(a), float(b), float(c), float(d)) for a, b, c, d in np.column_stack([rng.uniform(-180, 180, 60), rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), rng.uniform(-90, 90, 60)])]
+    there, back = geodesic(spark, pairs), geodesic(spark, [(c, d, a, b) for a, b, c, d in pairs])
+    east = geodesic(spark, [(-a, b, -c, d) for a, b, c, d in pairs])
+    for (az, m), (_, m2), (az3, m3) in zip(there, back, east):
+        assert m is not None and abs(m - m2) < 1e-3 and abs(m - m3) < 1e-3 and abs(az + az3) % 360 < 1e-6 and 0 <= m <= 20_003_931.46
+    # Steps of a hundredth of a degree across the limit of convergence on the equator (179.4 degrees) are no longer than on the equator.
+    line = geodesic(spark, [(0, 0, 179 + k / 100, 0) for k in range(101)])
+    steps = np.diff([m for _, m in line])
+    assert (steps > -1e-3).all() and steps.max() < 1_113.2 and abs(line[0][0] - 90) < 1e-9 and abs(line[-1][0]) < 1e-6 or abs(line[-1][0]) > 179.99
 
 
 def test_rebin_edges_and_conservation():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import geodesic_inverse
+from ..functions.geo import with_geodesic
 from ..sources.shared import saved
 from .chunks import CHUNK, with_neighbours
 from .quality import FAIL, MISSING, PASS, VELOCITY_FLAG
@@ -44,8 +44,8 @@ def chosen_pair(df: DataFrame, max_gap_hours: float = 3.0) -> DataFrame:
 def velocity(df: DataFrame, *, max_gap_hours: float = 3.0, max_speed: float = 3.0) -> DataFrame:
     """u, v, speed, direction, dt, distance and a flag: 1, 4 above ``max_speed``, 9 not computed."""
     rows = chosen_pair(df, max_gap_hours)
-    rows = rows.withColumn("_g", geodesic_inverse(F.col("_from.longitude"), F.col("_from.latitude"), F.col("_to.longitude"), F.col("_to.latitude")))
-    rows = rows.withColumns({"_az": F.col("_g.azimuth_deg"), "_m": F.col("_g.distance_m")})
+    ends = (F.col(f"{end}.{c}") for end in ("_from", "_to") for c in ("longitude", "latitude"))
+    rows = with_geodesic(rows, *ends, azimuth="_az", distance="_m")
     rows = rows.withColumn("_speed", F.try_divide("_m", "dt_s"))
     ok = F.col("_speed") <= max_speed
     return rows.withColumns(
@@ -58,4 +58,4 @@ def velocity(df: DataFrame, *, max_gap_hours: float = 3.0, max_speed: float = 3.
             "drifter_velocity_distance_m": F.col("_m"),
             VELOCITY_FLAG: F.when(F.col("_speed").isNull(), MISSING).when(F.col("_speed") > max_speed, FAIL).otherwise(PASS),
         }
-    ).drop("_from", "_to", "_g", "_az", "_m", "_speed", "dt_s", "pair")
+    ).drop("_from", "_to", "_az", "_m", "_speed", "dt_s", "pair")
