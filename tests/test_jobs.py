@@ -1,6 +1,6 @@
 """Whole jobs and files, on folders that the tests write."""
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,17 +39,90 @@ def test_build_and_merge_archives(spark, csv_tree, tmp_path):
     sizes = {r.trajectory_id: r.rowsize for r in spark.read.parquet(str(tmp_path / "built" / "trajectories")).collect()}
     assert sizes == {"SPOT-1A": 2, "SPOT-2B": 1}
     schema = files.read_archive(spark, str(tmp_path / "built" / "observations")).schema
-    assert schema["latitude"].metadata["units"] == "deg" and schema["varianceDensity"].metadata["units"] == "m2/Hz"
+    assert schema["latitude"].metadata["units"] == "degrees_north" and schema["varianceDensity"].metadata["units"] == "m2 Hz-1"
+    assert schema["trajectory_id"].metadata["cf_role"] == "trajectory_id" and schema["partition0StartFrequency"].metadata["units"] == "hz"
+    assert schema["a1"].metadata == {"dimensions": ["index", "frequency"], "long_name": "directional Fourier coefficient a1", "units": "1"}
+    assert spark.read.parquet(str(tmp_path / "built" / "trajectories")).schema["rowsize"].metadata["sample_dimension"] == "index"
+    said = files.read_attributes(spark, str(tmp_path / "built"))
+    assert said["Conventions"] == "CF-1.8" and said["featureType"] == "trajectory" and said["creation_date"][:2] == "20" and "title" in said
 
     new = built.where("trajectory_id = 'SPOT-1A'").withColumn("time", F.expr("time + interval 1 day"))
     new = new.withColumn("frequency", F.array(F.lit(0.1), F.lit(0.2)))
-    merged = jobs.merge_archives(built, new.drop("frequency", "varianceDensity", "a1").limit(0), new, str(tmp_path / "merged"))
+    merged = jobs.merge_archives(built, new.drop("frequency", "varianceDensity", "a1").limit(0), new, str(tmp_path / "merged"), attributes={**said, "note": "kept"})
+    again = files.read_attributes(spark, str(tmp_path / "merged"))
+    assert again["note"] == "kept" and again["merged_from"] and again["title"] != said["title"] and again["creation_date"] == said["creation_date"]
     rows = merged.orderBy("obs_index").collect()
     assert [r.obs_index for r in rows] == list(range(5)) and {tuple(r.frequency) for r in rows} == {(0.1, 0.2, 0.3)}
     by_time = {(r.trajectory_id, r.time.day): (r.varianceDensity, r.a1) for r in rows if r.time.hour == 0}
     assert by_time["SPOT-1A", 1] == ([1.0, None, 2.0], [10.0, None, 30.0]) and by_time["SPOT-1A", 2] == ([1.0, 2.0, None], [10.0, 30.0, None])
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def day_files(path):
+    return {d.name: sorted((f.name, f.stat().st_mtime_ns) for f in d.iterdir()) for d in path.iterdir() if d.is_dir()}
+
+
+def test_an_update_rewrites_only_the_days_that_it_touches(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    cols = "trajectory_id string, obs_index long, time timestamp, latitude double, longitude double, frequency array<double>, varianceDensity array<double>"
+
+    def frame(*rows):
+        return spark.createDataFrame([(i, k, t + timedelta(days=d, hours=h), -50.0, 0.0, f, v) for k, (i, d, h, f, v) in enumerate(rows)], cols)
+
+    path = str(tmp_path / "archive")
+    files.write_archive(archive.indexed(frame(*(("A", d, 0, [0.1, 0.2], [1.0, float(d)]) for d in range(5)))), path)
+    before = day_files(tmp_path / "archive" / "observations")
+    new = frame(("A", 2, 5, [0.2], [9.0]), ("A", 6, 1, [0.2], [7.0]), ("B", 3, 2, [0.1, 0.2], [3.0, 4.0]))
+    days = jobs.update_archive(spark, path, new.drop("frequency", "varianceDensity").limit(0), new)
+    assert [d.day for d in days] == [4, 7]  # the row of day 2 lies within what is known of A
+    after = day_files(tmp_path / "archive" / "observations")
+    assert {d for d in after if after[d] != before.get(d)} == {"date=2024-01-04", "date=2024-01-07"} and len(after) == 6
+    rows = files.read_archive(spark, f"{path}/observations").orderBy("obs_index").collect()
+    assert [(r.trajectory_id, r.time.day, r.obs_index) for r in rows] == [("A", d + 1, d) for d in range(5)] + [("A", 7, 5), ("B", 4, 6)]
+    assert rows[5].varianceDensity == [None, 7.0] and rows[6].varianceDensity == [3.0, 4.0] and rows[3].varianceDensity == [1.0, 3.0]
+    assert {r.trajectory_id: r.rowsize for r in spark.read.parquet(f"{path}/trajectories").collect()} == {"A": 6, "B": 1}
+    # A new frequency changes all arrays, so all days.
+    wide = frame(("C", 9, 0, [0.3], [5.0]))
+    assert len(jobs.update_archive(spark, path, wide.limit(0), wide)) == 7
+    rows = {(r.trajectory_id, r.time.day): r.varianceDensity for r in files.read_archive(spark, f"{path}/observations").collect()}
+    assert rows["A", 1] == [1.0, 0.0, None] and rows["C", 10] == [None, None, 5.0] and len(rows) == 8
+    assert jobs.update_archive(spark, path, wide.limit(0), wide) == []
+
+
+def test_days_are_pruned(spark, tmp_path):
+    hours = spark.range(96).selectExpr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, id) as time", "'A' as trajectory_id", "id as obs_index", "1D as latitude", "2D as longitude", "id * 1D as swh", "1D as pp1d")
+    files.write_grid(hours.drop("trajectory_id", "obs_index"), str(tmp_path / "grid"))
+    files.write_archive(hours, str(tmp_path / "archive"))
+    span = {"start": datetime(2024, 1, 2), "end": datetime(2024, 1, 3)}
+    grid = files.read_grid(spark, [str(tmp_path / "grid")], ("swh", "pp1d"), **span)
+    obs = files.read_archive(spark, str(tmp_path / "archive" / "observations"), **span)
+    assert (grid.count(), obs.count(), obs.columns) == (48, 25, hours.columns)
+    for df in (grid, obs):
+        assert "PartitionFilters: [isnotnull(date" in plan_of(df) and "(date" in plan_of(df).split("PartitionFilters")[1]
+
+
+def test_csv_files_in_many_splits_keep_their_headers(spark, tmp_path):
+    root = tmp_path / "raw"
+    head = ["Epoch Time", "Latitude (deg)", "Processing Source", "f", "varianceDensity"]
+    write_csv(root, "Spot-1a", "d1", head, [[1704067200 + 3600 * k, k / 100, '"a, b"' if k % 2 else "-", "0.1;0.2", f"{k};2"] for k in range(800)])
+    write_csv(root, "Spot-1a", "d2", [head[i] for i in (3, 0, 4, 1, 2)], [["0.1;0.2", 1704067200 - 60 * k, f"{k};3", -k / 100, "x"] for k in range(700)])
+    write_csv(root, "Spot-2b", "d1", ["nothing", "of", "use"], [[1, 2, 3]])
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "4096")
+    try:
+        got = files.read_csv_tree(spark, str(root)).collect()
+    finally:
+        spark.conf.unset(key)
+    want = {(1704067200 + 3600 * k, k / 100, "a, b" if k % 2 else None, (k, 2.0)) for k in range(800)} | {(1704067200 - 60 * k, -k / 100, "x", (k, 3.0)) for k in range(700)}
+    assert {(int(r.time.replace(tzinfo=timezone.utc).timestamp()), r.latitude, r.processingSource, tuple(r.varianceDensity)) for r in got} == want and len(got) == 1500
+    write_csv(root, "Spot-3c", "d1", head, [[1704067200, *range(400)], [1704067200]])
+    odd = files.read_csv_tree(spark, str(root), drop_missing_spectra=False).where("trajectory_id = 'SPOT-3C'").collect()
+    assert sorted((r.latitude is None, r.latitude, r.processingSource) for r in odd) == [(False, 0.0, "1"), (True, None, None)]
+
+
 def test_new_rows_of_one_time_keep_the_bulk_one(spark):
     cols = "trajectory_id string, obs_index long, time timestamp, latitude double, longitude double, peakPeriod double"
     t = datetime(2024, 1, 1)

@@ -115,14 +115,12 @@ def aligned(df: DataFrame, grid: list[float], columns: tuple[str, ...] = ("varia
     return df.withColumns({**new, FREQUENCY: F.when(F.col(FREQUENCY).isNotNull(), axis)})
 
 
-def merge(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_new: bool = False, **box: float) -> DataFrame:
-    """Existing rows and the new ones that lie in the box and outside what is known.
+def arrivals(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_new: bool = False, **box: float) -> DataFrame:
+    """The new rows that lie in the box and outside what is known of their trajectory.
 
-    Array columns that lie on the frequency axis (``on_axis``) are put on the union of the
-    axes; all others stay as they are. With ``dedupe_new`` one new row of each trajectory and
-    time stays: of bulk before spectral ones, then the first by obs_index.
+    With ``dedupe_new`` one row of each trajectory and time stays: of bulk before spectral
+    ones, then the first by obs_index.
     """
-    existing, bulk, spectral = map(normalise_names, (existing, bulk, spectral))
     limits = time_limits(existing)
     new = [outside_existing(filter_box(df, **box), limits) for df in (bulk, spectral)]
     fresh = new[0].withColumn("_source", F.lit(0)).unionByName(new[1].withColumn("_source", F.lit(1)), allowMissingColumns=True)
@@ -130,7 +128,17 @@ def merge(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_n
         order = [F.col(c) for c in ("_source", "obs_index") if c in fresh.columns]
         nth = F.row_number().over(Window.partitionBy(ID, TIME).orderBy(*order))
         fresh = fresh.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    fresh = fresh.drop("_source")
+    return fresh.drop("_source")
+
+
+def merge(existing: DataFrame, bulk: DataFrame, spectral: DataFrame, *, dedupe_new: bool = False, **box: float) -> DataFrame:
+    """Existing rows and ``arrivals``.
+
+    Array columns that lie on the frequency axis (``on_axis``) are put on the union of the
+    axes; all others stay as they are.
+    """
+    existing, bulk, spectral = map(normalise_names, (existing, bulk, spectral))
+    fresh = arrivals(existing, bulk, spectral, dedupe_new=dedupe_new, **box)
     out = existing.unionByName(fresh, allowMissingColumns=True)
     if FREQUENCY in out.columns:
         grid = frequency_grid(*(d for d in (existing, bulk, spectral) if FREQUENCY in d.columns))

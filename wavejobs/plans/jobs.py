@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.frequency import model_frequency, widths
 from ..operators import archive, collocate, drift, quality, resample, skill, spectra
 from ..operators.trajectories import subset, subset_time
 from ..sources import files
+from ..sources.shared import saved
 
 
 @dataclass(frozen=True)
@@ -49,16 +51,51 @@ def spectral(obs: DataFrame, model: DataFrame, points: DataFrame, source_centres
 
 
 def build_archive(spark: SparkSession, root: str, out: str, *, chunk_rows: int = 50_000) -> DataFrame:
-    obs = files.read_csv_tree(spark, root)
+    obs = saved(files.read_csv_tree(spark, root), "built")
     archive.validate_spectral_lengths(obs, tuple(c for c in files.ARRAYS.values() if c in obs.columns))
     obs = archive.indexed(obs)
-    files.write_archive(obs, out, chunk_rows=chunk_rows, units=files.UNITS)
+    files.write_archive(obs, out, chunk_rows=chunk_rows)
     return obs
 
 
-def merge_archives(existing: DataFrame, new_bulk: DataFrame, new_spectral: DataFrame, out: str | None = None, *, lat_min=-74.0, lat_max=-39.0, lon_min=-180.0, lon_max=180.0) -> DataFrame:
-    """Existing and new rows under a new index; written with units where ``out`` is given."""
+def merge_archives(existing: DataFrame, new_bulk: DataFrame, new_spectral: DataFrame, out: str | None = None, *, attributes: dict[str, str] | None = None, lat_min=-74.0, lat_max=-39.0, lon_min=-180.0, lon_max=180.0) -> DataFrame:
+    """Existing and new rows under a new index; written where ``out`` is given, with the existing archive's ``attributes`` and what a merge adds."""
     merged = archive.indexed(archive.merge(existing, new_bulk, new_spectral, lat_min=lat_min, lat_max=lat_max, lon_min=lon_min, lon_max=lon_max))
     if out:
-        files.write_archive(merged, out, units=files.UNITS)
+        files.write_archive(merged, out, attributes=(attributes or {}) | files.MERGED)
     return merged
+
+
+def update_archive(spark: SparkSession, path: str, new_bulk: DataFrame, new_spectral: DataFrame, *, dedupe_new: bool = False, lat_min=-74.0, lat_max=-39.0, lon_min=-180.0, lon_max=180.0) -> list[date | None]:
+    """Merge new rows into the archive at ``path`` and rewrite only the days that get some; the days are returned.
+
+    New rows are numbered after all existing ones (``archive.indexed`` gives the dense order).
+    Where they bring a new frequency or a new column, every day is rewritten, as all arrays
+    change. What is written was first written apart, so an update that fails leaves the
+    archive's days whole.
+    """
+    at, box = f"{path}/observations", {"lat_min": lat_min, "lat_max": lat_max, "lon_min": lon_min, "lon_max": lon_max}
+    existing, bulk_rows, spectral_rows = map(archive.normalise_names, (files.read_archive(spark, at), new_bulk, new_spectral))
+    columns = archive.on_axis(existing, bulk_rows, spectral_rows)
+    fresh = saved(archive.arrivals(existing, bulk_rows, spectral_rows, dedupe_new=dedupe_new, **box), "arrivals")
+    last = existing.agg(F.max("obs_index")).first()[0]
+    fresh = archive.indexed(fresh).withColumn("obs_index", F.col("obs_index") + (-1 if last is None else last) + 1)
+    every = bool(set(fresh.columns) - set(existing.columns))
+    if archive.FREQUENCY in fresh.columns:
+        old_grid = archive.frequency_grid(existing) if archive.FREQUENCY in existing.columns else []
+        grid = archive.frequency_grid(*(d for d in (existing, fresh) if archive.FREQUENCY in d.columns))
+        every = every or grid != old_grid
+        fresh = archive.aligned(fresh, grid, columns)
+    days = [r[0] for r in fresh.select(F.to_date("time").alias("d")).distinct().orderBy("d").collect()]
+    if not days:
+        return days
+    stored = spark.read.parquet(at)
+    old = existing if every else archive.normalise_names(stored.where(F.col(files.DATE).isin([d for d in days if d]) | F.lit(None in days) & F.col(files.DATE).isNull()).drop(files.DATE))
+    if every and archive.FREQUENCY in fresh.columns and archive.FREQUENCY in old.columns:
+        old = archive.aligned(old, grid, columns)
+    merged = saved(old.unionByName(fresh, allowMissingColumns=True), "updated")
+    sizes = saved(archive.row_sizes(fresh).unionByName(spark.read.parquet(f"{path}/trajectories")).groupBy("trajectory_id").agg(F.sum("rowsize").alias("rowsize")), "updated-sizes")
+    files.write_by_day(files.described(merged), at, ["trajectory_id", "time"], only_touched=not every)
+    files.described(sizes).write.mode("overwrite").parquet(f"{path}/trajectories")
+    files.write_attributes(spark, path, files.read_attributes(spark, path) | files.MERGED)
+    return [r[0] for r in merged.select(F.to_date("time").alias("d")).distinct().orderBy("d").collect()] if every else days
