@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.frequency import edges_from_centres, model_edges, model_frequency, widths
 from ..operators import archive, chunks, collocate, drift, quality, resample, skill, spectra
 from ..operators import trajectories as tr
+from ..sources import files
 from . import adapters as ad
+from . import jobs
 
 START, END = datetime(2024, 1, 3), datetime(2024, 1, 28)
 BOX = {"lat_min": -67.5, "lat_max": -50.5, "lon_min": -180.0, "lon_max": 180.0}
@@ -518,3 +520,96 @@ def drift_velocity(spark, sf_dir):
     return out.withColumns(coarse).select(
         tr.ID, tr.TIME, "drifter_u_m_s", "drifter_v_m_s", "drifter_speed_m_s", "drifter_direction_to_deg", "drifter_velocity_dt_s", "drifter_velocity_distance_m", quality.VELOCITY_FLAG
     )
+
+
+@query(f"with {BUOY} select trajectory_id, obs_index, round(latitude, 6) + 0.0 as windSpeed, len(varianceDensity)::int as n, round(varianceDensity[3], 6) + 0.0 as third from buoy")
+def legacy_names(spark, sf_dir):
+    old = ad.buoy_spectra(spark, sf_dir).withColumnsRenamed({"varianceDensity": "variance_density"}).withColumn("u10", F.col("latitude"))
+    return archive.normalise_names(old).select(tr.ID, "obs_index", "windSpeed", F.size("varianceDensity").alias("n"), F.get("varianceDensity", F.lit(2)).alias("third"))
+
+
+@query(f"with {OBS} select trajectory_id, obs_index, epoch_us(time) as time_us from obs where time >= timestamp '2024-01-03' and time < timestamp '2024-01-29'")
+def time_subset(spark, sf_dir):
+    return tr.subset_time(ad.observations(spark, sf_dir), START, END, end_inclusive_day=True).select(tr.ID, "obs_index", tr.TIME)
+
+
+@query(f"""with {BUOY} select trajectory_id, epoch_us(time) // 1000000 * 1000000 as time_us, round(case when trajectory_id like '%7' then null else round(latitude, 4) end, 6) + 0.0 as latitude,
+ case when trajectory_id like '%4' then null else 'source ' || obs_index end as processingSource, 64::int as n_frequencies, count(v) as n_values, round(coalesce(sum(v), 0), 6) as total
+ from (select *, {CELL} as v from buoy, unnest(range(64)) u(k)) where trajectory_id not like '%31' and trajectory_id not like '%2' group by all""")
+def parsed_rows(spark, sf_dir):
+    """Raw text columns, as a file has them, to typed ones; rows without spectra drop out."""
+    b = ad.buoy_spectra(spark, sf_dir)
+    item = F.transform("varianceDensity", lambda v, k: F.when(k == 5, "-").when(k == 9, "").otherwise(F.coalesce(F.round(v * 10000).cast("long").cast("string"), F.lit("nan"))))
+    name = F.col(tr.ID)
+    raw = b.select(
+        tr.ID,
+        F.unix_seconds(tr.TIME).cast("string").alias(files.TIME_HEADER),
+        F.when(name.like("%7"), "bad").otherwise(F.round("latitude", 4).cast("string")).alias("Latitude (deg)"),
+        F.when(name.like("%2"), "-").otherwise(F.array_join(F.transform("frequency", lambda f: f.cast("string")), ";")).alias("f"),
+        F.when(name.like("%31"), "-").otherwise(F.array_join(item, ";")).alias("varianceDensity"),
+        F.when(~name.like("%4"), F.concat(F.lit("source "), "obs_index")).alias("Processing Source"),
+        F.lit("x").alias("Unknown header"),
+    )
+    known = F.filter("varianceDensity", lambda x: x.isNotNull())
+    rows = files.parse_raw(raw)
+    return rows.select(tr.ID, tr.TIME, "latitude", "processingSource", F.size("frequency").alias("n_frequencies"), F.size(known).cast("long").alias("n_values"), F.aggregate(known, F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query(f"with {REBIN} select trajectory_id, b.obs_index, freq_idx, {r('x')} from binned join buoy b using (trajectory_id)")
+def rebin_kept(spark, sf_dir):
+    b = spectra.rebinned(ad.buoy_spectra(spark, sf_dir), ad.SOURCE_FREQUENCY, keep=("obs_index", "absent"))
+    return b.select(tr.ID, "obs_index", F.posexplode("varianceDensity").alias("freq_idx", "x"))
+
+
+@query(f"""with {COLLOCATED} select trajectory_id, epoch_us(time) as time_us, round(model_value_era5_swh, 6) + 0.0 as model_value_gfs_Thgt, round(error_era5_swh, 6) + 0.0 as error_gfs_Thgt, round(model_value_era5_pp1d, 6) + 0.0 as model_value_gfs_Tper,
+ round(error_era5_pp1d, 6) + 0.0 as error_gfs_Tper, {r('error_era5_swh', 'error_era5_pp1d')} from errors""")
+def two_models(spark, sf_dir):
+    """Two models at once, the second in two sets that lie one after the other."""
+    era5 = ad.grid(spark, sf_dir)
+    gfs = era5.withColumnsRenamed({"swh": "Thgt", "pp1d": "Tper"})
+    middle = F.lit(datetime(2024, 1, 16))
+    gfs = collocate.union_grids([gfs.where(F.col(tr.TIME) < middle), gfs.where(F.col(tr.TIME) >= middle)])
+    out = collocate.model_errors(hourly(spark, sf_dir), {"era5": era5, "gfs": gfs})
+    return out.select(tr.ID, tr.TIME, *(f"{a}_gfs_{v}" for a in ("model_value", "error") for v in ("Thgt", "Tper")), "error_era5_swh", "error_era5_pp1d")
+
+
+def in_region(sql: str) -> str:
+    """A query's SQL over the rows of the region and period instead of all rows."""
+    return sql.replace(WHOLE, SUB)
+
+
+REGION = jobs.Region(START, END, **BOX)
+BULK_FLAGS = [*FLAGS, "swh_model_qc", "peak_period_model_qc"]
+BULK = f"""{COLLOCATED}, {STEPS}, modelled as (select t.*, {compared('error_era5_swh', 2, 4)} as swh_model_qc, {compared('error_era5_pp1d', 4, 8)} as peak_period_model_qc, error_era5_swh, error_era5_pp1d
+ from tests t join errors e on t.trajectory_id = e.trajectory_id and t.time = e.time), flagged as (select *, {summary_sql(BULK_FLAGS)} from modelled)"""
+
+
+@query(in_region(f"with {BULK} select trajectory_id, epoch_us(time) as time_us, {r('latitude', 'error_era5_swh', 'error_era5_pp1d')}, stuck_position_qc, swh_model_qc, summary_qc from flagged where summary_qc <> 4"))
+def bulk_job(spark, sf_dir):
+    kept, _ = jobs.bulk(ad.observations(spark, sf_dir), {"era5": ad.grid(spark, sf_dir)}, REGION)
+    return kept.select(tr.ID, tr.TIME, "latitude", "error_era5_swh", "error_era5_pp1d", "stuck_position_qc", "swh_model_qc", "summary_qc")
+
+
+@query(in_region(ORACLES["drift_velocity"]))
+def drift_job(spark, sf_dir):
+    out, _ = jobs.bulk_with_drift(ad.observations(spark, sf_dir), {}, REGION)
+    coarse = {c: F.round(c, 3) for c in ("drifter_direction_to_deg", "drifter_velocity_distance_m")}
+    return out.withColumns(coarse).select(
+        tr.ID, tr.TIME, "drifter_u_m_s", "drifter_v_m_s", "drifter_speed_m_s", "drifter_direction_to_deg", "drifter_velocity_dt_s", "drifter_velocity_distance_m", quality.VELOCITY_FLAG
+    )
+
+
+@query(ORACLES["hs_metrics"].replace(BUOY, BUOY.replace("buoy as (", "buoy as (select * from (", 1) + " where time between timestamp '2024-01-10' and timestamp '2024-01-10 20:00:00')"))
+def spectral_job(spark, sf_dir):
+    day = datetime(2024, 1, 10)
+    _, _, heights = jobs.spectral(ad.buoy_spectra(spark, sf_dir), ad.model_spectra(spark, sf_dir), ad.points(spark, sf_dir), ad.SOURCE_FREQUENCY, start=day, end=day.replace(hour=20))
+    return heights
+
+
+@query(f"""with {NEW}, all_rows as (select * from old union all select n.* replace (case when n.obs_index % 2 = 0 then n.significantWaveHeight end as significantWaveHeight) from new n left join lim l using (trajectory_id)
+where (l.a is null or n.time < l.a or n.time > l.b) and n.latitude between -74 and -39)
+select trajectory_id, epoch_us(time) as time_us, row_number() over (order by trajectory_id, time, obs_index) - 1 as obs_index, {r('significantWaveHeight')} from all_rows""")
+def merge_job(spark, sf_dir):
+    old, new = parts(spark, sf_dir)
+    merged = jobs.merge_archives(old, new.where("obs_index % 2 = 0"), new.where("obs_index % 2 = 1").drop("significantWaveHeight"))
+    return merged.select(tr.ID, tr.TIME, "obs_index", "significantWaveHeight")
