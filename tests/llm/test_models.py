@@ -173,6 +173,68 @@ def test_license_notice_with_a_missing_word(spark):
     assert out.labels == "mit" and 0.8 <= out.score < 1 and out.base_labels == ""
 
 
+def mutated_notices(n=150, seed=3):
+    """Notices with words left out, put in, swapped and cut apart, among other words."""
+    rng = np.random.default_rng(seed)
+    notices = list(license_scan.NOTICES)
+    rows = []
+    for i in range(n):
+        words = []
+        for _ in range(rng.integers(1, 4)):
+            w = notices[rng.integers(len(notices))].split()
+            for _ in range(rng.integers(0, 6)):
+                k = int(rng.integers(len(w)))
+                change = rng.integers(5)
+                if change == 0:
+                    del w[k]
+                elif change == 1:
+                    w.insert(k, "other")
+                elif change == 2 and k:
+                    w[k - 1], w[k] = w[k], w[k - 1]
+                elif change == 3:
+                    w[k:k] = ["far"] * int(rng.integers(1, 30))
+                else:
+                    w = w[k:] + w[:k]
+                w = w or ["none"]
+            words += ["x"] * int(rng.integers(0, 5)) + w
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_licenses_equal_sql_from_the_definition(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [*mutated_notices(), (1000, None), (1001, ""), (1002, "all rights reserved " * 300), (1003, "license apache license apache license mit license")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.execute(license_scan.oracle()).fetchall()
+    near = lambda t: (*t[:-1], round(t[-1], 9))
+    assert sorted(map(near, map(tuple, got))) == sorted(map(near, want))
+    assert 30 < sum(r.labels != "" for r in got) < 150
+
+
+def test_license_spans_keep_order_and_extent(spark):
+    bsd = next(n for n in license_scan.NOTICES if n.startswith("redistribution")).split()
+    half = len(bsd) // 2
+    pairs = [f"{a} {b}" for a, b in zip(bsd, bsd[1:])]
+    rng = np.random.default_rng(1)
+    texts = [
+        " ".join(reversed(pairs)),
+        " ".join(rng.permutation(pairs)),
+        " ".join(bsd[:half]) + " x" * 1000 + " " + " ".join(bsd[half:]),
+        " ".join(bsd),
+        " ".join(bsd) + " y" * 500 + " " + " ".join(bsd),
+        " ".join(bsd[:9]) + " one or two " + " ".join(bsd[9:]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert [out[i].labels for i in range(6)] == ["", "", "", "bsd", "bsd", "bsd"] and out[3].score == 1 and 0.8 <= out[5].score < 1
+    places = license_scan.spans(df).where("id = 4").orderBy("start").collect()
+    assert [(p.start, p.matched) for p in places] == [(0, 1.0), (len(bsd) + 500, 1.0)]
+
+
 def test_urls(spark):
     rows = [(1, "http://a.ORG/x"), (2, "https://example.org/es/1"), (3, "nothing"), (4, None), (5, "http://sub.com/de/?q#f"), (6, "http://orgs/x"), (6, "http://orgs/x")]
     got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect())

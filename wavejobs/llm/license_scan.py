@@ -4,8 +4,12 @@ Method: all rolling word pairs (k-grams with k = 2) of every text are joined by
 the pairs of a small table of templates. A hit at word p of a text and word t of a
 template votes for the diagonal p - t. The base phrases are places where one diagonal has
 all votes. For the longer notices neighbouring diagonals (inserted or missing words) are
-merged, and a span is verified by the share of the template's pairs that it holds, each
-hit checked on the words themselves.
+merged, and where those together have enough votes, spans are verified: from a hit on, hits
+are followed whose words stand later both in the text and in the template, each at most
+``shift`` diagonals from the one before, over no more words than the template has and a
+slack of a quarter and ``shift``. A span holds if it follows the share of the template's
+pairs that is asked for; so neither words in another order nor halves far apart make one.
+Each hit is checked on the words themselves.
 
 Everything is built of DataFrame functions; the templates are a fixed table of less than
 a thousand rows, so their broadcast has a proven bound. Only hits are shuffled, and their
@@ -88,10 +92,10 @@ def hits(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, *, shift: int = 3, least: float = 0.8, short: int = 8) -> DataFrame:
     """(id, text_hash, template, label, base, start, matched): verified places.
 
-    ``matched`` is the share of the template's pairs in the span. Base phrases are whole
-    diagonals; notices may spread over neighbouring diagonals, each at most ``shift``
-    from the one before, and need a share of ``least``; those of up to ``short`` pairs,
-    where one word makes another licence, need all.
+    ``matched`` is the share of the template's pairs that the span follows in order. Base
+    phrases are whole diagonals; notices may spread over neighbouring diagonals and need a
+    share of ``least``; those of up to ``short`` pairs, where one word makes another licence,
+    need all. Spans of one template that begin within one another are one place, the best.
     """
     key = ["id", "text_hash", "template", "label", "base", "n_pairs"]
     # Votes are counted first, so a diagonal is one row however long it is; rows that repeat vote once.
@@ -104,15 +108,29 @@ def spans(docs: DataFrame, *, shift: int = 3, least: float = 0.8, short: int = 8
     votes = saved(votes, "license-votes")
     whole = votes.where(F.col("base") & (F.bit_count("seen") == F.col("n_pairs")))
     whole = whole.select(*key[:5], F.col("diagonal").alias("start"), F.lit(1.0).alias("matched"))
+    need = F.when(F.col("n_pairs") <= short, 1.0).otherwise(least) * F.col("n_pairs")
     by = Window.partitionBy(*key).orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > shift, F.lit(True))
     group = F.sum(far.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    merged = votes.where(~F.col("base")).withColumn("g", group).groupBy(*key, "g")
-    merged = merged.agg(F.min("diagonal").alias("start"), F.bit_or("seen").alias("seen"))
-    share = F.bit_count("seen") / F.col("n_pairs")
-    merged = merged.select(*key, "start", share.alias("matched"))
-    merged = merged.where(F.col("matched") >= F.when(F.col("n_pairs") <= short, 1.0).otherwise(least)).drop("n_pairs")
-    return whole.unionByName(merged)
+    merged = votes.where(~F.col("base")).withColumn("g", group)
+    merged = merged.withColumn("all", F.bit_count(F.bit_or("seen").over(Window.partitionBy(*key, "g")))).where(F.col("all") >= need)
+    at = merged.withColumn("t", F.explode(F.expr("filter(sequence(0, n_pairs - 1), i -> getbit(seen, i) = 1)"))).withColumn("p", F.col("diagonal") + F.col("t"))
+    reach = F.col("n_pairs") + F.floor(F.col("n_pairs") / 4) + shift
+    longest = 64 + 16 + shift
+    hit = F.struct("p", F.col("t").cast("long").alias("t"), F.lit(1).cast("long").alias("n"))
+    ahead = F.array_sort(F.collect_list(hit).over(Window.partitionBy(*key, "g").orderBy("p").rangeBetween(0, longest)))
+    at = at.withColumns({"own": hit, "reach": reach, "ahead": ahead})
+    followed = F.expr(
+        f"""aggregate(filter(ahead, x -> x.p <= own.p + reach), own, (s, x) ->
+        if(x.p > s.p and x.t > s.t and abs((x.p - x.t) - (s.p - s.t)) <= {shift}, struct(x.p as p, x.t as t, s.n + 1 as n), s)).n"""
+    )
+    # A span that begins too late in the template cannot follow enough of it.
+    at = at.where(F.col("n_pairs") - F.col("t") >= need).withColumn("n", followed).where(F.col("n") >= need)
+    place = Window.partitionBy(*key, "g").orderBy("p", "t")
+    new = F.coalesce(F.col("p") - F.lag("p").over(place) > F.col("reach"), F.lit(True))
+    at = at.withColumn("place", F.sum(new.cast("int")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    places = at.groupBy(*key, "g", "place").agg(F.min("diagonal").alias("start"), (F.max("n") / F.first("n_pairs")).alias("matched"))
+    return whole.unionByName(places.select(*key[:5], "start", "matched"))
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -147,11 +165,12 @@ def oracle(shift: int = 3, least: float = 0.8, short: int = 8) -> str:
     t as (select phrase, label, base, string_split(phrase, ' ') as tw from (values {phrases}) v(phrase, label, base)),
     tp as (select phrase, label, base, len(tw) - 1 as n, i as t, tw[i + 1] as a, tw[i + 2] as b from t, unnest(range(len(tw) - 1)) u(i)),
     p as (select doc_id, i as p, w[i + 1] as a, w[i + 2] as b from d, unnest(range(len(w) - 1)) u(i)),
-    v as (select doc_id, phrase, label, base, n, p - t as g, bit_or(1::bigint << t::int) as seen from p join tp using (a, b) group by all),
-    m as (select *, sum(far) over (partition by doc_id, phrase, base order by g) as c from
-        (select *, case when g - lag(g) over (partition by doc_id, phrase, base order by g) <= {shift} then 0 else 1 end as far from v where not base)),
-    s as (select doc_id, label, base, g as start, 1.0::double as matched from v where base and bit_count(seen) = n
-        union all select * exclude (n) from (select doc_id, label, base, min(g) as start, bit_count(bit_or(seen))::double / n as matched, n from m group by doc_id, phrase, label, base, n, c) where matched >= case when n <= {short} then 1 else {least} end),
+    h as (select doc_id, phrase, label, base, n, p, t from p join tp using (a, b)),
+    b as (select doc_id, label, base, p - t as start, 1.0::double as matched from h where base group by doc_id, phrase, label, base, n, p - t having count(distinct t) = n),
+    k as (select *, case when n <= {short} then n else {least} * n end as need, n + n // 4 + {shift} as reach from h where not base),
+    o as (select x.*, (select list({{'p': y.p, 't': y.t, 'n': 1::bigint}} order by y.p, y.t) from k y where y.doc_id = x.doc_id and y.phrase = x.phrase and y.p between x.p and x.p + x.reach) as ahead from k x where n - t >= need),
+    q as (select *, list_reduce(ahead, lambda s, y: case when y.p > s.p and y.t > s.t and abs((y.p - y.t) - (s.p - s.t)) <= {shift} then {{'p': y.p, 't': y.t, 'n': s.n + 1}} else s end, {{'p': p, 't': t, 'n': 1::bigint}}).n as got from o),
+    s as (select * from b union all select doc_id, label, base, p - t, got::double / n from q where got >= need),
     f as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
         coalesce(array_to_string(list_sort(list_distinct(list(label) filter (base))), ','), '') as base_labels,
         array_to_string(list_sort(list_distinct(list(label))), ',') as labels, max(matched) as score from s group by doc_id)
