@@ -133,6 +133,20 @@ def test_exact_equals_brute_force(spark):
     check_exact(spark.createDataFrame([(1, "a b"), (1, "ab "), (1, "a b"), (2, "ab"), (None, "q "), (None, "q ")], "doc_id long, text string"))
 
 
+def test_a_third_of_all_rows_under_one_id_and_text(spark):
+    rows = spark.range(0, 3000, 1, 6).selectExpr(
+        "case when id % 3 = 0 then 7 when id % 3 = 1 then id else null end as doc_id",
+        "case when id % 3 = 0 then 'the  same text' when id % 3 = 1 then 'text ' || id % 50 else 'no id' end as text", "id as other", "'x' as sha_key", "'y' as nth",
+    )
+    out = exact_dedup.unique(rows, hot_rows=100).collect()
+    assert sorted(map(str, (r.text for r in out))) == sorted({"the  same text", "no id", *(f"text {k}" for k in range(50))})
+    whole = {(r.doc_id, r.text, r.other, r.sha_key, r.nth) for r in rows.collect()}
+    assert exact_dedup.unique(rows).columns == rows.columns and all(tuple(r) in whole for r in out)
+    assert {r.doc_id for r in out if r.text.startswith("text")} == {min(i for i in range(1, 3000, 3) if i % 50 == k) for k in range(50)}
+    few = exact_dedup.unique(rows.where("other < 300")).collect()
+    assert len(few) == 52
+
+
 def test_bytes_decide_under_one_digest(spark):
     rows = [("ab", b"1", 2), ("ab", b"1", 2), ("cd", b"2", 2), ("ce", b"3", 2), ("cf", b"3", 2)]
     texts = spark.createDataFrame(rows, "normal string, sha binary, n_bytes int")

@@ -211,13 +211,15 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def unique(docs: DataFrame, **options) -> DataFrame:
+def unique(docs: DataFrame, *, hot_rows: int = 256, **options) -> DataFrame:
     """The rows that stay, with all their columns; of rows with one id and text, any one.
 
     Documents meet the rows that stay by id, digest and length together, so the copies of
-    one text are dealt over all tasks.
+    one text are dealt over all tasks. Rows that repeat an id and text are hot where they are
+    more than ``hot_rows`` and a 4096th of all: there can be no more than 4096 such keys, which
+    are broadcast, and each task keeps one row of each before any are dealt.
     """
-    _, groups, _ = exact_groups(docs, **options)
+    rows, groups, total = exact_groups(docs, **options)
     keys = fresh(docs, "id_key", "sha_key", "n_key")
     nth = fresh(docs, "nth")[0]
 
@@ -228,7 +230,18 @@ def unique(docs: DataFrame, **options) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     sha = F.unhex(F.sha2(F.encode(F.translate(text, SPACES, ""), "utf-8"), 256))
     keyed = docs.select(*(docs[c] for c in docs.columns), key_of(docs["doc_id"]), sha.alias(keys[1]), F.length(text).alias(keys[2]))
-    left = keyed.join(stay, keys, "left_semi")
-    # The join has dealt the rows by these keys, so the ranking needs no shuffle of its own.
+    same = keys[:2]
+    often = rows.groupBy(key_of(F.col("id")), F.col("sha").alias(keys[1])).count().where(F.col("count") > max(hot_rows, total // 4096))
+    often = saved(often.select(*same), "exact-repeats")
+    if often.isEmpty():
+        return one_of_each_key(keyed.join(stay, keys, "left_semi"), keys, nth).select(*docs.columns)
+    hot = keyed.join(F.broadcast(often), same, "left_semi").groupBy(*keys).agg(F.first(F.struct(*docs.columns)).alias(nth))
+    hot = hot.join(stay, keys, "left_semi").select(F.col(nth).alias("row")).select(*(F.col(f"row.{c}") for c in docs.columns))
+    cold = keyed.join(F.broadcast(often), same, "left_anti").join(stay, keys, "left_semi")
+    return one_of_each_key(cold, keys, nth).select(*docs.columns).unionByName(hot)
+
+
+def one_of_each_key(rows: DataFrame, keys: list[str], nth: str) -> DataFrame:
+    """One row of each key, of rows that a join has dealt by ``keys``: the ranking needs no shuffle of its own."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[2]))
-    return left.withColumn(nth, first).where(F.col(nth) == 1).select(*docs.columns)
+    return rows.withColumn(nth, first).where(F.col(nth) == 1)

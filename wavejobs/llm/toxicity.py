@@ -127,7 +127,7 @@ def gram_counts(docs: DataFrame, known: DataFrame, text_col: str = "text") -> Da
         for part in in_slices(batches, 128):
             held.append(counted([t or "" for t in part.column(0).to_pylist()], part.column(1).to_numpy()))
             rows += len(held[-1][0])
-            if rows > 400_000:
+            if rows > 200_000:
                 held = [summed(*(np.concatenate(x) for x in zip(*held)))]
                 rows = len(held[0][0])
         if held:
