@@ -62,10 +62,14 @@ class WordTokenizer:
     pieces are held, and what a text adds.
     """
 
-    def __init__(self, path: str, cached_words: int = 60_000):
+    def __init__(self, path: str, cached_words: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.by_words, self.cached_words = self._splits_plainly(), cached_words
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of all known words."""
         self.words, self.pieces = Known(self._word, {}), Known(self._piece, {})
 
     def _splits_plainly(self) -> bool:
@@ -106,7 +110,7 @@ class WordTokenizer:
 
 @cache
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer, with the words it knows, for all tasks of a Python worker."""
+    """One tokenizer for all tasks of a Python worker; each task lets go of the words that it has learned."""
     return WordTokenizer(path)
 
 
@@ -181,6 +185,7 @@ def pack(
                         windows = [w for w in windows if w is not best]
                         emit(best[1])
             yield out.take()
+        tokenizer.forget()
         for _, pieces in windows:
             emit(pieces, True)
         if out:
