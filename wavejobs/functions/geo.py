@@ -95,11 +95,11 @@ def by_bisection(rounds: int = 60) -> str:
     return let(done, p=place)
 
 
-def with_geodesic(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Column, *, azimuth: str = "azimuth_deg", distance: str = "distance_m", rounds: int = 6) -> DataFrame:
+def with_geodesic(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Column, *, azimuth: str = "azimuth_deg", distance: str = "distance_m", rounds: int = 4) -> DataFrame:
     """``df`` with the forward azimuth at the first point (degrees) and the distance (metres) on WGS84, null where an end is null.
 
     A fixed number of rounds of Vincenty's inverse formulae, as columns; the few pairs that
-    have not settled then (nearly antipodal ones) are solved by bisection. Equal points have
+    have not settled then (far ones, nearly antipodal ones above all) are solved by bisection. Equal points have
     distance and azimuth 0.
     """
     asked = df.columns
@@ -111,7 +111,7 @@ def with_geodesic(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2:
         rows = rows.withColumns({"_s0": F.expr("if(_ss > 0, _c1 * _c2 * sin(_l) / _ss, 0D)"), "_sg": F.expr("atan2(_ss, _cs)")})
         rows = rows.withColumns({"_c0": F.expr("1 - _s0 * _s0"), "_cm": F.expr("if(1 - _s0 * _s0 > 0, _cs - 2 * _s1 * _s2 / (1 - _s0 * _s0), 0D)")})
         rows = rows.withColumns({"_was": F.col("_l"), "_l": F.expr(f"_gl + {longitude_less('_s0', '_c0', '_sg', '_ss', '_cs', '_cm', LONGITUDE_TERM.format('_c0'))}")})
-    settled = "abs(_l - _was) < 1e-12 and abs(_l) <= pi()"
+    settled = "abs(_l - _was) < 1e-10 and abs(_l) <= pi()"
     near = f"struct(atan2(_c2 * sin(_l), _c1 * _s2 - _s1 * _c2 * cos(_l)) as azimuth, {arc_metres('_c0', '_sg', '_ss', '_cs', '_cm')} as metres)"
     found = F.expr(f"case when _same then struct(0D as azimuth, 0D as metres) when {settled} then {near} when _gl is not null and _g1 is not null and _g2 is not null then {by_bisection()} end")
     rows = rows.withColumn("_found", found)

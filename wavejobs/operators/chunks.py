@@ -34,11 +34,16 @@ def with_neighbours(rows: DataFrame, columns: tuple[str, ...], *, width_us: int
     the ends of each. ``rows`` is evaluated twice, for the ends without its other columns.
     """
     rows = chunked(rows, width_us)
-    at = F.struct(TIME, *columns)
-    order = F.struct(TIME, *(c for c in (TIE,) if c in rows.columns))
+    names = tuple(dict.fromkeys((TIME, *columns)))
+    at = F.struct(*names)
     by_chunk = Window.partitionBy(ID).orderBy(CHUNK)
-    ends = rows.groupBy(ID, CHUNK).agg(F.min_by(at, order).alias("first"), F.max_by(at, order).alias("last"))
-    ends = saved(ends.select(ID, CHUNK, F.lag("last").over(by_chunk).alias("_before"), F.lead("first").over(by_chunk).alias("_after")), "chunk-ends")
+    # One number for time and obs_index, and one aggregate for each column, so that no task sorts its rows for this.
+    order = F.coalesce(F.unix_micros(TIME), F.lit(-(10**17)))
+    if TIE in rows.columns:
+        order = F.expr(f"cast(coalesce(unix_micros({TIME}), {-(10**17)}) as decimal(18,0)) * cast(1e19 as decimal(20,0)) + cast(coalesce({TIE}, 0) as decimal(19,0))")
+    ends = rows.withColumn("_order", order).groupBy(ID, CHUNK).agg(*(f(c, "_order").alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in names))
+    end = lambda n: F.struct(*(F.col(f"{n}_{c}").alias(c) for c in names))
+    ends = saved(ends.select(ID, CHUNK, F.lag(end("last")).over(by_chunk).alias("_before"), F.lead(end("first")).over(by_chunk).alias("_after")), "chunk-ends")
     w = in_chunk(rows)
     near = rows.withColumns({"_last": F.lag(at).over(w), "_next": F.lead(at).over(w)}).join(small(ends, 200_000), [ID, CHUNK], "left")
     near = near.withColumns({"_last": F.coalesce("_last", "_before"), "_next": F.coalesce("_next", "_after")})
