@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from math import radians, sin
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_RADIUS_M = 6_371_000.0
 # Semi-major axis and flattening of WGS84.
@@ -43,79 +46,102 @@ def chord_to_metres(chord: Column) -> Column:
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.greatest(chord / 2, F.lit(0.0)), F.lit(1.0)))
 
 
-def let(body: str, **values: str) -> str:
-    """SQL of ``body`` with names for values, each computed once; a value may use the names before it."""
-    for name, value in reversed(values.items()):
-        body = f"transform(array({value}), {name} -> {body})[0]"
-    return body
-
-
-# Vincenty's series: of the squared cosine of the azimuth at the equator.
-LONGITUDE_TERM = f"({WGS84_F!r} / 16 * {{0}} * (4 + {WGS84_F!r} * (4 - 3 * {{0}})))"
-SECOND_ECCENTRICITY = (2 - WGS84_F) * WGS84_F / (1 - WGS84_F) ** 2
-WGS84_B = WGS84_A * (1 - WGS84_F)
-
-
-def longitude_less(s0: str, c0: str, sg: str, ss: str, cs: str, cm: str, c: str) -> str:
-    """How far the longitude on the auxiliary sphere is ahead of the ellipsoid's."""
-    return f"((1 - {c}) * {WGS84_F!r} * {s0} * ({sg} + {c} * {ss} * ({cm} + {c} * {cs} * (2 * {cm} * {cm} - 1))))"
-
-
-def arc_metres(c0: str, sg: str, ss: str, cs: str, cm: str) -> str:
-    """Metres along an arc ``sg`` of the auxiliary sphere."""
-    big = "1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))"
-    less = "k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))"
-    turn = f"q * {ss} * ({cm} + q / 4 * ({cs} * (2 * {cm} * {cm} - 1) - q / 6 * {cm} * (4 * {ss} * {ss} - 3) * (4 * {cm} * {cm} - 3)))"
-    return let(f"{WGS84_B!r} * ({big}) * ({sg} - {turn})", k=f"({c0}) * {SECOND_ECCENTRICITY!r}", q=less)
-
-
-def by_bisection(rounds: int = 60) -> str:
-    """SQL of struct<azimuth, metres> from ``_g1``, ``_g2`` (reduced latitudes) and ``_gl`` (difference of longitude), all radians.
+def by_bisection(turn: np.ndarray, u1: np.ndarray, u2: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Forward azimuth (degrees) and distance, from the difference of longitude and the reduced latitudes in radians.
 
     The longitude reached from the point that is farther from the equator, put in the south,
     grows with the azimuth there, for nearly antipodal points too; so the azimuth is halved
     to. Ends and signs are put back after that.
     """
-    at = {
-        "s0": "sin(a) * p.c1", "ca": "cos(a) * p.c1", "cb": "sqrt(greatest(0D, ca * ca + (p.s1 - p.s2) * (p.s1 + p.s2)))",
-        "n1": "hypot(p.s1, ca)", "n2": "hypot(p.s2, cb)", "m1": "hypot(s0 * p.s1, ca)", "m2": "hypot(s0 * p.s2, cb)",
-        "sg": "atan2(greatest(0D, (ca * p.s2 - p.s1 * cb) / (n1 * n2)), (ca * cb + p.s1 * p.s2) / (n1 * n2))",
-        "om": "atan2(greatest(0D, s0 * (ca * p.s2 - p.s1 * cb) / (m1 * m2)), (ca * cb + s0 * s0 * p.s1 * p.s2) / (m1 * m2))",
-        "cm": "(ca * cb - p.s1 * p.s2) / (n1 * n2)", "c0": "1 - s0 * s0", "c": LONGITUDE_TERM.format("c0"),
-    }
-    reached = let(f"om - {longitude_less('s0', 'c0', 'sg', 'sin(sg)', 'cos(sg)', 'cm', 'c')}", a="(h.lo + h.hi) / 2", **at)
-    halved = f"aggregate(sequence(1, {rounds}), struct(0D as lo, pi() as hi), (h, i) -> if({reached} > p.turn, struct(h.lo as lo, (h.lo + h.hi) / 2 as hi), struct((h.lo + h.hi) / 2 as lo, h.hi as hi)), h -> (h.lo + h.hi) / 2)"
-    # Of the way from the first end to the second: at the end that was farther from the equator, or at the other.
-    east, north = "if(p.swapped, s0, sin(a) * p.c1)", "if(p.swapped, -cb, ca)"
-    done = let(f"struct(atan2(p.east * if(p.swapped, -1, 1) * {east}, p.north * {north}) as azimuth, {arc_metres('c0', 'sg', 'sin(sg)', 'cos(sg)', 'cm')} as metres)", a=halved, **at)
-    south = "if(abs(_g2) > abs(_g1), _g2, _g1)"
-    other = "if(abs(_g2) > abs(_g1), _g1, _g2)"
-    sign = f"if({south} > 0, -1, 1)"
-    place = f"struct(abs(_g2) > abs(_g1) as swapped, {sign} as north, if(_gl < 0, -1, 1) as east, abs(_gl) as turn, least(-1e-160D, {sign} * sin({south})) as s1, cos({south}) as c1, {sign} * sin({other}) as s2, cos({other}) as c2)"
-    return let(done, p=place)
-
-
-def with_geodesic(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Column, *, azimuth: str = "azimuth_deg", distance: str = "distance_m", rounds: int = 4) -> DataFrame:
+    swapped = np.abs(u2) > np.abs(u1)
+    a, b = np.where(swapped, u2, u1), np.where(swapped, u1, u2)
+    north, east = np.where(a > 0, -1.0, 1.0), np.where(turn < 0, -1.0, 1.0)
+    s1, c1, s2 = np.minimum(-1e-160, north * np.sin(a)), np.cos(a), north * np.sin(b)
+
+    def arc(alpha: np.ndarray) -> tuple:
+        """On the auxiliary sphere: sine at the equator, cosines towards north at both ends (times those of latitude), arc, its middle's cosine, longitude reached."""
+        s0, ca = np.sin(alpha) * c1, np.cos(alpha) * c1
+        cb = np.sqrt(np.maximum(0.0, ca * ca + (s1 - s2) * (s1 + s2)))
+        n, m = np.hypot(s1, ca) * np.hypot(s2, cb), np.hypot(s0 * s1, ca) * np.hypot(s0 * s2, cb)
+        sigma = np.arctan2(np.maximum(0.0, (ca * s2 - s1 * cb) / n), (ca * cb + s1 * s2) / n)
+        omega = np.arctan2(np.maximum(0.0, s0 * (ca * s2 - s1 * cb) / m), (ca * cb + s0 * s0 * s1 * s2) / m)
+        middle, c0 = (ca * cb - s1 * s2) / n, 1 - s0 * s0
+        c = WGS84_F / 16 * c0 * (4 + WGS84_F * (4 - 3 * c0))
+        ahead = (1 - c) * WGS84_F * s0 * (sigma + c * np.sin(sigma) * (middle + c * np.cos(sigma) * (2 * middle**2 - 1)))
+        return s0, ca, cb, sigma, middle, omega - ahead
+
+    low, high, want = np.zeros(len(turn)), np.full(len(turn), np.pi), np.abs(turn)
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            half = (low + high) / 2
+            over = arc(half)[-1] > want
+            low, high = np.where(over, low, half), np.where(over, half, high)
+        s0, ca, cb, sigma, middle, _ = arc((low + high) / 2)
+    b_axis = WGS84_A * (1 - WGS84_F)
+    k = (1 - s0 * s0) * (WGS84_A**2 - b_axis**2) / b_axis**2
+    big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    ss, cs = np.sin(sigma), np.cos(sigma)
+    fix = small * ss * (middle + small / 4 * (cs * (2 * middle**2 - 1) - small / 6 * middle * (4 * ss**2 - 3) * (4 * middle**2 - 3)))
+    azimuth = np.arctan2(east * np.where(swapped, -s0, s0), north * np.where(swapped, -cb, ca))
+    return np.degrees(azimuth), b_axis * big * (sigma - fix)
+
+
+def inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
+    """Forward azimuth (degrees) and distance (metres) on WGS84, by Vincenty's inverse formulae.
+
+    Equal points have distance 0 and azimuth 0; pairs that do not settle (nearly antipodal
+    ones) are solved by bisection.
+    """
+    lon1, lat1, lon2, lat2 = (np.radians(np.asarray(x, np.float64)) for x in (lon1, lat1, lon2, lat2))
+    b = WGS84_A * (1 - WGS84_F)
+    u1, u2 = (np.arctan((1 - WGS84_F) * np.tan(x)) for x in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    turn = np.where(np.abs(lon2 - lon1) == np.pi, lon2 - lon1, (lon2 - lon1 + np.pi) % (2 * np.pi) - np.pi)
+    lam, done = turn.copy(), np.zeros(turn.shape, bool)
+    with np.errstate(all="ignore"):
+        for _ in range(20):
+            sl, cl = np.sin(lam), np.cos(lam)
+            sin_sigma = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+            cos_sigma = s1 * s2 + c1 * c2 * cl
+            sigma = np.arctan2(sin_sigma, cos_sigma)
+            sin_alpha = np.where(sin_sigma > 0, c1 * c2 * sl / sin_sigma, 0.0)
+            cos2_alpha = 1 - sin_alpha**2
+            cos_2m = np.where(cos2_alpha > 0, cos_sigma - 2 * s1 * s2 / cos2_alpha, 0.0)
+            c = WGS84_F / 16 * cos2_alpha * (4 + WGS84_F * (4 - 3 * cos2_alpha))
+            new = turn + (1 - c) * WGS84_F * sin_alpha * (sigma + c * sin_sigma * (cos_2m + c * cos_sigma * (2 * cos_2m**2 - 1)))
+            done = np.abs(new - lam) < 1e-13
+            lam = new
+            done &= np.abs(lam) <= np.pi
+            if (done | ~np.isfinite(lam)).all():
+                break
+        k = cos2_alpha * (WGS84_A**2 - b**2) / b**2
+        big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+        small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+        fix = small * sin_sigma * (cos_2m + small / 4 * (cos_sigma * (2 * cos_2m**2 - 1) - small / 6 * cos_2m * (4 * sin_sigma**2 - 3) * (4 * cos_2m**2 - 3)))
+        distance = np.where(done, b * big * (sigma - fix), np.nan)
+        azimuth = np.where(done, np.degrees(np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))), np.nan)
+    far = ~done & np.isfinite(turn) & np.isfinite(u1) & np.isfinite(u2)
+    if far.any():
+        azimuth[far], distance[far] = by_bisection(turn[far], u1[far], u2[far])
+    same = (lon1 == lon2) & (lat1 == lat2)
+    return np.where(same, 0.0, azimuth), np.where(same, 0.0, distance)
+
+
+def with_geodesic(df: DataFrame, lon1: Column, lat1: Column, lon2: Column, lat2: Column, *, azimuth: str = "azimuth_deg", distance: str = "distance_m") -> DataFrame:
     """``df`` with the forward azimuth at the first point (degrees) and the distance (metres) on WGS84, null where an end is null.
 
-    A fixed number of rounds of Vincenty's inverse formulae, as columns; the few pairs that
-    have not settled then (far ones, nearly antipodal ones above all) are solved by bisection. Equal points have
-    distance and azimuth 0.
+    Rows go through Arrow and are computed in batches: the same rounds as columns, in
+    generated code too long to be compiled, took several times as long.
     """
-    asked = df.columns
-    reduced = lambda lat: F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
-    rows = df.withColumns({"_g1": reduced(lat1), "_g2": reduced(lat2), "_gl": F.radians(shortest_turn(lon1, lon2)), "_same": (lon1 == lon2) & (lat1 == lat2)})
-    rows = rows.selectExpr("*", "sin(_g1) as _s1", "cos(_g1) as _c1", "sin(_g2) as _s2", "cos(_g2) as _c2", "_gl as _l", "_gl as _was")
-    for _ in range(rounds + 1):
-        rows = rows.withColumns({"_ss": F.expr("hypot(_c2 * sin(_l), _c1 * _s2 - _s1 * _c2 * cos(_l))"), "_cs": F.expr("_s1 * _s2 + _c1 * _c2 * cos(_l)")})
-        rows = rows.withColumns({"_s0": F.expr("if(_ss > 0, _c1 * _c2 * sin(_l) / _ss, 0D)"), "_sg": F.expr("atan2(_ss, _cs)")})
-        rows = rows.withColumns({"_c0": F.expr("1 - _s0 * _s0"), "_cm": F.expr("if(1 - _s0 * _s0 > 0, _cs - 2 * _s1 * _s2 / (1 - _s0 * _s0), 0D)")})
-        rows = rows.withColumns({"_was": F.col("_l"), "_l": F.expr(f"_gl + {longitude_less('_s0', '_c0', '_sg', '_ss', '_cs', '_cm', LONGITUDE_TERM.format('_c0'))}")})
-    settled = "abs(_l - _was) < 1e-10 and abs(_l) <= pi()"
-    near = f"struct(atan2(_c2 * sin(_l), _c1 * _s2 - _s1 * _c2 * cos(_l)) as azimuth, {arc_metres('_c0', '_sg', '_ss', '_cs', '_cm')} as metres)"
-    found = F.expr(f"case when _same then struct(0D as azimuth, 0D as metres) when {settled} then {near} when _gl is not null and _g1 is not null and _g2 is not null then {by_bisection()} end")
-    rows = rows.withColumn("_found", found)
-    return rows.select(*asked, F.degrees("_found.azimuth").alias(azimuth), F.col("_found.metres").alias(distance))
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        degrees, metres = inverse(a, b, c, d)
+        return pd.DataFrame({"azimuth_deg": degrees, "distance_m": metres})
+
+    kind = T.StructType([T.StructField("azimuth_deg", T.DoubleType()), T.StructField("distance_m", T.DoubleType())])
+    rows = df.withColumn("_geodesic", F.pandas_udf(run, kind)(lon1, lat1, lon2, lat2))
+    return rows.select(*df.columns, not_nan(F.col("_geodesic.azimuth_deg")).alias(azimuth), not_nan(F.col("_geodesic.distance_m")).alias(distance))
 
 
 def cube_side(max_distance_m: float) -> float:
