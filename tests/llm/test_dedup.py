@@ -3,8 +3,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wavejobs.llm import exact_dedup, simhash
 from wavejobs.llm.components import components
@@ -148,17 +148,28 @@ def test_a_third_of_all_rows_under_one_id_and_text(spark):
 
 
 def test_bytes_decide_under_one_digest(spark):
-    rows = [("ab", b"1", 2), ("ab", b"1", 2), ("cd", b"2", 2), ("ce", b"3", 2), ("cf", b"3", 2)]
-    texts = spark.createDataFrame(rows, "normal string, sha binary, n_bytes int")
-    groups = lambda df: df.select("sha", "n_bytes").distinct()
-    equal = texts.where("normal in ('ab', 'cd')")
-    for most in (1, 10):
-        exact_dedup.check_bytes(equal, groups(equal), most)
-        with pytest.raises(ValueError):
-            exact_dedup.check_bytes(texts, groups(texts), most)
-    # Texts outside the groups are not compared where the groups are broadcast.
-    exact_dedup.check_bytes(texts, groups(equal), 10)
-    exact_dedup.check_bytes(texts.limit(0), groups(texts.limit(0)))
+    """With a digest of four values most groups hold several texts, which must stay apart."""
+    weak = lambda normal: F.encode((F.crc32(normal) % 4).cast("string"), "utf-8")
+    rows = [(i, w * (1 + i % 2)) for i, w in enumerate(["ab", "cd", "ef", "a b", "gh", "ij", "ab", "c d ", "kl", "mn", "ab"] * 4)]
+    df = spark.createDataFrame([*rows, (None, "ab"), (3, None), (4, " "), (7, "cdcd"), (7, "cdcd")], "doc_id long, text string").withColumn("nth", F.lit("x"))
+    for docs in (df, awkward(spark), spark.read.parquet(f"{SF}/documents.parquet"), empty(spark)):
+        want = brute_exact([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        got = exact_dedup.report(docs, digest=weak, bucket_keys=16).collect()
+        key = lambda t: (t[0] is None, t[0] or 0, t[1] is None, t[1] or 0, *t[2:4])
+        assert sorted((tuple(r)[:4] for r in got), key=key) == sorted((w[:4] for w in want), key=key)
+        out = exact_dedup.unique(docs, digest=weak, bucket_keys=16)
+        plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        kept = sorted((str(r.doc_id), hashlib.sha256(plain(r.text).encode()).hexdigest()) for r in out.collect())
+        assert out.columns == docs.columns and kept == sorted((str(w[0]), w[4]) for w in want if w[3])
+
+
+def test_screen_of_texts_loses_none(spark):
+    texts = spark.range(20_000).select(F.col("id"), F.xxhash64("id").alias("key"))
+    groups = texts.where("id % 10 = 0").select("key")
+    for bits, most in ((26, 2100), (14, 6000), (6, 20_000)):
+        got = {r.id for r in exact_dedup.screened_texts(texts, groups, bits).collect()}
+        assert got >= set(range(0, 20_000, 10)) and len(got) <= most
+    assert exact_dedup.screened_texts(texts, groups.limit(0)).count() == 0
 
 
 def test_fuse_filter_has_no_false_negatives():

@@ -8,11 +8,14 @@ snapshot; a positive joins its exact bucket, where the bytes are checked.
 
 Groups are formed by SHA-256 and length of the normalised text, without a shuffle of
 texts. Then the bytes themselves are compared for every group of two rows or more: the
-texts are read again, each task keeps one copy of each different text, and only these
-are shuffled. Texts that differ under one digest and length would be an error that stops
-the job; none is ever merged. ``unique`` reads and shuffles texts once more, to meet the
-rows that stay. A group of copies is pre-aggregated to one row in each task, so a group
-with a third of all rows is no load for any task.
+texts are read again and screened by a bitmap of these groups' digests, at most
+``2 ** 20`` words of 64 bits, so its broadcast is bounded; each task keeps one copy of each
+different text that passes, and only these are shuffled. The plan is the same at every
+size: with more groups than bits the bitmap lets more texts of single rows pass, which costs
+shuffle and changes no result. Different texts under one digest and length are groups of
+their own. ``unique`` reads and shuffles texts once more, to meet the rows that stay. A
+group of copies is pre-aggregated to one row in each task, so a group with a third of all
+rows is no load for any task.
 
 Cases: a null text counts as empty; texts of white space only are equal to it; of equal
 texts the longest original stays, then the smallest id (null ids last), of rows with one id
@@ -22,7 +25,7 @@ and length any one; repeated rows form one group; an empty table gives an empty
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -111,33 +114,57 @@ class BinaryFuseFilter:
         return self.prints(h) == self.cells[s[0]] ^ self.cells[s[1]] ^ self.cells[s[2]]
 
 
-def normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_chars, normal, sha binary, n_bytes) of each row: its normalised text and that text's digest."""
+def sha256(normal: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normal, "utf-8"), 256))
+
+
+def normalised(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """(id, n_chars, normal, sha binary, n_bytes, key long) of each row: its normalised text and that text's digest."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     normal = F.translate(text, SPACES, "")
     rows = docs.select(F.col(id_col).alias("id"), F.length(text).alias("n_chars"), normal.alias("normal"))
-    return rows.select("*", F.unhex(F.sha2(F.encode("normal", "utf-8"), 256)).alias("sha"), F.octet_length("normal").alias("n_bytes"))
+    return rows.select("*", digest(F.col("normal")).alias("sha"), F.octet_length("normal").alias("n_bytes")).withColumn("key", F.xxhash64("sha"))
+
+
+def screened_texts(texts: DataFrame, groups: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of ``texts(key, …)`` whose digest may be that of one of ``groups(key)``; none of theirs is lost.
+
+    A digest is a place in ``2 ** bits`` bits; the words of 64 bits in which any is set are broadcast.
+    """
+    place = F.pmod("key", F.lit(1 << bits))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(key, {1 << bits}) & 63 as int))")
+    held = saved(groups.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask")), "digest-bitmap")
+    met = texts.withColumn("word", word).join(F.broadcast(held), "word")
+    return met.where(F.col("mask").bitwiseAND(bit) != 0).drop("word", "mask")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_chars, sha binary, n_bytes, key long) of each row's normalised text."""
-    return normalised(docs, id_col, text_col).drop("normal").withColumn("key", F.xxhash64("sha"))
+def clashes(texts: DataFrame, groups: DataFrame, bits: int = 26) -> DataFrame:
+    """(sha, n_bytes) under which ``texts(normal, sha, n_bytes, key)`` of ``groups(key)`` are not all the same bytes."""
+    same = ["sha", "n_bytes"]
+    different = screened_texts(texts, groups, bits).select(*same, "normal").distinct()
+    return different.groupBy(*same).count().where("count > 1").select(*same)
+
+
+def best_row() -> Column:
+    """What orders the rows of a group: the longest, then the smallest id, null ids last."""
+    return F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
 
 
-def check_bytes(texts: DataFrame, groups: DataFrame, most: int = 500_000) -> None:
-    """Raise unless all ``texts(normal, sha, n_bytes)`` of each of ``groups(sha, n_bytes)`` are the same bytes.
+def regrouped(rows: DataFrame, groups: DataFrame, texts: DataFrame, clashing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``groups`` with those of ``clashing`` digests grouped by their texts.
 
-    Up to ``most`` groups are broadcast, so that only their texts are shuffled; with more,
-    each different text is shuffled once, without a join.
+    A number for each different text is put behind the digest. Rows of such digests are read
+    and numbered anew from ``texts``; their texts, and no others, are shuffled.
     """
     same = ["sha", "n_bytes"]
-    if (n := groups.count()) == 0:
-        return
-    if n <= most:
-        texts = texts.join(F.broadcast(groups), same, "left_semi")
-    different = texts.select(*same, "normal").distinct()
-    if different.groupBy(*same).count().where("count > 1").first():
-        raise ValueError("different texts have one digest and length")
+    own = saved(texts.join(clashing, same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "clashing-rows")
+    parts = own.groupBy(*same, "normal").agg(F.min(best_row()).alias("keep"), F.count("*").alias("group_size"))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("normal"))
+    parts = saved(parts.withColumn("tag", F.concat("sha", F.encode(nth.cast("string"), "utf-8"))), "clashing-groups")
+    tagged = join_groups(own, parts.select(*same, "normal", "tag", "group_size"), [*same, "normal"], "group_size", own.count())
+    rows = rows.join(clashing, same, "left_anti").unionByName(tagged.select("id", "row", F.col("tag").alias("sha"), "n_bytes"))
+    groups = groups.join(clashing, same, "left_anti")
+    return rows, groups.unionByName(parts.select(F.col("tag").alias("sha"), "n_bytes", "keep", "group_size"))
 
 
 def fuse_filters(groups: DataFrame) -> DataFrame:
@@ -167,25 +194,34 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, schema)
 
 
-def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_keys: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """Rows (id, row, sha, n_bytes), groups (sha, n_bytes, keep struct<…, id, row>, group_size), number of rows.
+def exact_groups(
+    docs: DataFrame,
+    *,
+    in_snapshot: Column | None = None,
+    bucket_keys: int = 65_536,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest: Callable[[Column], Column] = sha256,
+) -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
+    """Rows (id, row, sha, n_bytes), groups (sha, n_bytes, keep struct<…, id, row>, group_size), number of rows, clashing digests.
 
     ``in_snapshot`` says which rows are the snapshot; by default half of the ids. The
-    result does not depend on it, only which rows are screened does.
+    result does not depend on it, only which rows are screened does. Clashing digests
+    (sha, n_bytes) are those of several texts, whose ``sha`` here is longer; None if there are none.
     """
-    rows = digests(docs, id_col, text_col)
+    texts = normalised(docs, id_col, text_col, digest)
+    rows = texts.drop("normal")
     if in_snapshot is None:
         in_snapshot = fold("id", 2) == 0
     # Numbers of rows are written with them, so that they stay the same when a task is run again.
     rows = saved(rows.withColumn("old", in_snapshot).withColumn("row", F.monotonically_increasing_id()), "digests")
     total = rows.count()
     buckets = max(1, math.ceil(total / bucket_keys))
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
-    one = rows.groupBy("old", "key", "sha", "n_bytes").agg(F.min(best).alias("keep"), F.count("*").alias("n"))
+    one = rows.groupBy("old", "key", "sha", "n_bytes").agg(F.min(best_row()).alias("keep"), F.count("*").alias("n"))
     one = saved(one.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("long")), "digest-groups")
     snapshot, batch = one.where("old"), one.where(~F.col("old"))
     screened = screen(batch, fuse_filters(snapshot)).where("maybe").select("key", "sha", "n_bytes")
-    # In the exact bucket digest and length decide; what the filter let through in error stays apart.
+    # In the exact bucket what the filter let through in error stays apart.
     held = snapshot.select("key", "sha", "n_bytes", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
     checked = screened.join(held, ["key", "sha", "n_bytes"])
     same = ["sha", "n_bytes"]
@@ -194,33 +230,37 @@ def exact_groups(docs: DataFrame, *, in_snapshot: Column | None = None, bucket_k
     merged = of_batch.where("merged").select(*same)
     of_snapshot = snapshot.join(merged, same, "left_anti").select(*same, "keep", F.col("n").alias("group_size"))
     groups = saved(of_batch.drop("merged").unionByName(of_snapshot), "exact-groups")
-    check_bytes(normalised(docs, id_col, text_col), groups.where("group_size > 1").select(*same))
-    return rows.select("id", "row", *same), groups, total
+    rows = rows.select("id", "row", *same)
+    clashing = saved(clashes(texts, groups.where("group_size > 1").select(F.xxhash64("sha").alias("key"))), "clashing-digests")
+    if clashing.isEmpty():
+        return rows, groups, total, None
+    return *regrouped(rows, groups, texts, clashing), total, clashing
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: the row that stays for it, its group's size and its digest."""
-    rows, groups, total = exact_groups(docs, **options)
+    rows, groups, total, _ = exact_groups(docs, **options)
     found = join_groups(rows, groups, ["sha", "n_bytes"], "group_size", total)
     return found.select(
         F.col("id").alias("doc_id"),
         F.col("keep.id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("keep.row") == F.col("row")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.lower(F.hex(F.substring("sha", 1, 32))).alias("text_sha256"),
     )
 
 
-def unique(docs: DataFrame, *, hot_rows: int = 256, **options) -> DataFrame:
+def unique(docs: DataFrame, *, hot_rows: int = 256, digest: Callable[[Column], Column] = sha256, **options) -> DataFrame:
     """The rows that stay, with all their columns; of rows with one id and text, any one.
 
     Documents meet the rows that stay by id, digest and length together, so the copies of
     one text are dealt over all tasks. Rows that repeat an id and text are hot where they are
     more than ``hot_rows`` and a 4096th of all: there can be no more than 4096 such keys, which
-    are broadcast, and each task keeps one row of each before any are dealt.
+    are broadcast, and each task keeps one row of each before any are dealt. Documents of
+    clashing digests, if there are any, are grouped by their texts.
     """
-    rows, groups, total = exact_groups(docs, **options)
-    keys = fresh(docs, "id_key", "sha_key", "n_key")
+    rows, groups, total, clashing = exact_groups(docs, digest=digest, **options)
+    keys = fresh(docs, "id_key", "sha_key", "n_key", "normal_key", "bytes_key")
     nth = fresh(docs, "nth")[0]
 
     def key_of(doc_id: Column) -> Column:
@@ -228,17 +268,30 @@ def unique(docs: DataFrame, *, hot_rows: int = 256, **options) -> DataFrame:
 
     stay = groups.select(key_of(F.col("keep.id")), F.col("sha").alias(keys[1]), (-F.col("keep.less")).alias(keys[2]))
     text = F.coalesce(docs["text"], F.lit(""))
-    sha = F.unhex(F.sha2(F.encode(F.translate(text, SPACES, ""), "utf-8"), 256))
-    keyed = docs.select(*(docs[c] for c in docs.columns), key_of(docs["doc_id"]), sha.alias(keys[1]), F.length(text).alias(keys[2]))
+    normal = F.translate(text, SPACES, "")
+    length = F.length(text).alias(keys[2])
+    keyed = docs.select(*(docs[c] for c in docs.columns), key_of(docs["doc_id"]), digest(normal).alias(keys[1]), length)
+    apart = None
+    if clashing is not None:
+        clashing = clashing.toDF(keys[1], keys[4])
+        by_bytes = [keys[1], keys[4]]
+        keyed = keyed.withColumns({keys[3]: F.translate(F.coalesce("text", F.lit("")), SPACES, "")}).withColumn(keys[4], F.octet_length(keys[3]))
+        best = F.struct(-F.col(keys[2]), F.col("doc_id").isNull(), F.col("doc_id"))
+        apart = keyed.join(clashing, by_bytes, "left_semi").groupBy(keys[3]).agg(F.min_by(F.struct(*docs.columns), best).alias(nth))
+        keyed = keyed.join(clashing, by_bytes, "left_anti").drop(*keys[3:])
+    keys = keys[:3]
     same = keys[:2]
+    whole = lambda df: df.select(F.col(nth).alias("row")).select(*(F.col(f"row.{c}") for c in docs.columns))
     often = rows.groupBy(key_of(F.col("id")), F.col("sha").alias(keys[1])).count().where(F.col("count") > max(hot_rows, total // 4096))
     often = saved(often.select(*same), "exact-repeats")
-    if often.isEmpty():
-        return one_of_each_key(keyed.join(stay, keys, "left_semi"), keys, nth).select(*docs.columns)
     hot = keyed.join(F.broadcast(often), same, "left_semi").groupBy(*keys).agg(F.first(F.struct(*docs.columns)).alias(nth))
-    hot = hot.join(stay, keys, "left_semi").select(F.col(nth).alias("row")).select(*(F.col(f"row.{c}") for c in docs.columns))
+    hot = hot.join(stay, keys, "left_semi")
     cold = keyed.join(F.broadcast(often), same, "left_anti").join(stay, keys, "left_semi")
-    return one_of_each_key(cold, keys, nth).select(*docs.columns).unionByName(hot)
+    if often.isEmpty():
+        kept = one_of_each_key(keyed.join(stay, keys, "left_semi"), keys, nth).select(*docs.columns)
+    else:
+        kept = one_of_each_key(cold, keys, nth).select(*docs.columns).unionByName(whole(hot))
+    return kept if apart is None else kept.unionByName(whole(apart))
 
 
 def one_of_each_key(rows: DataFrame, keys: list[str], nth: str) -> DataFrame:
