@@ -161,7 +161,8 @@ def test_chunked_windows_equal_windows_over_the_trajectory(spark):
     rows = wandering(spark)
     w = Window.partitionBy("trajectory_id").orderBy("time", "obs_index")
     for hours in (3, 24, 24 * 60):
-        near = chunks.with_neighbours(rows, ("latitude", "obs_index"), width_us=hours * 3_600_000_000)
+        near = chunks.with_neighbours(rows, ("latitude", "obs_index"), width_us=hours * 3_600_000_000, whole_rows=400 if hours == 24 * 60 else 0)
+        assert (chunks.CHUNK in near.columns) == (hours < 24 * 60)
         near = near.withColumns({"a": F.lag("obs_index").over(w), "b": F.lead("obs_index").over(w)})
         assert near.count() == 401 and near.where("not (_last.obs_index <=> a and _next.obs_index <=> b)").isEmpty()
         ranks = chunks.ranked(rows, hours * 3_600_000_000).withColumn("want", F.row_number().over(Window.orderBy("trajectory_id", "time", "obs_index")))
@@ -186,7 +187,9 @@ def test_runs_of_still_rows_reach_over_chunks(spark):
             missing = r.latitude is None or r.time is None
             want[r.obs_index] = 9 if missing else 2 if k == 0 else 4 if still[k] and total >= 12 else 3 if still[k] and total >= 6 else 1
         i = max(j, i + 1)
-    got = {r.obs_index: r.stuck_position_qc for r in quality.with_stuck(rows).where("trajectory_id = 'A'").collect()}
+    cut, whole = ({r.obs_index: r.stuck_position_qc for r in quality.with_stuck(rows, whole_rows=n).where("trajectory_id = 'A'").collect()} for n in (599, 600))
+    got = cut
+    assert cut == whole
     assert got == want and {1, 3, 4, 9} <= set(want.values())
 
 

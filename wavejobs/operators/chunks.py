@@ -1,8 +1,10 @@
 """Trajectories of any length, in chunks of time.
 
-A window over a whole trajectory puts all its rows into one task. Here windows are over a
-trajectory's chunk (a day), and what they need from outside comes from a table with one
-row for each chunk, which is joined to the chunk's rows.
+A window over a whole trajectory puts all its rows into one task. That is the cheapest way
+where a count shows that no trajectory has more than ``WHOLE_ROWS`` rows (ten years of hourly
+ones). Beyond that, windows are over a trajectory's chunk (a day), and what they need from
+outside comes from a table with one row for each chunk, which is joined to the chunk's rows.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,26 +18,41 @@ from .trajectories import ID, TIE, TIME, valid_position
 CHUNK = "_chunk"
 DAY_US = 86_400_000_000
 FIRST = -(2**62)  # the chunk of rows without time, which stand first
+WHOLE_ROWS = 100_000
 
 
 def chunked(rows: DataFrame, width_us: int = DAY_US) -> DataFrame:
     return rows.withColumn(CHUNK, F.coalesce(F.floor(F.unix_micros(TIME) / width_us), F.lit(FIRST)).cast("long"))
 
 
+def fits(rows: DataFrame, most: int) -> bool:
+    """Whether no trajectory has more than ``most`` rows."""
+    return rows.groupBy(ID).count().where(F.col("count") > most).isEmpty()
+
+
+def group_of(rows: DataFrame) -> list[str]:
+    """What a window of ``rows`` is within: the chunk, or the trajectory where it is not cut."""
+    return [ID, CHUNK] if CHUNK in rows.columns else [ID]
+
+
 def in_chunk(rows: DataFrame) -> Window:
     """The order of a trajectory, within its chunk; equal times by obs_index where there is one."""
-    return Window.partitionBy(ID, CHUNK).orderBy(TIME, *(c for c in (TIE,) if c in rows.columns))
+    return Window.partitionBy(*group_of(rows)).orderBy(TIME, *(c for c in (TIE,) if c in rows.columns))
 
 
-def with_neighbours(rows: DataFrame, columns: tuple[str, ...], *, width_us: int = DAY_US) -> DataFrame:
+def with_neighbours(rows: DataFrame, columns: tuple[str, ...], *, width_us: int = DAY_US, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """``rows`` with ``_last`` and ``_next``: time and ``columns`` of the rows before and after in the trajectory, null at its ends.
 
-    A chunk's first and last row get theirs from the chunks before and after, by a table of
-    the ends of each. ``rows`` is evaluated twice, for the ends without its other columns.
+    Where trajectories are cut, ``rows`` also gets its chunk, and a chunk's first and last row
+    get theirs from the chunks before and after, by a table of the ends of each. ``rows`` is
+    evaluated for the count and for the ends too, without its other columns.
     """
-    rows = chunked(rows, width_us)
     names = tuple(dict.fromkeys((TIME, *columns)))
     at = F.struct(*names)
+    if fits(rows, whole_rows):
+        w = in_chunk(rows)
+        return rows.withColumns({"_last": F.lag(at).over(w), "_next": F.lead(at).over(w)})
+    rows = chunked(rows, width_us)
     by_chunk = Window.partitionBy(ID).orderBy(CHUNK)
     # One number for time and obs_index, and one aggregate for each column, so that no task sorts its rows for this.
     order = F.coalesce(F.unix_micros(TIME), F.lit(-(10**17)))
@@ -85,15 +102,17 @@ def with_still_hours(rows: DataFrame, still: Column, hours: Column) -> DataFrame
     """``rows`` of ``with_neighbours`` with ``_hours``: the sum of ``hours`` over the run of consecutive ``still`` rows that a row is in.
 
     A run is known by the number of rows before it that are not still. It is summed within
-    each chunk; for the runs that reach over a chunk's ends, their parts are added up.
+    each chunk (or trajectory); for the runs that reach over a chunk's ends, their parts are added up.
     """
     w = in_chunk(rows).rowsBetween(Window.unboundedPreceding, 0)
-    run = Window.partitionBy(ID, CHUNK, "_run")
+    run = Window.partitionBy(*group_of(rows), "_run")
 
     def runs(df: DataFrame) -> DataFrame:
         df = df.withColumns({"_still": still, "_dt": F.when(still, hours)})
         return df.withColumn("_run", F.sum((~F.col("_still")).cast("long")).over(w))
 
+    if CHUNK not in rows.columns:
+        return runs(rows).withColumn("_hours", F.sum("_dt").over(run)).select(*rows.columns, "_still", "_hours")
     needed = [c for c in (ID, TIME, TIE, CHUNK, "latitude", "longitude", "_last") if c in rows.columns]
     parts = runs(rows.select(*needed)).groupBy(ID, CHUNK, "_run").agg(F.sum("_dt").alias("dt"))
     parts = parts.groupBy(ID, CHUNK).agg(F.max("_run").alias("moves"), F.sum(F.when(F.col("_run") == 0, F.col("dt"))).alias("head"), F.max_by("dt", "_run").alias("tail"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..sources.shared import saved
-from .chunks import CHUNK, with_neighbours, with_still_hours
+from .chunks import CHUNK, WHOLE_ROWS, with_neighbours, with_still_hours
 from .trajectories import ID, TIME
 
 PASS, NOT_EVALUATED, SUSPECT, FAIL, MISSING = 1, 2, 3, 4, 9
@@ -96,9 +96,9 @@ def drift_speed(suspect: float, fail: float, near: Near = BY_WINDOW) -> Column:
     return F.when(missing_place(), MISSING).when(dt.isNull(), NOT_EVALUATED).when((dt == 0) | (speed > fail), FAIL).when(speed > suspect, SUSPECT).when(dt <= 0, FAIL).otherwise(PASS)
 
 
-def with_stuck(df: DataFrame, name: str = "stuck_position_qc", *, metres: float = 50.0, suspect_hours: float = 6.0, fail_hours: float = 12.0) -> DataFrame:
+def with_stuck(df: DataFrame, name: str = "stuck_position_qc", *, metres: float = 50.0, suspect_hours: float = 6.0, fail_hours: float = 12.0, whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Whole runs of steps within ``metres`` are flagged by the time they take together."""
-    rows = df if "_last" in df.columns else with_neighbours(df, ("latitude", "longitude"))
+    rows = df if "_last" in df.columns else with_neighbours(df, ("latitude", "longitude"), whole_rows=whole_rows)
     still = F.coalesce(step_metres(CARRIED) <= metres, F.lit(False))
     rows = with_still_hours(rows, still, seconds_since_last(CARRIED) / 3600)
     hours = F.round("_hours", 9)
@@ -146,8 +146,8 @@ def with_summary(df: DataFrame, flags: list[str] | None = None) -> DataFrame:
 def run_all(df: DataFrame, config: QualityConfig | None = None, *, height_error: str | None = "error_era5_swh", period_error: str | None = "error_era5_pp1d", model_can_fail: bool = False, remove_failed_after: bool = False) -> DataFrame:
     """All tests and their summary; a model test whose error column is absent is left out.
 
-    The rows are written once, as they are read for the tests, for the ends of their chunks
-    and for the runs of still rows. Equal times are in the order of obs_index where there is one.
+    The rows are written once, as they are read for the tests, for the length of trajectories
+    and, where these are cut, for the ends of chunks and the runs of still rows. Equal times are in the order of obs_index where there is one.
     """
     c = config or QualityConfig()
     asked = df.columns
