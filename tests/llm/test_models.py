@@ -460,3 +460,52 @@ def test_language_learns_every_language(spark):
     hot = spark.range(200).selectExpr("9999 as doc_id", "'many copies' as text", "'l0' as lang")
     model = language_id.fit(rows.union(hot), F.lit(False), max_sample=40, cell_bits=8)
     assert len(model.languages) == 550
+
+
+def test_language_equals_plain_kernel_ridge(spark):
+    """All rows are landmarks here, so the model is kernel ridge regression on sets of n-grams."""
+    rng = np.random.default_rng(2)
+    alphabets = {"x": "abcde fgh", "y": "fghij abk", "z": "klmno éß"}
+    rows = [(i, lang, "".join(rng.choice(list(letters), 40 + i))) for i, lang in enumerate("xxxxxxyyyyz" * 3) for letters in [alphabets[lang]]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    asked = [*(t for _, _, t in rows), "abc", "klé fgh", "Q"]
+
+    def grams(text):
+        plain = " " + " ".join(text.lower().split()) + " "
+        return {plain[i : i + n] for n in range(1, 4) for i in range(len(plain) - n + 1)}
+
+    sets, queries_ = [grams(t) for _, _, t in rows], [grams(t) for t in asked]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in sets] for a in sets]))
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    features = np.array([[kernel(a, b) for b in sets] for a in sets]) @ root
+    names = ["x", "y", "z"]
+    target = np.array([[lang == name for name in names] for _, lang, _ in rows], float)
+    weight = np.array([len(rows) / 3 / sum(other == lang for _, other, _ in rows) for _, lang, _ in rows])
+    z, aim = features - features.mean(axis=0), target - target.mean(axis=0)
+    gram = (z.T * weight) @ z
+    w = np.linalg.solve(gram + 0.01 * np.trace(gram) / len(gram) * np.eye(len(gram)), (z.T * weight) @ aim)
+    want = (np.array([[kernel(a, b) for b in sets] for a in queries_]) @ root - features.mean(axis=0)) @ w + target.mean(axis=0)
+    for options in ({"max_landmarks": 1000}, {"landmarks": 1000}):
+        model = language_id.fit(docs, F.lit(False), max_n=3, cell_bits=20, **options)
+        got = model.predict(asked)
+        assert model.languages == names and list(got["lang"]) == [names[k] for k in want.argmax(axis=1)]
+        assert np.allclose(got["score"], np.clip(want.max(axis=1), 0, 1), atol=1e-4)
+
+
+def test_language_with_fewer_landmarks_than_languages(spark):
+    rows = spark.range(240).selectExpr("id as doc_id", "concat(chr(cast(97 + id % 60 % 26 as int)), 'a', chr(cast(97 + id % 60 % 23 as int)), ' of l', id % 60, ' ', id) as text", "concat('l', id % 60) as lang")
+    model = language_id.fit(rows, F.lit(False), landmarks=4, max_landmarks=20, cell_bits=12)
+    assert len(model.languages) == 60 and [f.shape for f in model.factors] == [(4096, 20), (20, 60)]
+    found = language_id.identified(rows, model, F.lit(False)).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    # A map of rank 20 cannot tell 60 languages apart as well as one of full rank; chance would find 4.
+    assert len(found) == 240 and sum(r.lang == r.lang_pred for r in found) > 40
+    folded = language_id.LanguageModel(model.languages, [model.factors[0] @ model.factors[1]], model.bias, model.max_n, model.cell_bits)
+    texts = [r.text for r in rows.orderBy("doc_id").limit(50).collect()]
+    assert np.allclose(folded.predict(texts)["score"], model.predict(texts)["score"], atol=1e-5)
+    full = language_id.fit(rows, F.lit(False), cell_bits=12)
+    exact = language_id.identified(rows, full, F.lit(False)).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in exact) > 200
+    with pytest.raises(ValueError):
+        language_id.fit(rows, F.lit(False), most_languages=59)
