@@ -7,7 +7,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from wavejobs.llm import exact_dedup, simhash
+from wavejobs.llm.common import join_groups
 from wavejobs.llm.components import components
+from wavejobs.sources.shared import saved
 
 from .data import SF, awkward, empty, lower_ascii
 
@@ -100,6 +102,17 @@ def test_components_of_chains_and_stars(spark):
     assert {r.node for r in got} == set(range(8, 30)) | set(range(100, 141)) and {r.root for r in got} == {7}
 
 
+def test_groups_beyond_the_hot_ones_are_not_broadcast(spark):
+    """Groups counted over exploded postings seem small from the files below them, but are many times as large."""
+    prints = saved(spark.range(2000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    postings = prints.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(34)), lambda k: F.pmod(F.col("fp"), 5 + k))).alias("key"))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n"))
+    met = join_groups(postings, sizes, ["key"], "n", 70_000)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+    assert met.count() == 70_000
+
+
 def brute_exact(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)

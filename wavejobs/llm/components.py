@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import by_key, saved
+
+#: A broadcast of at most two nodes for each of so many links, two numbers a node.
+FEW_LINKS = 100_000
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -27,12 +30,14 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     if not before[0]:
         return links.select(F.col("high").alias("node"), F.col("low").alias("root"))
     for _ in range(max_rounds):
+        # Few links are counted, so their nodes are broadcast and the rows of a node with many links stay where they are.
+        meet = F.broadcast if before[0] <= FEW_LINKS else by_key
         both = links.select(F.col("low").alias("u"), F.col("high").alias("v")).union(links.select("high", "low"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high"))
+        large = both.where("v > u").join(meet(least), "u").select(F.col("m").alias("low"), F.col("v").alias("high"))
         large = large.where("low < high").distinct()
         least = large.groupBy("high").agg(F.min("low").alias("m"))
-        joined = large.join(least, "high")
+        joined = large.join(meet(least), "high")
         small = joined.select(F.col("m").alias("low"), F.col("low").alias("high")).union(joined.select("m", "high"))
         links = saved(small.where("low < high").distinct(), "links")
         after = measure(links)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, join_groups, saved, text_function
+from .common import by_key, fresh, join_groups, saved, text_function
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, *, max_bits: int = 4, list_rows: int = 4096
     rows = saved(rows, "fingerprints")
     prints = saved(rows.groupBy("fp").agg(F.min(rep).alias("rep"), F.count("*").alias("copies")), "prints")
     roots = components(links(prints.select("fp"), max_bits=max_bits, list_rows=list_rows))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    named = prints.join(by_key(roots.withColumnRenamed("node", "fp")), "fp", "left")
     named = saved(named.select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")), "roots")
     best = saved(named.groupBy("root").agg(F.min("rep").alias("representative"), F.count("*").alias("prints")), "components")
     of_print = join_groups(named.select("fp", "copies", "root"), best, ["root"], "prints", named.count())
