@@ -146,6 +146,19 @@ def test_nearest_point_tree_equals_all_pairs(spark):
     assert spectra.nearest_point_anywhere(left.limit(0), right, ["k"]).count() == 0
 
 
+def test_equally_near_points_go_to_the_smaller_id(spark):
+    """A place halfway between two points of one meridian: their distances differ in the last digits of the sines only."""
+    places = [(f"p{i}", -66 + 0.4 * i + 0.2, -170 + 1.3 * j) for i in range(40) for j in range(8)]
+    points = [(41 * j + i, -66 + 0.4 * i, -170 + 1.3 * j) for i in range(41) for j in range(8)]
+    places = [(f"{k}-{n}", la, lo) for n, (k, la, lo) in enumerate(places)]
+    left = spark.createDataFrame(places, "k string, latitude double, longitude double")
+    right = spark.createDataFrame(points, "point_id int, latitude double, longitude double")
+    by_id = {r.point_id: r for r in right.collect()}
+    for found in (spectra.nearest_point(left, right, ["k"], 50_000.0), spectra.nearest_in_tree(left, right, ["k"])):
+        got = {r.k: by_id[r.point_id] for r in found.collect()}
+        assert len(got) == len(places) and all(got[k].latitude < la and got[k].longitude == lo for k, la, lo in places)
+
+
 def wandering(spark, n=400, seed=5):
     """One trajectory over many days, with gaps, still stretches, equal and missing times, nulls; and a short one."""
     rng = np.random.default_rng(seed)

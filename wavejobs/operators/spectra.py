@@ -48,12 +48,17 @@ def rebinned(obs: DataFrame, source_centres, target_edges=None, keep: tuple[str,
     return obs.select(*dict.fromkeys(wanted), rebin(F.col("varianceDensity"), source_centres, edges).alias("varianceDensity"))
 
 
+def millimetres(distance_m: str | Column) -> Column:
+    """A distance as whole millimetres: what equal distances have in common, whatever the last digits of sines are."""
+    return F.floor((F.col(distance_m) if isinstance(distance_m, str) else distance_m) * 1000 + 0.5)
+
+
 def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_distance_m: float, carry: tuple[str, ...] = ()) -> DataFrame:
     """``keys``, point_id, distance_m and the point's ``carry`` columns of the nearest point within ``max_distance_m`` (inclusive).
 
     Space is cut into cubes as wide as the longest chord allowed; points are posted in
-    their own and the 26 neighbouring cubes, so one equi-join finds every candidate. Ties go
-    to the smaller point_id.
+    their own and the 26 neighbouring cubes, so one equi-join finds every candidate. Distances
+    are compared, with each other and the limit, in whole millimetres; ties go to the smaller point_id.
     """
     side = cube_side(max_distance_m)
     x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
@@ -64,8 +69,8 @@ def nearest_point(places: DataFrame, points: DataFrame, keys: list[str], max_dis
     o = places.where("latitude is not null and longitude is not null").select(*keys, x.alias("x"), y.alias("y"), z.alias("z"))
     o = o.select("*", cube(F.col("x")).alias("cube_i"), cube(F.col("y")).alias("cube_j"), cube(F.col("z")).alias("cube_k"))
     chord = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
-    found = o.join(p, ["cube_i", "cube_j", "cube_k"]).withColumn("distance_m", chord_to_metres(chord)).where(F.col("distance_m") <= max_distance_m)
-    best = found.groupBy(*keys).agg(F.min(F.struct("distance_m", "point_id", "carried")).alias("b"))
+    found = o.join(p, ["cube_i", "cube_j", "cube_k"]).withColumn("distance_m", chord_to_metres(chord)).where(millimetres("distance_m") <= millimetres(F.lit(float(max_distance_m))))
+    best = found.groupBy(*keys).agg(F.min(F.struct(millimetres("distance_m").alias("mm"), "point_id", "distance_m", "carried")).alias("b"))
     return best.select(*keys, "b.point_id", "b.distance_m", *(F.col(f"b.carried.{c}") for c in carry))
 
 
@@ -90,7 +95,8 @@ def nearest_in_tree(places: DataFrame, points: DataFrame, keys: list[str], level
     From the coarsest cells (64 at most) to the finest, a place keeps the cells that may hold
     its nearest point: those that begin no farther off than the far end of the best one.
     Each step is an equi-join of kept cells to their children; points are met in the finest
-    cells only. Ties go to the smaller point_id.
+    cells only. Distances are compared in whole millimetres (a chord of 1.6e-10), so cells
+    that far beyond the bound are kept too; ties go to the smaller point_id.
     """
     x, y, z = unit_vector(F.col("longitude"), F.col("latitude"))
     pts = saved(points.where("latitude is not null and longitude is not null").select("point_id", x.alias("px"), y.alias("py"), z.alias("pz")), "tree-points")
@@ -108,12 +114,13 @@ def nearest_in_tree(places: DataFrame, points: DataFrame, keys: list[str], level
         near = reduce(lambda a, b: a + b, [F.pow(F.greatest(lo - v, v - hi, F.lit(0.0)), 2) for v, lo, hi in sides])
         far = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.abs(v - lo), F.abs(v - hi)), 2) for v, lo, hi in sides])
         cand = cand.withColumns({"near": near, "bound": F.min(far).over(Window.partitionBy(*keys))})
-        cand = saved(cand.where(F.col("near") <= F.col("bound") + 1e-12).select(*keys, "x", "y", "z", "cell"), "tree-kept")
+        cand = saved(cand.where(F.sqrt("near") <= F.sqrt("bound") + 1e-9).select(*keys, "x", "y", "z", "cell"), "tree-kept")
     n = 4**levels
     number = lambda c: F.least(F.floor((F.col(c) + 1) * (n / 2)), F.lit(n - 1))
     met = pts.withColumn("cell", F.struct(*(number(c).alias(f"i{k}") for k, c in enumerate(("px", "py", "pz"))))).join(cand, "cell")
     chord = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
-    best = met.groupBy(*keys).agg(F.min(F.struct(chord_to_metres(chord).alias("distance_m"), "point_id")).alias("b"))
+    met = met.withColumn("distance_m", chord_to_metres(chord))
+    best = met.groupBy(*keys).agg(F.min(F.struct(millimetres("distance_m").alias("mm"), "point_id", "distance_m")).alias("b"))
     return best.select(*keys, "b.point_id", "b.distance_m")
 
 
