@@ -159,6 +159,22 @@ def test_equally_near_points_go_to_the_smaller_id(spark):
         assert len(got) == len(places) and all(got[k].latitude < la and got[k].longitude == lo for k, la, lo in places)
 
 
+def test_models_on_the_same_axes_find_cells_once(spark, monkeypatch):
+    hours = track(spark, [(h, 10.5 + 0.3 * h, 20.25, 2.0) for h in range(6)] + [(6, 50.0, 20.0, 1.0)])
+    era5 = spark.createDataFrame([(T0, float(a), float(b), a + b / 10, a - b / 10) for a in (10, 11, 12) for b in (20, 21)], "time timestamp, latitude double, longitude double, swh double, pp1d double")
+    gfs = era5.withColumnsRenamed({"swh": "Thgt", "pp1d": "Tper"})
+    calls, located = [], collocate.Axes.located
+    monkeypatch.setattr(collocate.Axes, "located", lambda self, rows, *a: calls.append(1) or located(self, rows, *a))
+    both = collocate.model_errors(hours, {"era5": era5, "gfs": gfs})
+    assert len(calls) == 1 and set(both.columns) == {*hours.columns, *(f"{a}_{m}_{v}" for m, vs in collocate.MODELS.items() for v in vs for a in ("model_value", "error"))}
+    other = collocate.model_errors(hours, {"era5": era5, "gfs": gfs.where("latitude < 12")})
+    assert len(calls) == 3
+    for r, o in zip(both.orderBy("time").collect(), other.orderBy("time").collect()):
+        want = r.latitude + r.longitude / 10 if r.latitude <= 12 else None
+        assert r.model_value_era5_swh == (want and pytest.approx(want)) and o.model_value_era5_swh == r.model_value_era5_swh == r.model_value_gfs_Thgt
+        assert o.model_value_gfs_Thgt == (r.model_value_gfs_Thgt if r.latitude <= 11 else None)
+
+
 def wandering(spark, n=400, seed=5):
     """One trajectory over many days, with gaps, still stretches, equal and missing times, nulls; and a short one."""
     rng = np.random.default_rng(seed)

@@ -68,6 +68,7 @@ def intervals(spark: SparkSession, axis: list[float], name: str) -> tuple[DataFr
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 CELL = ["model_time", "la", "lo"]
+PLACED = ["la", "lo", "la_f", "lo_f"]
 
 
 @dataclass(frozen=True)
@@ -129,13 +130,17 @@ def interpolated(rows: DataFrame, grid: DataFrame, variables: dict[str, str], pl
     weight. A row meets the tile of its cell in one join and keeps its other columns.
     """
     axes = Axes.of(grid)
-    located = axes.located(rows)
-    inside = F.col("model_time").isNotNull() & F.col("la").isNotNull() & F.col("lo").isNotNull()
     asked = axes.located((rows if places is None else places).select("latitude", "longitude", "model_time"))
+    return at_cells(axes.located(rows), asked, grid, axes, variables).select(*rows.columns, *variables.values(), "in_grid")
+
+
+def at_cells(located: DataFrame, asked: DataFrame, grid: DataFrame, axes: Axes, variables: dict[str, str]) -> DataFrame:
+    """``interpolated`` for rows, and ``asked`` ones, whose cells are known (``Axes.located``)."""
+    inside = F.col("model_time").isNotNull() & F.col("la").isNotNull() & F.col("lo").isNotNull()
     asked = saved(asked.where(inside).select(*CELL).distinct(), "grid-cells")
     made = saved(tiles(grid, axes, list(variables), asked), "grid-tiles")
     # Rows without a cell are dealt by a number of their own, below all cells.
-    nowhere = -1 - F.pmod(F.xxhash64(*rows.columns), F.lit(65_536))
+    nowhere = -1 - F.pmod(F.xxhash64(*located.columns), F.lit(65_536))
     keyed = located.withColumns({"la": F.when(inside, F.col("la")).otherwise(nowhere), "lo": F.coalesce("lo", F.lit(-1))})
     met = keyed.join(small(made, 200_000), CELL, "left")
     weight = [[1 - F.col(f"{x}_f"), F.col(f"{x}_f")] for x in ("la", "lo")]
@@ -147,7 +152,7 @@ def interpolated(rows: DataFrame, grid: DataFrame, variables: dict[str, str], pl
             parts.append(F.when(w > 0, w * F.col(f"{v}_{a}{b}")).otherwise(0.0))
         return F.when(F.col("la") >= 0, reduce(lambda x, y: x + y, parts))
 
-    return met.select(*rows.columns, *(value(v).alias(name) for v, name in variables.items()), (F.col("la") >= 0).alias("in_grid"))
+    return met.select(*located.columns, *(value(v).alias(name) for v, name in variables.items()), (F.col("la") >= 0).alias("in_grid"))
 
 
 def bilinear(points: DataFrame, grid: DataFrame, variables: list[str], keys: list[str]) -> DataFrame:
@@ -159,21 +164,35 @@ def bilinear(points: DataFrame, grid: DataFrame, variables: list[str], keys: lis
 def model_errors(hourly: DataFrame, grids: dict[str, DataFrame]) -> DataFrame:
     """``model_value_*`` and ``error_*`` (model less observed) of every model and variable.
 
-    The hourly rows are written once; each model adds its columns to them where they are.
+    The hourly rows are written once, with their cells on every distinct pair of axes, so that
+    models on the same places find them once; each model adds its columns to them where they are.
     """
-    hourly = base = saved(hourly, "hourly")
     for model, grid in grids.items():
         if model not in MODELS:
             raise ValueError(f"unknown model {model}")
-        wanted = MODELS[model]
-        if missing := [v for v in wanted if v not in grid.columns]:
+        if missing := [v for v in MODELS[model] if v not in grid.columns]:
             raise ValueError(f"{model} lacks {missing}")
+    columns = hourly.columns
+    of_model, axes = {}, []
+    for model, grid in grids.items():
+        own = Axes.of(grid)
+        if own not in axes:
+            hourly = own.located(hourly).withColumnsRenamed({c: f"_{c}_{len(axes)}" for c in PLACED})
+            axes.append(own)
+        of_model[model] = axes.index(own)
+    hourly = base = saved(hourly, "hourly")
+    for model, grid in grids.items():
+        wanted, k = MODELS[model], of_model[model]
         when = small(saved(nearest_time(base, grid), "model-times"))
-        rows = hourly.join(when, TIME, "left").select(*hourly.columns, "model_time")
         names = {v: f"model_value_{model}_{v}" for v in wanted}
-        hourly = interpolated(rows, grid, names, base.join(when, TIME)).drop("model_time", "in_grid")
+        cells = {f"_{c}_{k}": c for c in PLACED}
+        asked = base.join(when, TIME).withColumnsRenamed(cells)
+        # The written cells stay beside the copies that this model works on.
+        rows = hourly.join(when, TIME, "left").withColumns({c: F.col(own) for own, c in cells.items()})
+        hourly = at_cells(rows, asked, grid, axes[k], names).drop(*PLACED, "model_time", "in_grid")
         hourly = hourly.withColumns({f"error_{model}_{v}": F.col(names[v]) - F.col(c) for v, c in wanted.items()})
-    return hourly
+        columns = [*columns, *names.values(), *(f"error_{model}_{v}" for v in wanted)]
+    return hourly.select(*columns)
 
 
 def union_grids(grids: list[DataFrame]) -> DataFrame:
