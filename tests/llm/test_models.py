@@ -509,3 +509,19 @@ def test_language_with_fewer_landmarks_than_languages(spark):
     assert sum(r.lang == r.lang_pred for r in exact) > 200
     with pytest.raises(ValueError):
         language_id.fit(rows, F.lit(False), most_languages=59)
+
+
+def test_language_sample_makes_each_text_s_bits_once(spark, monkeypatch):
+    """One Python step in a task: a second one beside it would keep twice as many Python workers in an executor."""
+    plans, write = {}, language_id.saved
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(language_id, "saved", seen)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["one text", "another", "123", "a"])], "doc_id long, text string, lang string")
+    sample, languages = language_id.sampled(docs, fold("doc_id", 1) == 2, 100, 10, 3, 10)
+    # AQE shows the plan twice, as it is and as it was at first.
+    assert plans["language-bits"].split("== Initial Plan ==")[0].count("EvalPython") == 1
+    assert languages == ["en"] and sample.count() == 3 and sample.where("bits is null").count() == 0

@@ -120,3 +120,13 @@ def test_packing(spark):
     check_packing(docs.repartition(7), length=64, open_windows=2, merged_partitions=2)
     check_packing(awkward(spark))
     check_packing(empty(spark))
+
+
+def test_known_words_are_held_once():
+    """A piece that is one word shares its string with the table of words, and a generation that is let go of holds no other."""
+    own = packing.WordTokenizer(WORDS, cached_words=8)
+    own.encode("harbour")
+    assert next(iter(own.pieces)) is next(iter(own.words))
+    for i in range(40):
+        own.encode(f"harbour{'abcdefghij'[i % 10] * (1 + i // 10)}")
+    assert own.words.older and not own.words.older.older and not own.pieces.older.older

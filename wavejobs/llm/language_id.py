@@ -128,7 +128,8 @@ def sampled(docs: DataFrame, held_out: Column, max_sample: int, most_languages:
     chosen = some.withColumn("nth", rank).where(F.col("nth") <= each).select("doc_id", "lang", "nth")
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = rows.groupBy("doc_id", "lang", "nth").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = saved(rows.select("lang", "nth", packed("text").alias("bits")).where("bits is not null"), "language-bits")
+    # Nulls go when the table is read: a condition before would be pushed below, as a second Python step beside the first in each task.
+    got = saved(rows.select("lang", "nth", packed("text").alias("bits")), "language-bits").where("bits is not null")
     return got.withColumn("size", F.count("*").over(Window.partitionBy("lang"))), languages
 
 

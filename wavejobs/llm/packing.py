@@ -89,7 +89,10 @@ class WordTokenizer:
         return packed(t.id for t in self.tokenizer.model.tokenize(letters))
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
+        words = WORDS.findall(piece)
+        if words == [piece]:
+            words = [piece]  # both tables hold the same string
+        return b"".join(map(self.words.__getitem__, words))
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -104,7 +107,8 @@ class WordTokenizer:
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         for name, most in (("words", self.cached_words), ("pieces", self.cached_words * 5 // 8)):
             if len(held := getattr(self, name)) >= most:
-                setattr(self, name, Known(held.make, dict(held)))
+                held.older = {}
+                setattr(self, name, Known(held.make, held))
         return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
 
