@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavejobs.functions.frequency import model_frequency
-from wavejobs.operators import archive
+from wavejobs.operators import archive, chunks, drift, quality
 from wavejobs.plans import adapters as ad
-from wavejobs.plans import jobs
+from wavejobs.plans import jobs, registry
 from wavejobs.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -193,3 +193,23 @@ def test_spectral_job(spark, tmp_path):
     assert [round(r.frequency, 9) for r in rows] == [round(float(f), 9) for f in model_frequency()]
     assert any(r.rmse is None for r in rows) and any(r.log10_rmse is not None for r in rows)
     assert spark.read.parquet(str(tmp_path / "out" / "metrics_hs")).count() == 1
+
+
+def test_drift_of_whole_trajectories_deals_rows_once_and_equals_the_other_way(spark, monkeypatch):
+    written = []
+    for module in (quality, drift):
+        monkeypatch.setattr(module, "saved", lambda df, name, write=module.saved: written.append(name) or write(df, name))
+    whole = registry.QUERIES["drift_velocity"](spark, SF)
+    assert not written and whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
+    monkeypatch.setattr(jobs, "WHOLE_ROWS", 10)
+    other = registry.QUERIES["drift_velocity"](spark, SF)
+    assert written == ["quality-rows", "drift-rows"]
+    assert whole.count() > 1000 and sorted(map(str, whole.collect())) == sorted(map(str, other.collect()))
+
+
+def test_tasks_of_whole_trajectories(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(100).selectExpr("cast(id % 10 as string) as trajectory_id")
+    assert chunks.tasks_of_whole(rows, 10) == cores and chunks.tasks_of_whole(rows, 9) is None
+    assert chunks.tasks_of_whole(rows, 10, task_rows=1) == cores * -(-100 // cores)
+    assert chunks.tasks_of_whole(rows.limit(0), 10) == cores

@@ -9,6 +9,8 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ CHUNK = "_chunk"
 DAY_US = 86_400_000_000
 FIRST = -(2**62)  # the chunk of rows without time, which stand first
 WHOLE_ROWS = 100_000
+TASK_ROWS = 1_000_000  # rows of whole trajectories that a task is meant to get
 
 
 def chunked(rows: DataFrame, width_us: int = DAY_US) -> DataFrame:
@@ -30,6 +33,15 @@ def fits(rows: DataFrame, most: int) -> bool:
     return rows.groupBy(ID).count().where(F.col("count") > most).isEmpty()
 
 
+def tasks_of_whole(rows: DataFrame, most: int, task_rows: int = TASK_ROWS) -> int | None:
+    """How many tasks to deal whole trajectories over, as many for each core; none where one has more than ``most`` rows."""
+    longest, total = rows.groupBy(ID).count().agg(F.max("count"), F.sum("count")).first()
+    if (longest or 0) > most:
+        return None
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return cores * max(1, ceil((total or 0) / (task_rows * cores)))
+
+
 def group_of(rows: DataFrame) -> list[str]:
     """What a window of ``rows`` is within: the chunk, or the trajectory where it is not cut."""
     return [ID, CHUNK] if CHUNK in rows.columns else [ID]
@@ -40,16 +52,17 @@ def in_chunk(rows: DataFrame) -> Window:
     return Window.partitionBy(*group_of(rows)).orderBy(TIME, *(c for c in (TIE,) if c in rows.columns))
 
 
-def with_neighbours(rows: DataFrame, columns: tuple[str, ...], *, width_us: int = DAY_US, whole_rows: int = WHOLE_ROWS) -> DataFrame:
+def with_neighbours(rows: DataFrame, columns: tuple[str, ...], *, width_us: int = DAY_US, whole_rows: int = WHOLE_ROWS, whole: bool = False) -> DataFrame:
     """``rows`` with ``_last`` and ``_next``: time and ``columns`` of the rows before and after in the trajectory, null at its ends.
 
     Where trajectories are cut, ``rows`` also gets its chunk, and a chunk's first and last row
     get theirs from the chunks before and after, by a table of the ends of each. ``rows`` is
-    evaluated for the count and for the ends too, without its other columns.
+    evaluated for the count and for the ends too, without its other columns. With ``whole``
+    the caller has counted.
     """
     names = tuple(dict.fromkeys((TIME, *columns)))
     at = F.struct(*names)
-    if fits(rows, whole_rows):
+    if whole or fits(rows, whole_rows):
         w = in_chunk(rows)
         return rows.withColumns({"_last": F.lag(at).over(w), "_next": F.lead(at).over(w)})
     rows = chunked(rows, width_us)

@@ -12,13 +12,14 @@ from .quality import FAIL, MISSING, PASS, VELOCITY_FLAG
 from .trajectories import TIME
 
 
-def chosen_pair(df: DataFrame, max_gap_hours: float = 3.0) -> DataFrame:
+def chosen_pair(df: DataFrame, max_gap_hours: float = 3.0, *, whole: bool = False) -> DataFrame:
     """The two positions for each row's velocity: around it, else to the next, else from the last.
 
     Both gaps of a central pair must be in (0, max_gap]; all ends need positions. Only the
     chosen pair is kept; equal times are in the order of obs_index where there is one (``pair``: central, forward, backward or null, and its dt_s).
+    ``whole`` as in ``quality.run_all``.
     """
-    rows = with_neighbours(saved(df, "drift-rows"), ("longitude", "latitude")).drop(CHUNK)
+    rows = with_neighbours(df if whole else saved(df, "drift-rows"), ("longitude", "latitude"), whole=whole).drop(CHUNK)
     rows = rows.withColumn("_here", F.struct(TIME, "longitude", "latitude"))
     limit = max_gap_hours * 3600
 
@@ -41,9 +42,9 @@ def chosen_pair(df: DataFrame, max_gap_hours: float = 3.0) -> DataFrame:
     return rows.withColumn("dt_s", seconds("_from", "_to"))
 
 
-def velocity(df: DataFrame, *, max_gap_hours: float = 3.0, max_speed: float = 3.0) -> DataFrame:
+def velocity(df: DataFrame, *, max_gap_hours: float = 3.0, max_speed: float = 3.0, whole: bool = False) -> DataFrame:
     """u, v, speed, direction, dt, distance and a flag: 1, 4 above ``max_speed``, 9 not computed."""
-    rows = chosen_pair(df, max_gap_hours)
+    rows = chosen_pair(df, max_gap_hours, whole=whole)
     ends = (F.col(f"{end}.{c}") for end in ("_from", "_to") for c in ("longitude", "latitude"))
     rows = with_geodesic(rows, *ends, azimuth="_az", distance="_m")
     rows = rows.withColumn("_speed", F.try_divide("_m", "dt_s"))

@@ -143,15 +143,16 @@ def with_summary(df: DataFrame, flags: list[str] | None = None) -> DataFrame:
     return df.withColumn("summary_qc", s)
 
 
-def run_all(df: DataFrame, config: QualityConfig | None = None, *, height_error: str | None = "error_era5_swh", period_error: str | None = "error_era5_pp1d", model_can_fail: bool = False, remove_failed_after: bool = False) -> DataFrame:
+def run_all(df: DataFrame, config: QualityConfig | None = None, *, height_error: str | None = "error_era5_swh", period_error: str | None = "error_era5_pp1d", model_can_fail: bool = False, remove_failed_after: bool = False, whole: bool = False) -> DataFrame:
     """All tests and their summary; a model test whose error column is absent is left out.
 
     The rows are written once, as they are read for the tests, for the length of trajectories
-    and, where these are cut, for the ends of chunks and the runs of still rows. Equal times are in the order of obs_index where there is one.
+    and, where these are cut, for the ends of chunks and the runs of still rows; with ``whole`` the
+    caller has counted that no trajectory has more than ``WHOLE_ROWS`` rows, and they are read once. Equal times are in the order of obs_index where there is one.
     """
     c = config or QualityConfig()
     asked = df.columns
-    df = with_neighbours(saved(df, "quality-rows"), ("latitude", "longitude", "significantWaveHeight"))
+    df = with_neighbours(df if whole else saved(df, "quality-rows"), ("latitude", "longitude", "significantWaveHeight"), whole=whole)
     df = df.withColumns(
         {
             "location_qc": location(*c.location),

@@ -12,14 +12,14 @@ from .trajectories import ID, TIME, first_per_time
 HOUR = "interval 1 hour"
 
 
-def hourly(obs: DataFrame, *, longitude: str = "nearest", values: tuple[str, ...] = ("significantWaveHeight", "peakPeriod"), max_gap_hours: float | None = None) -> DataFrame:
+def hourly(obs: DataFrame, *, longitude: str = "nearest", values: tuple[str, ...] = ("significantWaveHeight", "peakPeriod"), max_gap_hours: float | None = None, whole: bool = False) -> DataFrame:
     """Rows of each trajectory on full hours between its first and last sample.
 
     An hour that meets a sample takes it as it is; else latitude and values are linear
     between the samples before and after (null if either is), and longitude is that of
     the nearer sample, the earlier one in a tie (``nearest``), or linear the short way
     round (``linear_wrapped``, after duplicate times are removed). ``max_gap_hours``
-    leaves out hours between samples further apart.
+    leaves out hours between samples further apart. ``whole`` as in ``with_neighbours``.
     """
     if longitude not in ("nearest", "linear_wrapped"):
         raise ValueError(longitude)
@@ -29,7 +29,7 @@ def hourly(obs: DataFrame, *, longitude: str = "nearest", values: tuple[str, ...
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("double"))
     ahead = ("latitude", "longitude", *values)
-    rows = with_neighbours(rows, ahead).select(ID, TIME, *ahead, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in (TIME, *ahead)))
+    rows = with_neighbours(rows, ahead, whole=whole).select(ID, TIME, *ahead, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in (TIME, *ahead)))
     first = F.date_trunc("hour", TIME)
     first = F.when(first == F.col(TIME), first).otherwise(first + F.expr(HOUR))
     last = F.date_trunc("hour", F.col("next_time") - F.expr("interval 1 microsecond"))

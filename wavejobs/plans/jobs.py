@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.frequency import model_frequency, widths
 from ..operators import archive, collocate, drift, quality, resample, skill, spectra
-from ..operators.trajectories import subset, subset_time
+from ..operators.chunks import WHOLE_ROWS, fits, tasks_of_whole
+from ..operators.trajectories import ID, subset, subset_time
 from ..sources import files
 from ..sources.shared import saved
 
@@ -36,8 +37,27 @@ def bulk(obs: DataFrame, grids: dict[str, DataFrame], region: Region, *, longitu
     return kept, skill.bias_by_hour(kept, region.start) if grids else None
 
 
+def hourly_with_drift(obs: DataFrame, config: quality.QualityConfig | None = None, *, max_gap_hours: float = 3.0, max_speed: float = 3.0) -> DataFrame:
+    """Hourly rows across the date line, failed ones removed, with velocities.
+
+    Where counts show that all trajectories fit a task, the observations are dealt by trajectory
+    once and each task takes its own through all steps; else rows are written between the steps.
+    """
+    whole = fits(obs, WHOLE_ROWS)
+    hourly = resample.hourly(obs.repartition(ID) if whole else obs, longitude="linear_wrapped", whole=whole)
+    if whole and (tasks := tasks_of_whole(hourly, WHOLE_ROWS)):
+        hourly = resample.hourly(obs.repartition(tasks, ID), longitude="linear_wrapped", whole=True)
+    else:
+        whole = False
+    kept = quality.run_all(hourly, config, remove_failed_after=True, whole=whole)
+    return drift.velocity(kept, max_gap_hours=max_gap_hours, max_speed=max_speed, whole=whole)
+
+
 def bulk_with_drift(obs: DataFrame, grids: dict[str, DataFrame], region: Region, *, max_gap_hours: float = 3.0, max_speed: float = 3.0, **options) -> tuple[DataFrame, DataFrame | None]:
     """As ``bulk`` across the date line, with velocities of the rows that quality control keeps."""
+    if not grids:
+        obs = subset(obs, region.start, region.end, **region.box())
+        return hourly_with_drift(obs, max_gap_hours=max_gap_hours, max_speed=max_speed, **options), None
     kept, bias = bulk(obs, grids, region, longitude="linear_wrapped", **options)
     return drift.velocity(kept, max_gap_hours=max_gap_hours, max_speed=max_speed), bias
 
