@@ -250,3 +250,15 @@ def test_global_order_needs_no_single_task(spark):
 def test_widths_sum_to_the_range():
     e = frequency.model_edges()
     assert np.isclose(frequency.widths(frequency.model_frequency()).sum(), e[-1] - e[0])
+
+
+def test_geodesic_of_a_pair_does_not_depend_on_its_batch():
+    """Velocities are rounded; last digits that change with the layout of rows would turn some of them."""
+    rng = np.random.default_rng(3)
+    near = np.array([rng.uniform(-180, 180, 2000), rng.uniform(-70, 70, 2000)])
+    near = np.vstack([near, near + rng.normal(0, 0.03, near.shape)])
+    far = np.array([[0.0, 0.3, 179.3, -0.2]]).T
+    alone, together = geo.inverse(*near), geo.inverse(*np.hstack([near, far]))
+    assert all(np.array_equal(a, t[:-1]) for a, t in zip(alone, together))
+    single = [geo.inverse(*near[:, i : i + 1]) for i in range(300)]
+    assert all(np.array_equal(a[:300], np.concatenate(s)) for a, s in zip(alone, zip(*single)))

@@ -99,22 +99,30 @@ def inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     turn = np.where(np.abs(lon2 - lon1) == np.pi, lon2 - lon1, (lon2 - lon1 + np.pi) % (2 * np.pi) - np.pi)
     lam, done = turn.copy(), np.zeros(turn.shape, bool)
+
+    def arc(lam: np.ndarray) -> tuple:
+        """On the auxiliary sphere, for a difference of longitude there: sine, cosine and arc, square of the cosine of the azimuth at the equator, the middle's cosine, next difference."""
+        sl, cl = np.sin(lam), np.cos(lam)
+        sin_sigma = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+        cos_sigma = s1 * s2 + c1 * c2 * cl
+        sigma = np.arctan2(sin_sigma, cos_sigma)
+        sin_alpha = np.where(sin_sigma > 0, c1 * c2 * sl / sin_sigma, 0.0)
+        cos2_alpha = 1 - sin_alpha**2
+        cos_2m = np.where(cos2_alpha > 0, cos_sigma - 2 * s1 * s2 / cos2_alpha, 0.0)
+        c = WGS84_F / 16 * cos2_alpha * (4 + WGS84_F * (4 - 3 * cos2_alpha))
+        new = turn + (1 - c) * WGS84_F * sin_alpha * (sigma + c * sin_sigma * (cos_2m + c * cos_sigma * (2 * cos_2m**2 - 1)))
+        return sin_sigma, cos_sigma, sigma, cos2_alpha, cos_2m, new
+
     with np.errstate(all="ignore"):
         for _ in range(20):
-            sl, cl = np.sin(lam), np.cos(lam)
-            sin_sigma = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
-            cos_sigma = s1 * s2 + c1 * c2 * cl
-            sigma = np.arctan2(sin_sigma, cos_sigma)
-            sin_alpha = np.where(sin_sigma > 0, c1 * c2 * sl / sin_sigma, 0.0)
-            cos2_alpha = 1 - sin_alpha**2
-            cos_2m = np.where(cos2_alpha > 0, cos_sigma - 2 * s1 * s2 / cos2_alpha, 0.0)
-            c = WGS84_F / 16 * cos2_alpha * (4 + WGS84_F * (4 - 3 * cos2_alpha))
-            new = turn + (1 - c) * WGS84_F * sin_alpha * (sigma + c * sin_sigma * (cos_2m + c * cos_sigma * (2 * cos_2m**2 - 1)))
-            done = np.abs(new - lam) < 1e-13
-            lam = new
-            done &= np.abs(lam) <= np.pi
+            new = arc(lam)[-1]
+            settled = (np.abs(new - lam) < 1e-13) & (np.abs(new) <= np.pi)
+            lam = np.where(done, lam, new)
+            done |= settled
             if (done | ~np.isfinite(lam)).all():
                 break
+        # Settled pairs stand still, and all are taken from where they stand: a pair's result does not depend on the others of its batch.
+        sin_sigma, cos_sigma, sigma, cos2_alpha, cos_2m, _ = arc(lam)
         k = cos2_alpha * (WGS84_A**2 - b**2) / b**2
         big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
         small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
